@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperflow.llm import decontamination, simhash
+from paperflow.llm import decontamination, packing, simhash, toxicity, warc
 from paperflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,34 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found, into = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col(into).alias("score"), (F.col(into) >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+OP7 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT x, n, min(page_id) AS first_id FROM p GROUP BY 1, 2)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, ((k // 4) * 5 + 1)::INT, 5))::BIGINT >> (5 * (3 - k % 4))::INT) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN f USING (x, n)
+"""
+
+
+@query("op7_warc", OP7)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
