@@ -42,6 +42,8 @@ EVENTS = ("insult", "insult_targeted", "insult_negated", "insult_reported", "thr
 #: Prior weights of the events, then of the intercept.
 PRIOR = np.array([3.0, 4.0, 1.0, 1.0, 0.5, 1.5, 0.0, 0.0, -3.0])
 NEGATION_REACH, TARGET_REACH = 3, 4
+#: Lengths of learned stems.
+STEMS = (3, 4, 5, 6, 7, 8)
 CLAUSE, TOKEN = re.compile(r"[.!?;\n]+"), re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
@@ -52,16 +54,22 @@ class Grammar:
     symbols: dict[str, str]
     weights: tuple[float, ...]
 
+    stems: frozenset[str] = frozenset()
+
     @property
     def trigger(self) -> str:
-        """RE2: some insult or threat stands in the text as a word."""
-        words = sorted(w for w, s in self.symbols.items() if s in "IT")
-        return r"(?i)(?:^|[^\pL\pN])(?:" + "|".join(re.escape(w) for w in words) + r")(?:$|[^\pL\pN])"
+        """RE2: some insult or threat stands in the text as a word, or a word begins with a stem of insults."""
+        words = sorted(re.escape(w) + r"(?:$|[^\pL\pN])" for w, s in self.symbols.items() if s in "IT")
+        return r"(?i)(?:^|[^\pL\pN])(?:" + "|".join(words + sorted(map(re.escape, self.stems))) + ")"
+
+    def symbol(self, word: str) -> str:
+        """What the lexical transducer writes for a word; its own entry goes before a stem's."""
+        found = self.symbols.get(word, "")
+        return found or ("I" if self.stems and any(word[:n] in self.stems for n in STEMS if len(word) >= n) else "")
 
     def events(self, clause: str) -> list[int]:
         """One event for each insult or threat of a clause, by one run of the composed transducer."""
-        get = self.symbols.get
-        line = [get(w, "") for w in TOKEN.findall(clause.lower())]
+        line = [self.symbol(w) for w in TOKEN.findall(clause.lower())]
         if "I" not in line and "T" not in line:
             return []
         out, negated_to, reported, target_at, open_ = [], -1, False, -99, []
@@ -116,11 +124,12 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = 20_000, max_words: int = 200, least_docs: int = 8) -> Grammar:
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = 20_000, max_words: int = 400, least_docs: int = 8) -> Grammar:
     """A grammar from at most `max_train` labelled rows (those of least hash, so the same ones each time) outside the held-out fold.
 
-    A word that stands in `least_docs` toxic documents or more, and in clean ones so seldom that the odds ratio passes
-    20 at the share of its own upper bound, joins the insults; at most `max_words` do."""
+    A word that stands in `least_docs` toxic documents or more (and in 1 of 100 of them), and over 20 times as often in
+    them as in clean ones (three more clean documents counted), joins the insults, and so does a beginning of words;
+    at most `max_words` do."""
     sample = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("sample_id")).agg((F.max(label) > 0).cast("int").alias("y"))
     sample = sample.orderBy(F.xxhash64("sample_id"), "sample_id").limit(max_train)
     rows = docs.select(F.col(f"`{doc_id}`").alias("sample_id"), F.col(f"`{text}`").alias("t")).join(F.broadcast(sample), "sample_id").select("y", "t")
@@ -131,14 +140,18 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = sorted({w for w in TOKEN.findall((t or "").lower()) if 2 < len(w) < 30 and not w.isdigit()})
+                found = {w for w in TOKEN.findall((t or "").lower()) if 2 < len(w) < 30 and not w.isdigit()}
+                found = sorted(found | {w[:n] + "*" for w in found for n in STEMS if len(w) > n})
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], ["w", "y"])
 
     bad, good = totals[1], totals[0]
     counts = rows.mapInArrow(words, "w string, y int").groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     ratio = (F.col("p") / bad) / ((F.col("n") + 3.0) / good)
-    learned = [r["w"] for r in counts.where((F.col("p") >= max(least_docs, math.ceil(0.02 * bad))) & (ratio > 20)).orderBy(ratio.desc(), "w").limit(max_words).collect()]
-    grammar = Grammar(lexicon(learned), tuple(PRIOR))
+    learned = {r["w"]: r["p"] for r in counts.where((F.col("p") >= max(least_docs, math.ceil(0.01 * bad))) & (ratio > 20)).orderBy(ratio.desc(), "w").limit(max_words).collect()}
+    words_ = {w: p for w, p in learned.items() if w[-1] != "*"}
+    # a stem says more than its words only where no single word makes up most of it
+    stems = frozenset(w[:-1] for w, p in learned.items() if w[-1] == "*" and p >= 1.5 * max([0, *(q for v, q in words_.items() if v.startswith(w[:-1]))]))
+    grammar = Grammar(lexicon(list(words_)), tuple(PRIOR), stems)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
     got = rows.mapInArrow(measure, "y int, x array<double>").collect()
-    return Grammar(grammar.symbols, fit(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], dtype=float)))
+    return Grammar(grammar.symbols, fit(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], dtype=float)), grammar.stems)
 
 
 def score(docs: DataFrame, grammar: Grammar, *, text: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, str]:
