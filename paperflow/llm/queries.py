@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperflow.llm import decontamination, line_dedup, packing, pii, quality_rules, simhash, toxicity, warc
+from paperflow.llm import decontamination, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, toxicity, warc
 from paperflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,30 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, hash(list_aggregate(w[i:i + 49], 'string_agg', ' ')) AS h, md5(list_aggregate(w[i:i + 49], 'string_agg', ' ')) AS m FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, m, min(doc_id) AS first_id FROM g GROUP BY 1, 2),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM g JOIN f USING (h, m) WHERE first_id < doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed, list(p) AS gone FROM r GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(list_aggregate(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(gone, k)) END, 'string_agg', ' '), '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op4_substring_dedup", OP4)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, into = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), carry=["doc_id"], hashed=True)
+    got = F.col(into)
+    return found.select("doc_id", got["n_words"].alias("n_words"), got["n_removed"].alias("n_removed"), got["kept"].alias("kept_sha256"))
+
+
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
