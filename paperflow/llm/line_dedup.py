@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperflow.llm.common import free_name
 from paperflow.llm.native import BLANKS, let
 
 
@@ -46,36 +45,40 @@ def chunks_of(text: Column, *, window: int = 3, divisor: int = 4) -> Column:
     return let(F.split(text, "\n"), cut)
 
 
-def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_lines: int = 2, **options) -> DataFrame:
-    """(doc_id, text_key, gone array of chunk numbers): what each document loses."""
-    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"), F.posexplode(chunks_of(F.col(f"`{text}`"), **options)).alias("k", "c"))
-    rows = rows.where(F.col("c")["full"] >= least_lines).select(F.struct("doc_id", "text_key", "k").alias("place"), F.xxhash64(F.col("c")["body"]).alias("h"), F.col("c")["body"].alias("body"))
+def repeated(rows: DataFrame, text: str, least_lines: int, **options) -> DataFrame:
+    """(id_, key_, gone array of chunk numbers) of `rows`, which have the columns id_, key_ and `text`: what each document loses.
+
+    Hashes and places alone find what repeats; then the texts of the repeated chunks are fetched and compared."""
+    parts = rows.where(F.col(f"`{text}`").isNotNull()).select("id_", "key_", F.posexplode(chunks_of(F.col(f"`{text}`"), **options)).alias("n", "c")).where(F.col("c")["full"] >= least_lines)
+    slim = parts.select(F.struct("id_", "key_", "n").alias("place"), F.xxhash64(F.col("c")["body"]).alias("h"))
     # one place twice is a repeated row
-    seen = rows.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(F.col("first") != F.col("last")).select("h", "first")
-    found = rows.join(seen, "h")
-    first = found.where(F.col("place") == F.col("first")).select("h", F.col("body").alias("first_body")).dropDuplicates(["h"])
-    equal = found.where(F.col("place") != F.col("first")).join(first, "h").where(F.col("body") == F.col("first_body"))
-    return equal.groupBy(F.col("place")["doc_id"].alias("doc_id"), F.col("place")["text_key"].alias("text_key")).agg(F.collect_set(F.col("place")["k"]).alias("gone"))
+    seen = slim.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(F.col("first") != F.col("last")).select("h", "first")
+    found = slim.join(seen, "h").groupBy(F.col("place")["id_"].alias("id2_"), F.col("place")["key_"].alias("key2_")).agg(F.collect_set(F.struct(F.col("place")["n"].alias("n"), "h", (F.col("place") == F.col("first")).alias("first"))).alias("found"))
+    both = rows.join(found, F.col("id_").eqNullSafe(F.col("id2_")) & (F.col("key_") == F.col("key2_")))
+    bodies = let(chunks_of(F.col(f"`{text}`"), **options), lambda c: F.transform("found", lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"), x["first"].alias("first"), F.get(c, x["n"])["body"].alias("body"))))
+    told = both.select("id_", "key_", F.explode(bodies).alias("x")).select("id_", "key_", "x.n", "x.h", "x.first", "x.body")
+    first = told.where("first").select("h", F.col("body").alias("first_body")).dropDuplicates(["h"])
+    equal = told.where("not first").join(first, "h").where(F.col("body") == F.col("first_body"))
+    return equal.groupBy("id_", "key_").agg(F.collect_set("n").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_lines: int = 2, removed: str | None = None, **options) -> DataFrame:
     """`docs` with their texts less what repeats. With `removed`, a struct column of that name counts the chunks and lines gone."""
-    gone = repeated(docs, doc_id=doc_id, text=text, least_lines=least_lines, **options)
-    names = list(docs.columns)
-    g, i, k = (free_name([*names, "gone_", "id_", "key_"], n) for n in ("gone__", "id__", "key__"))
-    gone = gone.select(F.col("doc_id").alias(i), F.col("text_key").alias(k), F.col("gone").alias(g))
-    here = F.col(f"`{text}`")
-    joined = docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(i)) & (F.xxhash64(here) == F.col(k)), "left")
+    names = [f"c{k}_" for k in range(len(docs.columns))]  # so that no name clashes
+    body, ident = names[docs.columns.index(text)], names[docs.columns.index(doc_id)]
+    rows = docs.toDF(*names).withColumns({"id_": F.col(ident), "key_": F.xxhash64(body)})
+    gone = repeated(rows, body, least_lines, **options).select(F.col("id_").alias("id2_"), F.col("key_").alias("key2_"), "gone")
+    joined = rows.join(gone, F.col("id_").eqNullSafe(F.col("id2_")) & (F.col("key_") == F.col("key2_")), "left")
 
     def rest(c: Column) -> Column:
-        left = F.filter(c, lambda x, n: ~F.array_contains(F.col(g), n))
+        left = F.filter(c, lambda x, n: ~F.array_contains("gone", n))
         return F.array_join(F.transform(left, lambda x: x["body"]), "\n")
 
     def lost(c: Column) -> Column:
-        return F.aggregate(F.filter(c, lambda x, n: F.array_contains(F.col(g), n)), F.lit(0), lambda a, x: a + x["n_lines"])
+        return F.aggregate(F.filter(c, lambda x, n: F.array_contains("gone", n)), F.lit(0), lambda a, x: a + x["n_lines"])
 
-    kept = F.when(F.col(g).isNull(), here).otherwise(let(chunks_of(here, **options), rest))
+    kept = F.when(F.col("gone").isNull(), F.col(body)).otherwise(let(chunks_of(F.col(body), **options), rest))
     extra = []
     if removed:
-        extra = [F.struct(F.coalesce(F.size(F.col(g)), F.lit(0)).cast("long").alias("chunks"), F.when(F.col(g).isNull(), 0).otherwise(let(chunks_of(here, **options), lost)).cast("long").alias("lines")).alias(removed)]
-    return joined.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in names], *extra)
+        extra = [F.struct(F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("chunks"), F.when(F.col("gone").isNull(), 0).otherwise(let(chunks_of(F.col(body), **options), lost)).cast("long").alias("lines")).alias(removed)]
+    return joined.select(*[(kept if n == body else F.col(n)).alias(c) for n, c in zip(names, docs.columns, strict=True)], *extra)

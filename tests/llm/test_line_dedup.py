@@ -1,0 +1,80 @@
+import random
+from collections import Counter
+
+import xxhash
+from odd import SCHEMA, WORDS, documents, save, sha
+
+from paperflow.llm import line_dedup
+from paperflow.llm.queries import queries
+
+MASK = (1 << 64) - 1
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def plain_chunks(text, window=3, divisor=4):
+    lines = text.split("\n")
+    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in lines]
+    out, start = [], 0
+    for i in range(len(lines)):
+        r = 0
+        for j in range(window):
+            x = h[i - j] if i >= j else 0
+            r ^= ((x << j) | (x >> (64 - j))) & MASK if j else x
+        # the hash of a bigint is that of its eight bytes
+        end = signed(xxhash.xxh64_intdigest(r.to_bytes(8, "little"), seed=42)) % divisor == 0
+        if end or i == len(lines) - 1:
+            out.append(lines[start : i + 1])
+            start = i + 1
+    return out
+
+
+def plain(docs):
+    def key(d):
+        return (d[0] is not None, d[0] or 0, signed(xxhash.xxh64_intdigest((d[1] or "").encode(), seed=42)))
+
+    first = {}
+    for d in docs:
+        if d[1] is not None:
+            for n, c in enumerate(plain_chunks(d[1])):
+                if sum(bool(WORDS.search(x)) for x in c) >= 2:
+                    place = (*key(d), n)
+                    first["\n".join(c)] = min(first.get("\n".join(c), place), place)
+    out = Counter()
+    for d in docs:
+        if d[1] is None:
+            out[(d[0], 0, 0, sha(""))] += 1
+            continue
+        parts = plain_chunks(d[1])
+        gone = [n for n, c in enumerate(parts) if "\n".join(c) in first and first["\n".join(c)] != (*key(d), n) and sum(bool(WORDS.search(x)) for x in c) >= 2]
+        out[(d[0], len(gone), sum(len(parts[n]) for n in gone), sha("\n".join("\n".join(c) for n, c in enumerate(parts) if n not in gone)))] += 1
+    return out
+
+
+def corpus():
+    rng = random.Random(4)
+    block = [[f"shared {b} line {k}" for k in range(25)] for b in range(4)]
+    docs = documents()
+    for k in range(40):
+        own = [f"own {k} {j}" for j in range(rng.randint(0, 9))]
+        docs.append((500 + k, "\n".join(own + rng.choice(block) + own[:3] + ["", " "]), "en", "s", 0, "clash"))
+    return docs
+
+
+def test_query(spark, tmp_path):
+    docs = corpus()
+    want = plain(docs)
+    assert sum(k[1] > 0 for k in want) > 30
+    folder = save(spark, tmp_path, documents=(docs, SCHEMA))
+    got = queries()["op9_line_dedup"](spark, folder)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_chunks_removed", "n_lines_removed", "kept_sha256").collect()) == want
+
+
+def test_columns_and_no_rows(spark):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    assert line_dedup.dedup_lines(docs).columns == docs.columns
+    assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
+    odd = docs.withColumnsRenamed({"lang": "gone", "source": "h", "n_chars": "id_"})
+    assert line_dedup.dedup_lines(odd).count() == docs.count()
