@@ -27,3 +27,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from paperflow.plans import library as _library  # noqa: E402, F401  fills the registry
