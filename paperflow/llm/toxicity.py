@@ -20,9 +20,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,11 +57,21 @@ class Grammar:
 
     stems: frozenset[str] = frozenset()
 
-    @property
-    def trigger(self) -> str:
-        """RE2: some insult or threat stands in the text as a word, or a word begins with a stem of insults."""
-        words = sorted(re.escape(w) + r"(?:$|[^\pL\pN])" for w, s in self.symbols.items() if s in "IT")
-        return r"(?i)(?:^|[^\pL\pN])(?:" + "|".join(words + sorted(map(re.escape, self.stems))) + ")"
+    def spotter(self) -> Callable[[str], bool]:
+        """Whether some insult or threat stands in a text in lower case as a word, or a word begins with a stem of insults."""
+        automaton = ahocorasick.Automaton()
+        for word, whole in [*((w, False) for w in self.stems), *((w, True) for w, s in self.symbols.items() if s in "IT")]:
+            automaton.add_word(word, (len(word), whole and word not in self.stems))
+        automaton.make_automaton()
+
+        def spotted(text: str) -> bool:
+            for end, (n, whole) in automaton.iter(text):
+                before, after = end - n, end + 1
+                if (before < 0 or not text[before].isalnum()) and not (whole and after < len(text) and text[after].isalnum()):
+                    return True
+            return False
+
+        return spotted
 
     def symbol(self, word: str) -> str:
         """What the lexical transducer writes for a word; its own entry goes before a stem's."""
@@ -91,12 +102,12 @@ class Grammar:
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """Damped counts of the events of each text."""
-        texts = pc.fill_null(texts, "")
-        out = np.zeros((len(texts), len(EVENTS)))
-        for row in np.flatnonzero(pc.match_substring_regex(texts, self.trigger).to_numpy(zero_copy_only=False)):
-            for clause in CLAUSE.split(texts[int(row)].as_py()):
-                for event in self.events(clause):
-                    out[row, event] += 1
+        spotted, out = self.spotter(), np.zeros((len(texts), len(EVENTS)))
+        for row, text in enumerate(pc.utf8_lower(pc.fill_null(texts, "")).to_pylist()):
+            if spotted(text):
+                for clause in CLAUSE.split(text):
+                    for event in self.events(clause):
+                        out[row, event] += 1
         return np.log2(1 + out)
 
     def scores(self, features: np.ndarray) -> np.ndarray:
