@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperflow.operators.similarity import similar_keys
+
 #: The kinds of match, in the order in which one entry is asked for them.
 KINDS = ("work_id", "doi", "preprint_id")
 
@@ -28,6 +30,15 @@ def seen(candidates: DataFrame, ledger: DataFrame, today: Column, days: int = 18
     return candidates.join(best, "id", "left")
 
 
+def seen_or_similar(candidates: DataFrame, ledger: DataFrame, today: Column, days: int = 180, key: str = "key") -> DataFrame:
+    """`seen`, and for those without an identifier in the ledger, 'title' where a title key there is theirs or 0.9 like it."""
+    exact = seen(candidates, ledger, today, days)
+    asked = exact.where(F.col("seen_kind").isNull() & (F.col(key) != "")).select(key).distinct()
+    there = ledger.where(within_window(F.col("published_on"), today, days) & (F.col(key) != "")).select(key).distinct()
+    known = similar_keys(asked, key, others=there).select(F.col("a").alias(key)).union(asked.join(there, key, "left_semi")).distinct().withColumn("like", F.lit(True))
+    return exact.join(known, key, "left").withColumn("seen_kind", F.coalesce("seen_kind", F.when(F.col("like"), "title"))).drop("like")
+
+
 def latest(ledger: DataFrame, key: str) -> DataFrame:
     """One row for each key of an append-only ledger: the last date, and of the rest the earliest entry's values that are there."""
     rest = [c for c in ledger.columns if c not in (key, "published_on", "entry_idx")]

@@ -1,0 +1,68 @@
+"""Prose rules over the rows of a DataFrame: Arrow batches for what has offsets, columns for what follows from the counts."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from paperflow.functions import prose
+
+_PLACE = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
+SPAN = T.ArrayType(T.StructType(_PLACE))
+FINDINGS = T.ArrayType(T.StructType([T.StructField("rule", T.StringType()), T.StructField("severity", T.StringType()), *_PLACE]))
+COUNTS = {"n_sentences", "n_words", "longest_sentence_words", "long_sentences"}
+METRICS = T.StructType([T.StructField(k, T.IntegerType() if k in COUNTS else T.DoubleType()) for k in prose.readability("")])
+
+
+@F.pandas_udf(SPAN)
+def sentence_spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield batch.map(lambda t: [{"start": a, "end": b} for a, b in prose.sentences(t)])
+
+
+@F.pandas_udf(T.IntegerType())
+def syllables(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in words:
+        yield batch.map(lambda w: prose.syllables(w or ""))
+
+
+@F.pandas_udf(T.StringType())
+def masked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield batch.map(lambda t: prose.mask(t, ("url", "doi", "paren", "number"))[0])
+
+
+@F.pandas_udf(METRICS)
+def readability(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in texts:
+        yield pd.DataFrame([prose.readability(t) for t in batch], columns=list(prose.readability("")))
+
+
+@F.pandas_udf(FINDINGS)
+def english(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for bodies, titles in texts:
+        yield pd.Series([[dict(zip(("rule", "severity", "start", "end"), f, strict=True)) for f in prose.english_findings(t, title)] for t, title in zip(bodies, titles, strict=True)])
+
+
+def readability_findings(metrics: Column) -> Column:
+    """array<struct<rule, severity>> of the rules that the metrics break; none for a text without sentences."""
+
+    def severity(metric: str, warn: float, hard: float | None, below: bool) -> Column:
+        beyond = lambda limit: metrics[metric] < limit if below else metrics[metric] > limit
+        soft = F.when(beyond(warn), "warn")
+        return soft if hard is None else F.when(beyond(hard), "hard").otherwise(soft)
+
+    every = F.array(*[F.struct(F.lit(rule).alias("rule"), severity(*limits).alias("severity")) for rule, limits in prose.READABILITY.items()])
+    return F.when(metrics["n_sentences"] > 0, F.filter(every, lambda f: f["severity"].isNotNull())).otherwise(F.filter(every, lambda f: F.lit(False)))
+
+
+def status(findings: DataFrame, key: str, rows: DataFrame, words: str, most: int = 4, per_hundred: float = 1.0) -> DataFrame:
+    """fail, warn or pass for each row of `rows`: any hard finding fails, warnings beyond the budget (a row, or a hundred words) warn."""
+    counts = findings.groupBy(key).agg(F.count_if(F.col("severity") == "hard").alias("n_hard"), F.count_if(F.col("severity") == "warn").alias("n_warn"))
+    out = rows.select(key, words).join(counts, key, "left").fillna(0, ["n_hard", "n_warn"])
+    over = (F.col("n_warn") > most) | (F.col("n_warn") > F.col(words) / 100 * per_hundred)
+    return out.withColumn("status", F.when(F.col("n_hard") > 0, "fail").when(over, "warn").otherwise("pass"))
