@@ -29,4 +29,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from paperflow.plans import library as _library  # noqa: E402, F401  fills the registry
+from paperflow.plans import library as _library, prose as _prose  # noqa: E402, F401  fill the registry

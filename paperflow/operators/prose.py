@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,9 +60,7 @@ def readability_findings(metrics: Column) -> Column:
     return F.when(metrics["n_sentences"] > 0, F.filter(every, lambda f: f["severity"].isNotNull())).otherwise(F.filter(every, lambda f: F.lit(False)))
 
 
-def status(findings: DataFrame, key: str, rows: DataFrame, words: str, most: int = 4, per_hundred: float = 1.0) -> DataFrame:
-    """fail, warn or pass for each row of `rows`: any hard finding fails, warnings beyond the budget (a row, or a hundred words) warn."""
-    counts = findings.groupBy(key).agg(F.count_if(F.col("severity") == "hard").alias("n_hard"), F.count_if(F.col("severity") == "warn").alias("n_warn"))
-    out = rows.select(key, words).join(counts, key, "left").fillna(0, ["n_hard", "n_warn"])
-    over = (F.col("n_warn") > most) | (F.col("n_warn") > F.col(words) / 100 * per_hundred)
-    return out.withColumn("status", F.when(F.col("n_hard") > 0, "fail").when(over, "warn").otherwise("pass"))
+def status(severities: Column, words: Column, most: int = 4, per_hundred: float = 1.0) -> Column:
+    """fail, warn or pass: any hard finding fails, warnings beyond the budget (a row, or a hundred words) warn."""
+    warnings = F.size(F.filter(severities, lambda s: s == "warn"))
+    return F.when(F.array_contains(severities, "hard"), "fail").when((warnings > most) | (warnings > words / 100 * per_hundred), "warn").otherwise("pass")
