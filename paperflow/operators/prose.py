@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperflow.functions import prose
+from paperflow.functions import anchors, prose
 
 _PLACE = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
 SPAN = T.ArrayType(T.StructType(_PLACE))
@@ -48,6 +48,12 @@ def english(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
         yield pd.Series([[dict(zip(("rule", "severity", "start", "end"), f, strict=True)) for f in prose.english_findings(t, title)] for t, title in zip(bodies, titles, strict=True)])
 
 
+@F.pandas_udf(FINDINGS)
+def unanchored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield batch.map(lambda t: [{"rule": "unanchored", "severity": level, "start": a, "end": b} for level, a, b in anchors.unanchored(t)])
+
+
 def readability_findings(metrics: Column) -> Column:
     """array<struct<rule, severity>> of the rules that the metrics break; none for a text without sentences."""
 

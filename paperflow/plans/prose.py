@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paperflow.catalog import register
 from paperflow.functions import identity, prose
 from paperflow.operators import claims as adjudication
-from paperflow.operators import collapse, ledger
+from paperflow.operators import collapse, ledger, render
 from paperflow.operators import prose as rules
 from paperflow.plans.library import first_line, table
 
@@ -90,3 +90,20 @@ def claim_adjudication(spark, sf_dir):
     rows = docs.select("doc_id", line.alias("example"), F.array(claim).alias("claims"), F.lit("supported").alias("model_verdict"), none.alias("title"), F.col("text").alias("abstract"), none.alias("tldr"), none.alias("venue"), none.alias("type"), none.alias("date"))
     out = adjudication.adjudicated(rows)
     return out.select("doc_id", "report.verdict", F.array_join(F.transform("report.failures", lambda f: f["code"]), ",").alias("failures"), "report.coverage")
+
+
+@register("unanchored_numbers")
+def unanchored_numbers(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(rules.unanchored("text")).alias("f"))
+    return found.select("doc_id", "f.severity", "f.start", "f.end")
+
+
+PAGE_ROWS_SQL = "SELECT day AS date, count(*)::BIGINT AS articles FROM (SELECT o_orderdate::DATE AS day FROM orders) GROUP BY 1"
+
+
+@register("day_pages", PAGE_ROWS_SQL)
+def day_pages(spark, sf_dir):
+    """Every day of orders as a page, and how many articles it holds."""
+    o = table(spark, sf_dir, "orders")
+    entries = o.select(F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderkey").alias("rank"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.lit(None).cast("string").alias("url"), F.array(F.col("o_orderpriority")).alias("authors"), F.col("o_orderstatus").alias("summary"), F.lit(None).cast("string").alias("notes"))
+    return render.day_pages(entries, "en").select("date", F.regexp_count("html", F.lit("<article>")).cast("bigint").alias("articles"))
