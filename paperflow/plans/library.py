@@ -262,10 +262,10 @@ def sample_size(spark, sf_dir):
     return spark.createDataFrame(STUDIES, "id int, a string, k string, v string, l string, o int").select("id", scoring.sample_size(F.col("a")).alias("n"))
 
 
-@register("credibility", "SELECT id, least(1, 0.4 * r + 0.25 * CASE WHEN n IS NULL THEN 0.4 ELSE log10(n) / 4 END + 0.2 * a + 0.045)::DOUBLE AS credibility FROM (VALUES (1, 1240, 1.0, 1.0), (2, 12345, 0.4, 0.8), (3, NULL, 1.0, 1.0), (4, 10, 0.6, 0.8), (5, NULL, 0.6, 0.3)) t(id, n, r, a) WHERE id <> 2 UNION ALL SELECT 2, 0.4 * 0.4 + 0.25 + 0.2 * 0.8 + 0.045")
+@register("credibility", "SELECT id, floor(credibility * 10000 + 0.5) / 10000 AS credibility FROM (SELECT id, least(1, 0.4 * r + 0.25 * CASE WHEN n IS NULL THEN 0.4 ELSE log10(n) / 4 END + 0.2 * a + 0.045)::DOUBLE AS credibility FROM (VALUES (1, 1240, 1.0, 1.0), (2, 12345, 0.4, 0.8), (3, NULL, 1.0, 1.0), (4, 10, 0.6, 0.8), (5, NULL, 0.6, 0.3)) t(id, n, r, a) WHERE id <> 2 UNION ALL SELECT 2, 0.4 * 0.4 + 0.25 + 0.2 * 0.8 + 0.045)")
 def credibility(spark, sf_dir):
     df = spark.createDataFrame(STUDIES, "id int, a string, k string, v string, l string, o int")
-    return df.select("id", scoring.credibility(scoring.peer_review(F.lit(False), F.col("k"), F.col("v")), scoring.sample_size(F.col("a")), scoring.open_access(F.col("o") == 1, F.col("l"))).alias("credibility"))
+    return df.select("id", scoring.rounded(scoring.credibility(scoring.peer_review(F.lit(False), F.col("k"), F.col("v")), scoring.sample_size(F.col("a")), scoring.open_access(F.col("o") == 1, F.col("l")))).alias("credibility"))
 
 
 @register("explainability")
@@ -297,9 +297,9 @@ def archive_index_days(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("best"))
 
 
-@register("run_log_rollup", "SELECT ts::DATE AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, sum(value) AS total FROM events GROUP BY 1, 2")
+@register("run_log_rollup", "SELECT ts::DATE AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, sum(value::DECIMAL(18, 2))::DOUBLE AS total FROM events GROUP BY 1, 2")
 def run_log_rollup(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.sum("value").alias("total"))
+    return table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 @register("category_chips", "SELECT n.n_nationkey, count(c.c_custkey) AS days FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY 1")
