@@ -1,15 +1,15 @@
 """Personal data, found by patterns and by what corpus co-occurrence discloses, in DataFrame operations alone.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each is a protected entity. A term
-that shares a line with an entity discloses it as far as their pointwise mutual information goes, estimated over all
-documents: PMI = log2(N n(t,e) / (n(t) n(e))), against the entity's own information IC = log2(N / n(e)). Terms with
-`least_lines` or more different lines beside the entity and PMI >= `share` IC are added as spans wherever they stand
-in a document with that entity, and `sanitise` replaces spans by their kinds.
+anywhere in a text that holds an entity discloses it as far as their pointwise mutual information goes, estimated
+over all different texts: PMI = log2(N m(t,e) / (n(t) n(e))), against the entity's own information IC = log2(N / n(e)).
+m = n(t,e) - 1 shrinks the count by the text at hand, which is no evidence for itself: few texts need a closer tie, and
+a single text, in which every word stands beside the entity alike, tells nothing. Terms with PMI >= `share` IC are added
+as spans wherever they stand in a document with that entity, and `sanitise` replaces spans by their kinds.
 
 Defined cases: a null text is empty; base spans stay whatever the method adds, also where kinds overlap; a row
-without id has base spans, and its lines count; rows that repeat an id are one document to the counts; lines that
-repeat count once for support, so copies are no evidence; a table without rows gives none; input columns may have
-any names.
+without id has base spans, and its text counts; texts that repeat count once in every count, so copies are no
+evidence; words in e-mail addresses are no terms; a table without rows gives none; input columns may have any names.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What words are made of.
+LETTER = r"\p{L}\p{M}"
 SPAN = "array<struct<start:int,end:int,kind:string,found:string>>"
 
 
@@ -65,8 +67,22 @@ def base_spans(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Distinct words of four or more letters, in lower case."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
+    """Distinct words in lower case, of any length, outside e-mail addresses; of Han, which has no spaces, also two and three characters in a row."""
+
+    def of(t: Column) -> Column:
+        grams = [F.regexp_extract_all(t, F.lit(rf"(?=(\p{{IsHan}}{{{n}}}))"), F.lit(1)) for n in (2, 3)]
+        words = F.filter(F.split(t, rf"[^{LETTER}]+"), lambda w: w != "")
+        return F.array_distinct(F.when(F.regexp_like(t, F.lit(r"\p{IsHan}{2}")), F.concat(words, *grams)).otherwise(words))
+
+    return let(F.lower(F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)), of)
+
+
+def told_pattern(told: Column) -> Column:
+    """Matches the terms `told` as whole words, and those of two or three Han characters also within a run."""
+    han = lambda w: F.regexp_like(w, F.lit(r"^\p{IsHan}{2,3}$"))
+    whole = lambda w: F.concat(F.lit(rf"(?<![{LETTER}])"), w, F.lit(rf"(?![{LETTER}])"))
+    runs = F.array_sort(F.filter(told, han), lambda a, b: F.length(b) - F.length(a))
+    return F.concat(F.lit("(?iu)(?:"), F.array_join(F.concat(runs, F.transform(F.filter(told, lambda w: ~han(w)), whole)), "|"), F.lit(")"))
 
 
 def entity(span: Column) -> Column:
@@ -74,16 +90,21 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"] == "email", F.lower(span["found"])).when(span["kind"] == "ip", span["found"]).otherwise(F.regexp_replace(span["found"], "[^0-9]", "")))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, *, doc_id: str, text: str, least_lines: int = 3, share: float = 0.8) -> DataFrame:
-    """(entity, term) for terms that disclose an entity. `found` has doc_id, spans and body of the rows with base spans."""
-    n_docs = max(1, docs.select(F.col(f"`{doc_id}`")).distinct().count())
-    lines = found.select("doc_id", F.explode(F.split("body", "\n")).alias("line")).where(F.regexp_like("line", F.lit("[0-9@]")))
-    beside = lines.select("doc_id", F.xxhash64("line").alias("line_key"), "line", F.explode(base_spans(F.col("line"))).alias("s")).select("doc_id", "line_key", entity(F.col("s")).alias("entity"), F.expr("overlay(line placing repeat(' ', s.end - s.start) from s.start + 1 for s.end - s.start)").alias("line"))
-    n_entity = beside.groupBy("entity").agg(F.approx_count_distinct("line_key").alias("lines"), F.countDistinct("doc_id").alias("n_entity")).where(F.col("lines") >= least_lines - 1).select("entity", "n_entity")
-    pairs = beside.join(n_entity, "entity").select("entity", "n_entity", "doc_id", "line_key", F.explode(terms(F.col("line"))).alias("term"))
-    pairs = pairs.groupBy("entity", "n_entity", "term").agg(F.countDistinct("line_key").alias("lines"), F.countDistinct("doc_id").alias("n_pair")).where(F.col("lines") >= least_lines)
-    n_term = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(terms(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    scored = pairs.join(n_term, "term").withColumn("pmi", F.log2(F.lit(n_docs) * F.col("n_pair") / (F.col("n_term") * F.col("n_entity")))).withColumn("ic", F.log2(F.lit(n_docs) / F.col("n_entity")))
+def disclosing(docs: DataFrame, found: DataFrame, *, text: str, share: float = 0.8) -> DataFrame:
+    """(entity, term) for terms that disclose an entity. `found` has body_key, spans and body of the rows with base spans."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    n_texts = max(1, docs.select(F.xxhash64(body)).distinct().count())
+    holders = found.select("body_key", F.explode("spans").alias("s")).select("body_key", entity(F.col("s")).alias("entity")).distinct()
+    held = holders.join(holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") > 1), "entity")
+    once = docs.select(F.xxhash64(body).alias("body_key"), F.array_join(terms(body), " ").alias("words")).dropDuplicates(["body_key"])
+    n_term = once.select(F.explode(F.split("words", " ")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") > 1)
+    # n(t,e) <= n(e): a term in more texts than this cannot reach `share`, so nothing is lost
+    most = lambda n: F.pow(F.lit(float(n_texts)), F.lit(1 - share)) * F.pow(n, F.lit(share)) * (1 + 1e-9)
+    widest = held.groupBy("body_key").agg(F.max("n_entity").alias("widest"))
+    near = found.select("body_key", "body").dropDuplicates(["body_key"]).join(widest, "body_key").select("body_key", "widest", F.explode(terms(F.col("body"))).alias("term"))
+    near = near.join(n_term, "term").where(F.col("n_term") <= most(F.col("widest"))).select("body_key", "term", "n_term")
+    pairs = near.join(held, "body_key").where(F.col("n_term") <= most(F.col("n_entity"))).groupBy("entity", "n_entity", "term", "n_term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") > 1)
+    scored = pairs.withColumn("pmi", F.log2(F.lit(float(n_texts)) * (F.col("n_pair") - 1) / (F.col("n_term") * F.col("n_entity")))).withColumn("ic", F.log2(F.lit(float(n_texts)) / F.col("n_entity")))
     return scored.where((F.col("ic") > 0) & (F.col("pmi") >= share * F.col("ic"))).select("entity", "term")
 
 
@@ -93,13 +114,12 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **optio
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("body"))
     marked = rows.select("doc_id", "body", base_spans(F.col("body")).alias("spans"))
     some = durable(marked.where(F.size("spans") > 0).select("doc_id", "spans", F.xxhash64("body").alias("body_key"), "body"))
-    pairs = disclosing(docs, some, doc_id=doc_id, text=text, **options)
+    pairs = disclosing(docs, some, text=text, **options)
     owners = some.select("doc_id", "body_key", F.explode("spans").alias("s")).select("doc_id", "body_key", entity(F.col("s")).alias("entity")).distinct()
     told = owners.join(pairs, "entity").groupBy("doc_id", "body_key").agg(F.array_sort(F.collect_set("term")).alias("told"))
     told = told.select(F.col("doc_id").alias("told_id"), F.col("body_key").alias("told_key"), "told")
     joined = marked.join(told, F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.xxhash64("body") == F.col("told_key")), "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("told", "|"), F.lit(r")(?!\p{L})"))
-    term = F.transform(match_spans(F.col("body"), pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("term").alias("kind"), s["found"].alias("found")))
+    term = F.transform(match_spans(F.col("body"), told_pattern(F.col("told"))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("term").alias("kind"), s["found"].alias("found")))
     outside = F.filter(term, lambda x: ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
     return joined.select("doc_id", "body", F.col("spans").alias("base"), F.when(F.col("told").isNotNull(), outside).otherwise(F.expr(f"cast(array() as {SPAN})")).alias("added"))
 

@@ -1,0 +1,36 @@
+"""What co-occurrence adds to the base spans: over whole texts, for names of any length, with the evidence that counts allow."""
+
+import random
+
+from paperflow.llm import pii
+
+SCHEMA = "doc_id long, text string"
+
+
+def plain(n, first=10_000):
+    rng = random.Random(3)
+    return [(first + k, " ".join(["contact", "at"] + [f"w{'abcdefghij'[rng.randrange(10)]}{'klmnopqrst'[rng.randrange(10)]}" for _ in range(12)])) for k in range(n)]
+
+
+def added(spark, docs):
+    found = pii.find(spark.createDataFrame(docs, SCHEMA)).collect()
+    return {r["doc_id"]: {s["found"] for s in r["added"]} for r in found}
+
+
+def test_whole_texts_and_short_names(spark):
+    docs = plain(400)
+    for k in range(12):  # one line in otherwise different documents; names on the line above, of three letters and of two characters
+        docs.append((k, f"contact Quokka at boss@x.yz\nnote{'abcdefghijkl'[k]} own"))
+        docs.append((100 + k, f"Kim\ncall +1 415 555 0100\nother{'abcdefghijkl'[k]} own"))
+        docs.append((200 + k, f"我们{'甲乙丙丁戊己庚辛壬癸子丑'[k]}金恩说 host 10.0.0.1 own"))
+    got = added(spark, docs)
+    for k in range(12):
+        assert got[k] == {"Quokka"}
+        assert "Kim" in got[100 + k] and "own" not in got[100 + k] and "contact" not in got[100 + k]
+        assert any("金恩" in x for x in got[200 + k])
+    assert all(not got[d[0]] for d in docs if d[0] >= 10_000)
+
+
+def test_copies_and_single_texts_tell_nothing(spark):
+    docs = plain(400) + [(k, "Numbat wrote from only@x.yz") for k in range(12)] + [(50, "Wombat wrote from single@x.yz")]
+    assert not any(added(spark, docs).values())
