@@ -2,12 +2,12 @@
 
 A text's lines are hashed; a cyclic-polynomial rolling hash over the last `window` line hashes ends a chunk wherever
 it is 0 mod `divisor`, so that a boundary depends on the lines about it alone and chunks line up again after an
-insertion. Chunk hashes are counted globally; of those found more than once, the texts are compared byte by byte
+insertion. No chunk ends before it has `least_lines` lines that are not blank, and a shorter tail joins the chunk
+before it, so that a later copy of several lines goes whole. Chunk hashes are counted globally; of those found more than once, the texts are compared byte by byte
 with the first chunk (by id, then place), which stays while equal ones go. Counts combine before they shuffle; the
 texts that are compared and the documents themselves are joined on keys, where adaptive execution splits hot ones.
 
-Defined cases: a null text stays null; chunks with fewer than `least_lines` lines that are not blank stay, and so
-does the whole of a text without such chunks; a row without id comes before all others; rows that repeat an id and
+Defined cases: a null text stays null; a text with fewer than `least_lines` lines that are not blank stays; a row without id comes before all others; rows that repeat an id and
 its text are one document and get the same result; a table without rows gives none; helper columns take free names.
 """
 
@@ -23,7 +23,7 @@ def rotated(h: Column, n: int) -> Column:
     return F.shiftleft(h, n).bitwiseOR(F.shiftrightunsigned(h, 64 - n)) if n else h
 
 
-def chunks_of(text: Column, *, window: int = 3, divisor: int = 4) -> Column:
+def chunks_of(text: Column, *, window: int = 3, divisor: int = 4, least_lines: int = 2) -> Column:
     """array<struct<body, n_lines, full>>: chunks that joined by newlines give the text; full counts the lines that are not blank."""
 
     def ends(h: Column) -> Column:
@@ -39,8 +39,24 @@ def chunks_of(text: Column, *, window: int = 3, divisor: int = 4) -> Column:
         part = F.slice(lines, start + 1, end - start + 1)
         return F.struct(F.array_join(part, "\n").alias("body"), F.size(part).alias("n_lines"), F.size(F.filter(part, lambda x: F.translate(x, BLANKS, "") != "")).alias("full"))
 
+    def wide(lines: Column, e: Column) -> Column:
+        """The ends that leave each chunk `least_lines` lines that are not blank."""
+        none = F.struct(F.expr("cast(array() as array<int>)").alias("out"), F.lit(0).alias("full"))
+        parts = F.transform(e, lambda end, k: F.struct(end.alias("end"), chunk(lines, F.coalesce(F.get(e, k - 1) + 1, F.lit(0)), end)["full"].alias("full")))
+
+        def step(s: Column, x: Column) -> Column:
+            full = s["full"] + x["full"]
+            enough = full >= least_lines
+            return F.struct(F.when(enough, F.array_append(s["out"], x["end"])).otherwise(s["out"]).alias("out"), F.when(enough, 0).otherwise(full).alias("full"))
+
+        def closed(out: Column) -> Column:
+            return F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.size(lines) - 1))
+
+        return let(F.aggregate(parts, none, step, lambda s: s["out"]), closed)
+
     def cut(lines: Column) -> Column:
-        return let(let(F.transform(lines, lambda x: F.xxhash64(x)), ends), lambda e: F.transform(e, lambda end, k: chunk(lines, F.coalesce(F.get(e, k - 1) + 1, F.lit(0)), end)))
+        found = let(let(F.transform(lines, lambda x: F.xxhash64(x)), ends), lambda e: wide(lines, e))
+        return let(found, lambda e: F.transform(e, lambda end, k: chunk(lines, F.coalesce(F.get(e, k - 1) + 1, F.lit(0)), end)))
 
     return let(F.split(text, "\n"), cut)
 
@@ -49,6 +65,7 @@ def repeated(rows: DataFrame, text: str, least_lines: int, **options) -> DataFra
     """(id_, key_, gone array of chunk numbers) of `rows`, which have the columns id_, key_ and `text`: what each document loses.
 
     Hashes and places alone find what repeats; then the texts of the repeated chunks are fetched and compared."""
+    options["least_lines"] = least_lines
     parts = rows.where(F.col(f"`{text}`").isNotNull()).select("id_", "key_", F.posexplode(chunks_of(F.col(f"`{text}`"), **options)).alias("n", "c")).where(F.col("c")["full"] >= least_lines)
     slim = parts.select(F.struct("id_", "key_", "n").alias("place"), F.xxhash64(F.col("c")["body"]).alias("h"))
     # one place twice is a repeated row
@@ -77,8 +94,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     def lost(c: Column) -> Column:
         return F.aggregate(F.filter(c, lambda x, n: F.array_contains("gone", n)), F.lit(0), lambda a, x: a + x["n_lines"])
 
-    kept = F.when(F.col("gone").isNull(), F.col(body)).otherwise(let(chunks_of(F.col(body), **options), rest))
+    kept = F.when(F.col("gone").isNull(), F.col(body)).otherwise(let(chunks_of(F.col(body), least_lines=least_lines, **options), rest))
     extra = []
     if removed:
-        extra = [F.struct(F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("chunks"), F.when(F.col("gone").isNull(), 0).otherwise(let(chunks_of(F.col(body), **options), lost)).cast("long").alias("lines")).alias(removed)]
+        extra = [F.struct(F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("chunks"), F.when(F.col("gone").isNull(), 0).otherwise(let(chunks_of(F.col(body), least_lines=least_lines, **options), lost)).cast("long").alias("lines")).alias(removed)]
     return joined.select(*[(kept if n == body else F.col(n)).alias(c) for n, c in zip(names, docs.columns, strict=True)], *extra)

@@ -1,0 +1,38 @@
+"""Chunks have at least two lines that are not blank: later exact copies of several lines lose them all."""
+
+import test_line_dedup
+import test_pipeline
+from odd import WORDS
+
+from paperflow.llm import line_dedup
+
+narrow = test_line_dedup.plain_chunks
+
+
+def plain_chunks(text, least_lines=2):
+    out, start = [], []
+    for part in narrow(text):
+        start += part
+        if sum(bool(WORDS.search(x)) for x in start) >= least_lines:
+            out.append(start)
+            start = []
+    if start and out:
+        out[-1] += start
+    return out or [start]
+
+
+def test_later_copies_go_whole(spark):
+    text = {k: "\n".join(["", *(f"text {k} line {j}" for j in range(2 + k % 17)), ""]) for k in range(60)}
+    docs = spark.createDataFrame([(k, t) for k, t in text.items()] + [(1000 + k, t) for k, t in text.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == text | {1000 + k: "" for k in text}
+
+
+def test_query_against_plain_version(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(test_line_dedup, "plain_chunks", plain_chunks)
+    test_line_dedup.test_query(spark, tmp_path)
+
+
+def test_pipeline_stages_against_plain_version(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(test_pipeline, "plain_chunks", plain_chunks)
+    test_pipeline.test_stages(spark, tmp_path)
