@@ -8,8 +8,8 @@ benchmark, blocks of at most `block_bytes` are broadcast, one pass each.
 
 Defined cases: a null text has no words and no hits; a null item text has no windows; an item without id is left
 out; an item of fewer than `window` words is one window; items with one id count once; rows are judged one by one,
-so repeated rows get equal results; an empty benchmark leaves everything clean; a text longer than a shard gets a
-shard of its own. Input columns may have any names: what is added has a name that was free.
+so repeated rows get equal results; an empty benchmark leaves everything clean; a text longer than a suffix
+array can place is cut into several that overlap by `window` - 1 words, and matches across a cut are joined again. Input columns may have any names: what is added has a name that was free.
 """
 
 from __future__ import annotations
@@ -142,7 +142,7 @@ class Suffixes:
 
 
 def scan_shard(index: Suffixes, ids: np.ndarray, first: np.ndarray, line: list) -> dict[int, tuple[list, list]]:
-    """For documents with matches: ([(start, words) of hits], [(item, item word, document word, words)]).
+    """For documents with matches: ([(start, words) of hits], [(number of the item, item word, document word, words)]).
 
     ids: of all words; first: of each document, and one past the last; line[d]() gives a document's words."""
     n_docs = len(first) - 1
@@ -182,7 +182,7 @@ def scan_shard(index: Suffixes, ids: np.ndarray, first: np.ndarray, line: list)
         hits, matches = out.setdefault(d, ([], []))
         for a, b, m in runs:
             hits.append((a, m))
-            matches.append((index.items[i], b, a, m))
+            matches.append((i, b, a, m))
     return {d: x for d, x in out.items() if x[1]}
 
 
@@ -195,36 +195,65 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
+def scan_long(index: Suffixes, ids: np.ndarray, line: list[bytes]) -> list[tuple]:
+    """The matches of one document, scanned in overlapping pieces; each window of `width` words starts in one piece alone."""
+    width, most = index.ids.shape[1], PLACE - 1
+    if most < width:
+        raise ValueError(f"a window of {width} words is longer than a suffix array of {PLACE}")
+    found: dict[tuple, tuple] = {}  # a window shorter than `width` may be seen twice
+    cuts = set(range(most - width + 1, len(ids), most - width + 1))
+    for at in [0, *sorted(cuts)]:
+        piece = line[at : at + most]
+        got = scan_shard(index, ids[at : at + most], np.array([0, len(piece)]), [lambda piece=piece: piece])
+        for i, iw, w, n in got.get(0, ([], []))[1]:
+            found.setdefault((i, w + at - iw, w + at, n), (i, iw, w + at, n))
+    out: list[tuple] = []
+    for i, iw, w, n in (found[k] for k in sorted(found)):
+        if w in cuts and out and (out[-1][0], out[-1][2] - out[-1][1]) == (i, w - iw) and out[-1][2] + out[-1][3] == w + width - 1:
+            out[-1] = (*out[-1][:3], w + n - out[-1][2])
+        else:
+            out.append((i, iw, w, n))
+    return out
+
+
 def scan_batch(index: Suffixes, texts: pa.Array, share: int, before: list | None = None) -> pa.Array:
     raw, offsets = buffers(texts)
     out: list[dict] = []
     ids, first, lines = [], [0], []
 
+    def put(n: int, matches: list[tuple]) -> None:
+        matches = [(index.items[m[0]], *m[1:]) for m in matches]
+        old = before[len(out)] if before is not None else None
+        if old:
+            matches = [tuple(m.values()) for m in old["matches"]] + matches
+        n_hit = covered([(m[2], m[3]) for m in matches])
+        out.append({"n_words": n, "n_hit": n_hit, "items": sorted({m[0] for m in matches}), "matches": [dict(zip(("item_id", "item_word", "doc_word", "n_words"), m, strict=True)) for m in matches], "contaminated": n_hit > 0 and share * n_hit >= n})
+
     def flush() -> None:
         nonlocal ids, first, lines
         if not lines:
             return
         found = scan_shard(index, np.concatenate(ids), np.array(first), lines)
         for d in range(len(lines)):
-            n, (_, matches) = first[d + 1] - first[d], found.get(d, ([], []))
-            old = before[len(out)] if before is not None else None
-            if old:
-                matches = [tuple(m.values()) for m in old["matches"]] + matches
-            n_hit = covered([(m[2], m[3]) for m in matches])
-            out.append({"n_words": n, "n_hit": n_hit, "items": sorted({m[0] for m in matches}), "matches": [dict(zip(("item_id", "item_word", "doc_word", "n_words"), m, strict=True)) for m in matches], "contaminated": n_hit > 0 and share * n_hit >= n})
+            put(first[d + 1] - first[d], found.get(d, ([], []))[1])
         ids, first, lines = [], [0], []
 
     for a, b in blocks(offsets, HASH_BYTES):
         at = offsets[a : b + 1] - offsets[a]
         counted, starts, ends, where = word_spans(raw[offsets[a] : offsets[b]], at, ALNUM_LOWER)
         got = word_ids(counted, starts, ends)
-        if lines and first[-1] + len(got) + len(lines) + (b - a) > SHARD_WORDS:
-            flush()
-        if len(got) + (b - a) > PLACE:
-            raise ValueError(f"a text of {len(got)} words is longer than a suffix array of {PLACE}")
-        ids.append(got)
-        first.extend((where[1:] + first[-1]).tolist())
-        lines.extend((lambda c=counted, s=at[d], e=at[d + 1]: c[s:e].tobytes().split()) for d in range(b - a))
+        line = [(lambda c=counted, s=at[d], e=at[d + 1]: c[s:e].tobytes().split()) for d in range(b - a)]
+        whole = len(got) + (b - a) <= PLACE
+        for c, d in [(0, b - a)] if whole else [(k, k + 1) for k in range(b - a)]:
+            part = got[where[c] : where[d]]
+            if lines and first[-1] + len(part) + len(lines) + (d - c) > min(SHARD_WORDS, PLACE):
+                flush()
+            if len(part) + (d - c) > PLACE:
+                put(len(part), scan_long(index, part, line[c]()) if len(index.ids) else [])
+                continue
+            first.extend((where[c + 1 : d + 1] - where[c] + first[-1]).tolist())
+            ids.append(part)
+            lines.extend(line[c:d])
     flush()
     return pa.array(out, type=ARROW_RESULT)
 
