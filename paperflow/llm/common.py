@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def free_name(df_columns: list[str], base: str) -> str:
@@ -88,19 +88,6 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tup
     return counted, starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(22, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        up, down = np.full(size, MULTIPLIER), np.full(size, INVERSE)
-        up[0] = down[0] = 1
-        _POWERS[size] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _POWERS[size]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads their bits."""
     h = h ^ (h >> np.uint64(33))
@@ -110,19 +97,38 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(counted: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same wherever the word stands."""
-    up, down = _powers(len(counted))
-    total = np.zeros(len(counted) + 1, dtype=np.uint64)
-    np.cumsum((counted.astype(np.uint64) + np.uint64(1)) * up[: len(counted)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n words; one for each start that leaves n words."""
-    if len(words) < n:
-        return np.zeros(0, dtype=np.uint64)
-    up, down = _powers(len(words))
-    total = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mix((total[n:] - total[:-n]) * down[: len(words) - n + 1])
+@dataclass(frozen=True)
+class Hasher:
+    """Hashes of words and of runs of words in lanes of 64 bits, each a row of the result.
+
+    A word's hash is the sum of its bytes times keys that depend on the byte's place in the word; runs join two by two
+    with further keys. Lanes have keys of their own, all drawn from `seed`: for any two different words or runs, chosen
+    before the seed, a lane collides with a probability of about 2^-56. The same words hash alike wherever they stand."""
+
+    seed: int = 0
+    lanes: int = 1
+
+    def _keys(self, lane: int, at: np.ndarray) -> np.ndarray:
+        return mix(mix(at.astype(np.uint64) * GOLDEN + np.uint64((self.seed + lane * 0x632BE59BD9B4E019) % (1 << 64))) + GOLDEN)
+
+    def words(self, counted: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.zeros((self.lanes, 0), dtype=np.uint64)
+        lengths = ends - starts
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+        byte = counted[place + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
+        places = np.arange(int(lengths.max()))
+        return np.stack([mix(np.add.reduceat(self._keys(k, places)[place] * byte, first) + mix(lengths.astype(np.uint64))) for k in range(self.lanes)])
+
+    def runs(self, words: np.ndarray, n: int) -> np.ndarray:
+        """Of each run of n words, one for each start that leaves n words. Runs of 1, 2, 4 ... words join to n, the last two overlapping."""
+        if words.shape[1] < n:
+            return np.zeros((self.lanes, 0), dtype=np.uint64)
+        size = 1
+        while size < n:
+            by = min(size, n - size)
+            left, right = (self._keys(k, np.array([1 << 40, 2 << 40]) + size) | np.uint64(1) for k in range(self.lanes)), words[:, by:]
+            words = np.stack([mix(a * key[0] + b * key[1]) for a, b, key in zip(words[:, : words.shape[1] - by], right, left, strict=True)])
+            size += by
+        return words

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperflow.llm.common import ALNUM_LOWER, blocks, buffers, durable, free_name, word_hashes, word_spans
+from paperflow.llm.common import ALNUM_LOWER, Hasher, blocks, buffers, durable, free_name, word_spans
 
 RESULT = T.StructType(
     [
@@ -51,7 +51,7 @@ SHARD_WORDS, HASH_BYTES = 1 << 20, 4 << 20
 
 def word_ids(counted: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """42-bit ids of words, above 0, which stands between documents."""
-    return np.maximum((word_hashes(counted, starts, ends) >> np.uint64(64 - ID_BITS)).astype(np.int64), 1)
+    return np.maximum((Hasher().words(counted, starts, ends)[0] >> np.uint64(64 - ID_BITS)).astype(np.int64), 1)
 
 
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:

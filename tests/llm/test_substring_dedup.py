@@ -44,3 +44,33 @@ def test_many_shards(spark, window):
 
 def test_no_rows(spark):
     assert substring_dedup.dedup_substrings(spark.createDataFrame([], SCHEMA))[0].collect() == []
+
+
+@pytest.mark.parametrize("levels", [2, 3, 4])
+def test_levels_agree(spark, levels):
+    docs = documents(seed=5, n=120)
+    found, into = substring_dedup.dedup_substrings(spark.createDataFrame(docs, SCHEMA), levels=levels, shard_bytes=20_000, seed=levels)
+    assert Counter((r["doc_id"], r[into]["n_words"], r[into]["n_removed"], sha(r[into]["kept"])) for r in found.collect()) == plain(docs)
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b, common = a.translate(str.maketrans("ab", "ba")), " ".join(f"w{k}" for k in range(49))
+    docs = spark.createDataFrame([(1, f"{common} {a}"), (2, f"{common} {b}"), (3, f"{common} {a}")], "doc_id long, text string")
+    found, into = substring_dedup.dedup_substrings(docs)
+    assert {r["doc_id"]: r[into]["n_removed"] for r in found.collect()} == {1: 0, 2: 0, 3: 50}
+
+
+def test_one_id_and_no_id_in_many_rows(spark):
+    text = [" ".join(f"w{k}" for k in range(s, s + 60)) for s in range(0, 400, 5)]
+    docs = [(None, t) for t in text] + [(7, t) for t in text] + [(9, text[3])]
+    found, into = substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string"), shard_bytes=3000)
+    assert Counter((r["doc_id"], r[into]["n_words"], r[into]["n_removed"], sha(r[into]["kept"])) for r in found.collect()) == plain(docs)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6, 7, 8)], "doc_id long, text string, shard int, id int, row int, passages int")
+    found, into = substring_dedup.dedup_substrings(docs)
+    assert found.columns == [*docs.columns, into] and found.first()["shard"] == 5 and found.first()[into]["kept"] == "a b"
