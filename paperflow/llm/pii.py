@@ -1,19 +1,25 @@
 """Personal data, found by patterns and by what corpus co-occurrence discloses, in DataFrame operations alone.
 
-Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each is a protected entity. A term
-anywhere in a text that holds an entity discloses it as far as their pointwise mutual information goes, estimated
-over all different texts: PMI = log2(N m(t,e) / (n(t) n(e))), against the entity's own information IC = log2(N / n(e)).
+Protected entities are the values of base spans (e-mail addresses, IP addresses, card and phone numbers) and of
+secrets: codes of letters and digits whose own characters carry `secret_bits` or more of information. Beside the
+values, each kind is an entity of its own, held by every text with a value of that kind. A term anywhere in a text
+that holds an entity discloses it as far as their pointwise mutual information goes, estimated over all different
+texts: PMI = log2(N m(t,e) / (n(t) n(e))), against the entity's own information IC = log2(N / n(e)).
 m = n(t,e) - 1 shrinks the count by the text at hand, which is no evidence for itself: few texts need a closer tie, and
-a single text, in which every word stands beside the entity alike, tells nothing. Terms with PMI >= `share` IC are added
-as spans wherever they stand in a document with that entity, and `sanitise` replaces spans by their kinds.
+a single text, in which every word stands beside the entity alike, tells nothing. A term discloses if PMI >= `share` IC
+and if so close a tie is no accident: by Chernoff's bound, n(t) KL(n(t,e)/n(t) || n(e)/N) >= ln(terms / `alpha`).
+Terms that disclose a value are spans of kind term and `sanitise` removes them; those that disclose only a kind are
+hints and generalised, as are base spans and secrets. They count wherever they stand in a text with that entity.
 
-Defined cases: a null text is empty; base spans stay whatever the method adds, also where kinds overlap; a row
-without id has base spans, and its text counts; texts that repeat count once in every count, so copies are no
+Defined cases: a null text is empty; base spans stay whatever the method adds, also where kinds overlap, and nothing
+added overlaps them; a row without id has base spans, and its text counts; texts that repeat count once in every count, so copies are no
 evidence; words in e-mail addresses are no terms; a table without rows gives none; input columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +37,9 @@ PATTERNS = {
 #: What words are made of.
 LETTER = r"\p{L}\p{M}"
 SPAN = "array<struct<start:int,end:int,kind:string,found:string>>"
+#: What the method adds: secrets, terms that disclose a value, terms that disclose a kind.
+ADDED = ("secret", "term", "hint")
+CODE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}+"
 
 
 def luhn(digits: Column) -> Column:
@@ -77,12 +86,29 @@ def terms(text: Column) -> Column:
     return let(F.lower(F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)), of)
 
 
+def secret_spans(text: Column, bits: float) -> Column:
+    """Codes with letters and digits (one of eight characters or more) of `bits` of information by their own characters."""
+
+    def strong(x: Column) -> Column:
+        digits = F.length(x) - F.length(F.translate(x, "0123456789", ""))
+        mixed = (8 * digits >= F.length(x)) & F.regexp_like(x, F.lit("[A-Za-z]"))
+
+        def information(chars: Column) -> Column:
+            each = lambda c: F.size(F.filter(chars, lambda d: d == c))
+            return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda total, c: total + each(c) * F.log2(F.size(chars) / each(c)))
+
+        return F.when(mixed, let(F.split(x, ""), information) >= bits).otherwise(False)
+
+    found = F.filter(match_spans(text, CODE), lambda s: strong(s["found"]))
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("secret").alias("kind"), s["found"].alias("found")))
+
+
 def told_pattern(told: Column) -> Column:
     """Matches the terms `told` as whole words, and those of two or three Han characters also within a run."""
     han = lambda w: F.regexp_like(w, F.lit(r"^\p{IsHan}{2,3}$"))
-    whole = lambda w: F.concat(F.lit(rf"(?<![{LETTER}])"), w, F.lit(rf"(?![{LETTER}])"))
     runs = F.array_sort(F.filter(told, han), lambda a, b: F.length(b) - F.length(a))
-    return F.concat(F.lit("(?iu)(?:"), F.array_join(F.concat(runs, F.transform(F.filter(told, lambda w: ~han(w)), whole)), "|"), F.lit(")"))
+    whole = F.concat(F.lit(rf"(?<![{LETTER}])(?:"), F.array_join(F.filter(told, lambda w: ~han(w)), "|"), F.lit(rf")(?![{LETTER}])"))
+    return F.concat(F.lit("(?iu)(?:"), F.array_join(F.concat(runs, F.when(F.size(runs) < F.size(told), F.array(whole)).otherwise(F.expr("cast(array() as array<string>)"))), "|"), F.lit(")"))
 
 
 def entity(span: Column) -> Column:
@@ -90,38 +116,53 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"] == "email", F.lower(span["found"])).when(span["kind"] == "ip", span["found"]).otherwise(F.regexp_replace(span["found"], "[^0-9]", "")))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, *, text: str, share: float = 0.8) -> DataFrame:
-    """(entity, term) for terms that disclose an entity. `found` has body_key, spans and body of the rows with base spans."""
+def disclosing(docs: DataFrame, rows: DataFrame, *, text: str, share: float = 0.8, alpha: float = 0.001) -> DataFrame:
+    """(body_key, term, entity) for the terms of a text that disclose one of its entities; kinds end with ":*". `rows` has body_key of all rows, and spans and body of those with spans."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    n_texts = max(1, docs.select(F.xxhash64(body)).distinct().count())
-    holders = found.select("body_key", F.explode("spans").alias("s")).select("body_key", entity(F.col("s")).alias("entity")).distinct()
-    held = holders.join(holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") > 1), "entity")
-    once = docs.select(F.xxhash64(body).alias("body_key"), F.array_join(terms(body), " ").alias("words")).dropDuplicates(["body_key"])
-    n_term = once.select(F.explode(F.split("words", " ")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") > 1)
+    n_texts = max(1, rows.select("body_key").distinct().count())
+    some = rows.where(F.size("spans") > 0)
+    held = some.select("body_key", F.explode("spans").alias("s")).select("body_key", F.explode(F.array(entity(F.col("s")), F.concat(F.col("s")["kind"], F.lit(":*")))).alias("entity")).distinct()
+    held = held.join(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") > 1), "entity")
+    n_term = docs.select(F.xxhash64(body).alias("body_key"), F.explode(terms(body)).alias("term")).groupBy("term").agg(F.count_distinct("body_key").alias("n_term")).where(F.col("n_term") > 1)
+    n_term = durable(n_term)
+    least = math.log(max(1, n_term.count()) / alpha)
     # n(t,e) <= n(e): a term in more texts than this cannot reach `share`, so nothing is lost
     most = lambda n: F.pow(F.lit(float(n_texts)), F.lit(1 - share)) * F.pow(n, F.lit(share)) * (1 + 1e-9)
     widest = held.groupBy("body_key").agg(F.max("n_entity").alias("widest"))
-    near = found.select("body_key", "body").dropDuplicates(["body_key"]).join(widest, "body_key").select("body_key", "widest", F.explode(terms(F.col("body"))).alias("term"))
+    near = some.select("body_key", "body").dropDuplicates(["body_key"]).join(widest, "body_key").select("body_key", "widest", F.explode(terms(F.col("body"))).alias("term"))
     near = near.join(n_term, "term").where(F.col("n_term") <= most(F.col("widest"))).select("body_key", "term", "n_term")
-    pairs = near.join(held, "body_key").where(F.col("n_term") <= most(F.col("n_entity"))).groupBy("entity", "n_entity", "term", "n_term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") > 1)
-    scored = pairs.withColumn("pmi", F.log2(F.lit(float(n_texts)) * (F.col("n_pair") - 1) / (F.col("n_term") * F.col("n_entity")))).withColumn("ic", F.log2(F.lit(float(n_texts)) / F.col("n_entity")))
-    return scored.where((F.col("ic") > 0) & (F.col("pmi") >= share * F.col("ic"))).select("entity", "term")
+    near = durable(near.join(held, "body_key").where(F.col("n_term") <= most(F.col("n_entity"))).select("body_key", "entity", "n_entity", "term", "n_term"))
+    pairs = near.groupBy("entity", "n_entity", "term", "n_term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") > 1)
+    n, f, p = F.lit(float(n_texts)), F.col("n_pair") / F.col("n_term"), F.col("n_entity") / F.lit(float(n_texts))
+    pmi, ic = F.log2(n * (F.col("n_pair") - 1) / (F.col("n_term") * F.col("n_entity"))), F.log2(n / F.col("n_entity"))
+    tie = F.col("n_term") * (f * F.log(f / p) + F.when(f < 1, (1 - f) * F.log((1 - f) / (1 - p))).otherwise(0.0))
+    scored = pairs.where((ic > 0) & (f > p) & (pmi >= share * ic) & (tie >= least)).select("entity", "term")
+    return near.select("body_key", "term", "entity").join(scored, ["entity", "term"])
 
 
-def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(doc_id, body, base, added): every text with its base spans and those that the method adds."""
+def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", secret_bits: float = 96.0, whole: bool = True, **options) -> DataFrame:
+    """(doc_id, body, base, added): every text with its base spans and those that the method adds. Unless `whole`, body is null where there are no spans."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("body"))
-    marked = rows.select("doc_id", "body", base_spans(F.col("body")).alias("spans"))
-    some = durable(marked.where(F.size("spans") > 0).select("doc_id", "spans", F.xxhash64("body").alias("body_key"), "body"))
-    pairs = disclosing(docs, some, text=text, **options)
-    owners = some.select("doc_id", "body_key", F.explode("spans").alias("s")).select("doc_id", "body_key", entity(F.col("s")).alias("entity")).distinct()
-    told = owners.join(pairs, "entity").groupBy("doc_id", "body_key").agg(F.array_sort(F.collect_set("term")).alias("told"))
-    told = told.select(F.col("doc_id").alias("told_id"), F.col("body_key").alias("told_key"), "told")
-    joined = marked.join(told, F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.xxhash64("body") == F.col("told_key")), "left")
-    term = F.transform(match_spans(F.col("body"), told_pattern(F.col("told"))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("term").alias("kind"), s["found"].alias("found")))
-    outside = F.filter(term, lambda x: ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    return joined.select("doc_id", "body", F.col("spans").alias("base"), F.when(F.col("told").isNotNull(), outside).otherwise(F.expr(f"cast(array() as {SPAN})")).alias("added"))
+    marked = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("body"), base_spans(body).alias("base"), secret_spans(body, secret_bits).alias("secrets"))
+    apart = F.filter("secrets", lambda x: ~F.exists("base", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
+    rows = marked.select("doc_id", F.xxhash64("body").alias("body_key"), "base", F.concat("base", apart).alias("spans"), "body")
+    if not whole:
+        rows = rows.withColumn("body", F.when(F.size("spans") > 0, F.col("body")))
+    rows = durable(rows)
+    found = disclosing(docs, rows, text=text, **options)
+    value = lambda own: F.array_sort(F.collect_set(F.when(F.endswith("entity", F.lit(":*")) != own, F.col("term"))))
+    told = found.groupBy("body_key").agg(value(F.lit(True)).alias("of_values"), value(F.lit(False)).alias("of_kinds")).select(F.col("body_key").alias("told_key"), "of_values", F.array_except("of_kinds", "of_values").alias("of_kinds"))
+    none = F.expr(f"cast(array() as {SPAN})")
+
+    def spans(of: str, kind: str) -> Column:
+        every = F.transform(match_spans(F.col("body"), told_pattern(F.col(of))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["found"].alias("found")))
+        outside = F.filter(every, lambda x: ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
+        return F.when(F.size(of) > 0, outside).otherwise(none)
+
+    secrets = F.filter("spans", lambda s: s["kind"] == "secret")
+    with_spans = rows.where(F.size("spans") > 0).join(told, F.col("body_key") == F.col("told_key"), "left")
+    with_spans = with_spans.select("doc_id", "body", "base", F.concat(secrets, spans("of_values", "term"), spans("of_kinds", "hint")).alias("added"))
+    return with_spans.unionByName(rows.where(F.size("spans") == 0).select("doc_id", "body", "base", none.alias("added")))
 
 
 def listed(spans: Column) -> Column:
@@ -129,20 +170,21 @@ def listed(spans: Column) -> Column:
 
 
 def in_order(base: Column, added: Column) -> Column:
-    """Both by start, then by kind in the order of KINDS; what the method adds comes last."""
-    rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS], F.lit("term")), s["kind"])
+    """Both by start, then by kind in the order of KINDS and ADDED."""
+    rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS + ADDED]), s["kind"])
     keyed = F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     return F.array_sort(keyed)
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
-    found = find(docs, **options)
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(in_order(F.col("base"), F.col("added"))).alias("spans"))
+    found = find(docs, whole=False, **options)
+    count = lambda of, k: F.size(F.filter(of, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    every = listed(in_order(F.col("base"), F.col("added"))).alias("spans")
+    return found.select("doc_id", *[count("base", k) for k in KINDS], F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), every, *[count("added", k) for k in ADDED], (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, text): base spans generalised to their kind in brackets, added terms removed; of overlapping spans the first counts."""
+    """(doc_id, text): base spans, secrets and hints generalised to their kind in brackets, terms removed; of overlapping spans the first counts."""
     found = find(docs, **options)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -1,6 +1,11 @@
 """What co-occurrence adds to the base spans: over whole texts, for names of any length, with the evidence that counts allow."""
 
+import math
 import random
+import re
+from collections import Counter
+
+import pytest
 
 from paperflow.llm import pii
 
@@ -34,3 +39,84 @@ def test_whole_texts_and_short_names(spark):
 def test_copies_and_single_texts_tell_nothing(spark):
     docs = plain(400) + [(k, "Numbat wrote from only@x.yz") for k in range(12)] + [(50, "Wombat wrote from single@x.yz")]
     assert not any(added(spark, docs).values())
+
+
+def entities(text):
+    for _, _, _, kind, value in spans_of(text):
+        yield f"{kind}:{value}"
+        yield f"{kind}:*"
+
+
+def spans_of(text):
+    out = [(m.start(), m.end(), 0, "email", m[0].lower()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}", text):
+        n = Counter(m[0])
+        bits = sum(c * math.log2(len(m[0]) / c) for c in n.values())
+        if bits >= 96 and 8 * sum(c.isdigit() for c in m[0]) >= len(m[0]) and re.search("[A-Za-z]", m[0]):
+            out.append((m.start(), m.end(), 1, "secret", re.sub("[^0-9]", "", m[0])))
+    return sorted(out)
+
+
+def words_of(text):
+    bare = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", " ", text)
+    return set(re.findall(r"[^\W\d_]+", bare.lower()))
+
+
+def plain_added(docs, share=0.8, alpha=0.001):
+    texts = {t or "" for _, t in docs}
+    n, n_term = len(texts), Counter(w for t in texts for w in words_of(t))
+    n_entity = Counter(e for t in texts for e in set(entities(t)))
+    n_pair = Counter((e, w) for t in texts for e in set(entities(t)) for w in words_of(t))
+    vocabulary = sum(c > 1 for c in n_term.values())
+
+    def discloses(e, w):
+        a, b, c = n_pair[e, w], n_term[w], n_entity[e]
+        if a < 2 or c < 2 or c == n or a / b <= c / n:
+            return False
+        f, p = a / b, c / n
+        tie = b * (f * math.log(f / p) + ((1 - f) * math.log((1 - f) / (1 - p)) if f < 1 else 0))
+        return math.log2(n * (a - 1) / (b * c)) >= share * math.log2(n / c) and tie >= math.log(vocabulary / alpha)
+
+    out = Counter()
+    for i, t in docs:
+        t, added = t or "", set()
+        taken = [(a, b) for a, b, *_ in spans_of(t)]
+        added |= {("secret", a, b) for a, b, _, kind, _ in spans_of(t) if kind == "secret"}
+        good = {w: {e for e in set(entities(t)) if discloses(e, w)} for w in words_of(t)}
+        for m in re.finditer(r"[^\W\d_]+", t):
+            of = good.get(m[0].lower())
+            if of and not any(a < m.end() and m.start() < b for a, b in taken):
+                added.add(("term" if any(not e.endswith(":*") for e in of) else "hint", m.start(), m.end()))
+        out[(i, tuple(sorted(added)))] += 1
+    return out
+
+
+@pytest.mark.parametrize("times", [1, 2, 4])
+def test_against_plain_version(spark, times):
+    rng = random.Random(9)
+    docs = plain(300)
+    for k in range(25):  # a secret of its own in each text, beside a word that only such texts have
+        code = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        docs.append((k, f"{docs[k][1]}\nApikey = {code} {docs[k + 30][1]}"))
+    for k in range(9):
+        docs.append((500 + k, f"{docs[k + 60][1]} Wallaby team{'abcdefghi'[k]} wallaby@zoo.org"))
+    for k in range(30):
+        docs.append((700 + k, f"{docs[k + 90][1]} person{k}@mail.net"))
+    docs += [(None, None), (None, docs[0][1]), (900, ""), (901, "1234567890123456789012345 " + "a" * 40)]
+    docs = docs * times
+    got = Counter((r["doc_id"], tuple(sorted((s["kind"], s["start"], s["end"]) for s in r["added"]))) for r in pii.find(spark.createDataFrame(docs, SCHEMA)).collect())
+    want = plain_added(docs)
+    assert got == want
+    kinds = Counter(s[0] for (_, added), n in want.items() for s in added for _ in range(n))
+    assert kinds["secret"] == 25 * times and kinds["hint"] >= 25 * times and kinds["term"] == 9 * times
+
+
+def test_generalised_and_removed(spark):
+    docs = plain(200) + [(k, f"Wallaby x{'abcdefghi'[k]} at wallaby@zoo.org") for k in range(9)] + [(20 + k, f"apikey = {'0123456789abcdef' * 2}{k:08d}") for k in range(9)]
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got[3] == " xd at [EMAIL]" and got[25] == "[HINT] = [SECRET]" and got[10_000] == docs[0][1]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "to a@b.cd", 1, 2, 3, 4)], "doc_id long, text string, spans int, told int, body int, base int")
+    assert [r["n_email"] for r in pii.digest(docs).collect()] == [1]
