@@ -116,15 +116,19 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"] == "email", F.lower(span["found"])).when(span["kind"] == "ip", span["found"]).otherwise(F.regexp_replace(span["found"], "[^0-9]", "")))
 
 
-def disclosing(docs: DataFrame, rows: DataFrame, *, text: str, share: float = 0.8, alpha: float = 0.001) -> DataFrame:
+def disclosing(docs: DataFrame, rows: DataFrame, *, text: str, share: float = 0.8, alpha: float = 0.001, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(body_key, term, entity) for the terms of a text that disclose one of its entities; kinds end with ":*". `rows` has body_key of all rows, and spans and body of those with spans."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     n_texts = max(1, rows.select("body_key").distinct().count())
     some = rows.where(F.size("spans") > 0)
     held = some.select("body_key", F.explode("spans").alias("s")).select("body_key", F.explode(F.array(entity(F.col("s")), F.concat(F.col("s")["kind"], F.lit(":*")))).alias("entity")).distinct()
     held = held.join(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") > 1), "entity")
-    n_term = docs.select(F.xxhash64(body).alias("body_key"), F.explode(terms(body)).alias("term")).groupBy("term").agg(F.count_distinct("body_key").alias("n_term")).where(F.col("n_term") > 1)
-    n_term = durable(n_term)
+    # rows with a term, less those of its texts that are copies of another: what is shuffled is combined counts
+    copies = durable(rows.groupBy("body_key").agg((F.count(F.lit(1)) - 1).alias("more")).where("more > 0").withColumnRenamed("body_key", "copied"))
+    few = F.broadcast(copies) if copies.count() <= broadcast_rows else copies
+    copied = docs.select(F.xxhash64(body).alias("copied"), body.alias("body")).join(few, "copied").dropDuplicates(["copied"]).select(F.explode(terms(F.col("body"))).alias("term"), (-F.col("more")).alias("n"))
+    counted = docs.select(F.explode(terms(body)).alias("term"), F.lit(1).cast("long").alias("n")).unionByName(copied)
+    n_term = durable(counted.groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") > 1))
     least = math.log(max(1, n_term.count()) / alpha)
     # n(t,e) <= n(e): a term in more texts than this cannot reach `share`, so nothing is lost
     most = lambda n: F.pow(F.lit(float(n_texts)), F.lit(1 - share)) * F.pow(n, F.lit(share)) * (1 + 1e-9)
