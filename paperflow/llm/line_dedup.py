@@ -5,7 +5,8 @@ it is 0 mod `divisor`, so that a boundary depends on the lines about it alone an
 insertion. No chunk ends before it has `least_lines` lines that are not blank, and a shorter tail joins the chunk
 before it, so that a later copy of several lines goes whole. Chunk hashes are counted globally; of those found more than once, the texts are compared byte by byte
 with the first chunk (by id, then place), which stays while equal ones go. Counts combine before they shuffle; the
-texts that are compared and the documents themselves are joined on keys, where adaptive execution splits hot ones.
+texts of a chunk with many copies are dealt over as many keys as its count asks for, each with a first text to
+compare with; documents are joined on keys of their own.
 
 Defined cases: a null text stays null; a text with fewer than `least_lines` lines that are not blank stays; a row without id comes before all others; rows that repeat an id and
 its text are one document and get the same result; a table without rows gives none; helper columns take free names.
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 from paperflow.llm.native import BLANKS, let
 
+#: Copies of one chunk that are compared under one key.
+COPIES_A_KEY = 64
+
 
 def rotated(h: Column, n: int) -> Column:
     return F.shiftleft(h, n).bitwiseOR(F.shiftrightunsigned(h, 64 - n)) if n else h
@@ -69,13 +73,15 @@ def repeated(rows: DataFrame, text: str, least_lines: int, **options) -> DataFra
     parts = rows.where(F.col(f"`{text}`").isNotNull()).select("id_", "key_", F.posexplode(chunks_of(F.col(f"`{text}`"), **options)).alias("n", "c")).where(F.col("c")["full"] >= least_lines)
     slim = parts.select(F.struct("id_", "key_", "n").alias("place"), F.xxhash64(F.col("c")["body"]).alias("h"))
     # one place twice is a repeated row
-    seen = slim.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(F.col("first") != F.col("last")).select("h", "first")
-    found = slim.join(seen, "h").groupBy(F.col("place")["id_"].alias("id2_"), F.col("place")["key_"].alias("key2_")).agg(F.collect_set(F.struct(F.col("place")["n"].alias("n"), "h", (F.col("place") == F.col("first")).alias("first"))).alias("found"))
+    seen = slim.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("copies")).where(F.col("first") != F.col("last"))
+    seen = seen.select("h", "first", F.ceil(F.col("copies") / COPIES_A_KEY).cast("int").alias("parts"))
+    found = slim.join(seen, "h").groupBy(F.col("place")["id_"].alias("id2_"), F.col("place")["key_"].alias("key2_")).agg(F.collect_set(F.struct(F.col("place")["n"].alias("n"), "h", "parts", (F.col("place") == F.col("first")).alias("first"))).alias("found"))
     both = rows.join(found, F.col("id_").eqNullSafe(F.col("id2_")) & (F.col("key_") == F.col("key2_")))
-    bodies = let(chunks_of(F.col(f"`{text}`"), **options), lambda c: F.transform("found", lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"), x["first"].alias("first"), F.get(c, x["n"])["body"].alias("body"))))
-    told = both.select("id_", "key_", F.explode(bodies).alias("x")).select("id_", "key_", "x.n", "x.h", "x.first", "x.body")
-    first = told.where("first").select("h", F.col("body").alias("first_body")).dropDuplicates(["h"])
-    equal = told.where("not first").join(first, "h").where(F.col("body") == F.col("first_body"))
+    bodies = let(chunks_of(F.col(f"`{text}`"), **options), lambda c: F.transform("found", lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"), x["parts"].alias("parts"), x["first"].alias("first"), F.get(c, x["n"])["body"].alias("body"))))
+    told = both.select("id_", "key_", F.explode(bodies).alias("x")).select("id_", "key_", "x.n", "x.h", "x.parts", "x.first", "x.body")
+    first = told.where("first").groupBy("h", "parts").agg(F.min("body").alias("first_body")).select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "first_body")
+    copies = told.where("not first").withColumn("part", F.pmod(F.xxhash64("id_", "key_", "n"), F.col("parts")).cast("int"))
+    equal = copies.join(first, ["h", "part"]).where(F.col("body") == F.col("first_body"))
     return equal.groupBy("id_", "key_").agg(F.collect_set("n").alias("gone"))
 
 
