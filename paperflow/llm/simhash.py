@@ -198,21 +198,42 @@ def links(points: DataFrame, column: str, distance: int = 3, leaf: int = LEAF) -
     return routed.groupBy("g").applyInArrow(search, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", distance: int = 3) -> DataFrame:
-    """(doc_id, fp bigint, component_id, keeper): the keeper is the one fingerprint among a component's smallest doc_id that stays."""
-    printed, fp = with_fingerprints(docs, text=text, carry=[doc_id])
-    printed = durable(printed.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(fp).alias("fp")))
-    classes = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def labelled(docs: DataFrame, *, doc_id: str, text: str, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, body hash) of every row, and (fp, component_id, keeper: the fp and body that stay) of every fingerprint."""
+    spare = free_name(docs.columns, "body_hash")
+    printed, fp = with_fingerprints(docs.withColumn(spare, F.xxhash64(F.col(f"`{text}`"))), text=text, carry=[doc_id, spare])
+    printed = durable(printed.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(fp).alias("fp"), F.col(spare).alias("body")))
+    classes = printed.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "body")).alias("least"))
     label = components(links(classes, "fp", distance))
-    labelled = classes.join(label, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = labelled.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("k"))
-    of = labelled.join(named, "label").select("fp", F.col("k")["least"].alias("component_id"), F.col("k")["fp"].alias("keeper"))
-    return printed.join(of, "fp")
-
-
-def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", distance: int = 3) -> DataFrame:
-    """`docs` with one document of each component: that with the smallest doc_id (of rows that share it, one)."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text, distance=distance)
-    stay = found.where((F.col("fp") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id"), F.col("fp").alias("stay_fp")).distinct()
-    printed, fp = with_fingerprints(docs, text=text)
-    return printed.join(stay, F.col(f"`{doc_id}`").eqNullSafe(F.col("stay_id")) & (F.col(fp) == F.col("stay_fp")), "left_semi").dropDuplicates([doc_id, fp]).drop(fp)
+    known = classes.join(label, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    named = known.groupBy("label").agg(F.min("least").alias("keeper"))
+    return printed, known.join(named, "label").select("fp", F.col("keeper")["doc_id"].alias("component_id"), "keeper")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", distance: int = 3) -> DataFrame:
+    """(doc_id, fp bigint, component_id) of every row."""
+    printed, of = labelled(docs, doc_id=doc_id, text=text, distance=distance)
+    return printed.join(of.drop("keeper"), "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", distance: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """`docs` with one document of each component: that with the smallest doc_id; of rows that share it, the one of least
+    fingerprint, then of least text hash, then (where even texts are equal) of the least other columns, written as JSON.
+
+    Only the keys of rows that go, or that stand there more than once, are joined to the documents: broadcast up to
+    `broadcast_rows` of them (a row has two numbers and a flag), by a shuffle beyond."""
+    printed, of = labelled(docs, doc_id=doc_id, text=text, distance=distance)
+    rows = printed.groupBy("doc_id", "fp", "body").agg(F.count(F.lit(1)).alias("times")).join(of, "fp")
+    stays = F.col("doc_id").eqNullSafe(F.col("keeper")["doc_id"]) & (F.col("fp") == F.col("keeper")["fp"]) & (F.col("body") == F.col("keeper")["body"])
+    names = {k: free_name(docs.columns, k) for k in ("marked_id", "marked_body", "mark")}
+    marks = durable(rows.where(~stays | (F.col("times") > 1)).select(F.col("doc_id").alias(names["marked_id"]), F.col("body").alias(names["marked_body"]), F.when(stays, "twice").otherwise("gone").alias(names["mark"])))
+    n = marks.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col(names["mark"]) == "twice").alias("twice")).first()
+    if n["all"] <= broadcast_rows:
+        marks = F.broadcast(marks)
+    found = docs.join(marks, F.col(f"`{doc_id}`").eqNullSafe(F.col(names["marked_id"])) & (F.xxhash64(F.col(f"`{text}`")) == F.col(names["marked_body"])), "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = found.where(F.col(names["mark"]).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not n["twice"]:
+        return once
+    several = found.where(F.col(names["mark"]) == "twice").groupBy(names["marked_id"], names["marked_body"]).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return once.unionByName(several.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
