@@ -156,10 +156,13 @@ def records(stream, start: int, end: int) -> Iterator[tuple[int, dict]]:
         data, base, at = data[at:], base + at, 0
 
 
-def read(spark: SparkSession, files: list[tuple[str, int]], *, split_bytes: int = 8 << 20, payloads: bool = True) -> DataFrame:
-    """RECORD rows of archives (path, bytes), by tasks of `split_bytes` each. Without `payloads` that column is null."""
-    ranges = [(f, s, min(n, s + split_bytes)) for f, n in files for s in range(0, n, split_bytes)]
-    df = spark.createDataFrame(ranges or [("", 0, 0)], "file string, start bigint, stop bigint").repartition(max(1, min(len(ranges), 10_000)))
+def read(spark: SparkSession, files: DataFrame | list[tuple[str, int]], *, split_bytes: int = 8 << 20, payloads: bool = True) -> DataFrame:
+    """RECORD rows of archives (file, bytes), by tasks of `split_bytes` each. Without `payloads` that column is null."""
+    manifest = files if isinstance(files, DataFrame) else spark.createDataFrame(files, "file string, bytes bigint")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
+    ranges = manifest.where("bytes > 0").select("file", "bytes", starts.alias("start")).select("file", "start", F.least("bytes", F.col("start") + split_bytes).alias("stop"))
+    n = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes)).alias("n")).first()["n"] or 1
+    df = ranges.repartition(int(n), "file", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,6 +199,6 @@ def round_trip(pages: DataFrame, *, page_id: str = "page_id", **options) -> Data
     """Pages written as records and read back: (page_id string, payload_bytes, payload_digest, record_type, refers_to string)."""
     spark = pages.sparkSession
     manifest = write(pages, archive_folder(spark), page_id=page_id, **options)
-    rows = read(spark, [(r["file"], r["bytes"]) for r in manifest.collect()], payloads=False)
+    rows = read(spark, manifest.select("file", "bytes"), payloads=False)
     name = lambda c: F.regexp_extract(F.col(c), r"^<urn:page:(.*)>$", 1)
     return rows.select(name("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), name("refers_to")).alias("refers_to"))
