@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from odd import ITEM_WORDS, SCHEMA, WORDS, documents, lowered, passages, save, sha
 
 from paperflow.llm import quality_rules
@@ -170,34 +171,59 @@ def plain_quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(twice), len(lines)
 
 
+VALUES = {"symbols": lambda s: s[2] / max(s[1], 1), "duplicate_lines": lambda s: s[3] / max(s[5], 1), "repeated_words": lambda s: s[4] / max(s[0], 1), "long_words": lambda s: s[1] / max(s[0], 1), "few_words": lambda s: 1 / max(s[0], 1)}
+
+
+def base_fails(s):
+    return s[0] < 10 or 100 * s[4] > 20 * s[0]
+
+
+def plain_cutoffs(stats, good, permitted=0.05, delta=0.05):
+    """{stratum: {rule: cutoff}} for (id, stratum, statistics) of labelled good documents."""
+
+    def tuning(i):
+        return xxhash.xxh64_intdigest(b"holdout", seed=xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=42)) % 2 == 0
+
+    known = {(i, lang, s) for i, lang, s in stats if i in good}
+    held = Counter(lang for i, lang, _ in known if not tuning(i))
+    least = math.ceil(math.log(delta / (len(held) + 1)) / math.log1p(-permitted))
+    pooled = {lang for _, lang, _ in stats if held[lang] < least}
+    tested, out = len({lang for _, lang, _ in stats} - pooled) + 1, {}
+    for name in {("pool",) if lang in pooled else (lang, 1) for _, lang, _ in stats}:
+        mine = [(i, s) for i, lang, s in known if (("pool",) if lang in pooled else (lang, 1)) == name]
+        tune, proof = [s for i, s in mine if tuning(i) and not base_fails(s)], [s for i, s in mine if not tuning(i)]
+        if not tune or not proof:
+            continue
+        at = {}
+        for rule, (_, cuts) in quality_rules.RULES.items():
+            at[rule] = next((k for k, c in enumerate(cuts) if sum(VALUES[rule](s) > c for s in tune) <= permitted / 5 * len(tune)), len(cuts))
+        chosen = {}
+        for relaxed in range(8, -1, -1):
+            cut = {r: (*quality_rules.RULES[r][1], *[math.inf] * 20)[at[r] + relaxed] for r in at}
+            k, n = sum(base_fails(s) or any(VALUES[r](s) > c for r, c in cut.items()) for s in proof), len(proof)
+            if sum(math.comb(n, j) * permitted**j * (1 - permitted) ** (n - j) for j in range(k + 1)) > delta / tested:
+                break
+            chosen = cut
+        out |= {lang: chosen for lang in {x for _, x, _ in stats} if (("pool",) if lang in pooled else (lang, 1)) == name}
+    return out
+
+
 def test_quality_rules(spark, tmp_path):
     docs = documents() + [(400 + k, f"good text number {k} " + " ".join(f"g{k}x{j}" for j in range(k % 40 + 8)) + (" #" * 12 if k % 50 == 0 else ""), "en", "s", 0, "") for k in range(700)]
-    docs += [(1200, "a b c d e " * 4 + "z" * 10 + " " + " ".join(f"q{k}" for k in range(100)), "en", "s", 0, ""), (1201, "### " * 6 + " ".join(f"h{k}" for k in range(60)), "en", "s", 0, "")]
-    labels = [(d[0], 1 if (d[0] or 0) >= 400 and d[0] < 1200 else 0, 0) for d in docs] + [(3, None, 0), (401, 1, 0)]
+    docs += [(2000 + k, f"guter text {k} " + " ".join(f"wort{k}x{j}" for j in range(k % 30 + 9)), ("de", "fr", None)[k % 3], "s", 0, "") for k in range(330)]
+    docs += [(1200, "a b c d e " * 4 + "z" * 10 + " " + " ".join(f"q{k}" for k in range(100)), "en", "s", 0, ""), (1201, "### " * 6 + " ".join(f"h{k}" for k in range(60)), "en", "s", 0, ""), (1202, "$$$ " * 9 + " ".join(f"h{k}" for k in range(60)), "de", "s", 0, "")]
+    labels = [(d[0], 1 if 400 <= (d[0] or 0) < 1200 or (d[0] or 0) >= 2000 else 0, 0) for d in docs] + [(3, None, 0), (401, 1, 0)]
     folder = save(spark, tmp_path, documents=(docs, SCHEMA), labels=(labels, "doc_id long, quality int, toxic int"))
     got = rows(queries()["op10_quality_rules"](spark, folder))
     stats = [(d[0], d[2], plain_quality(d[1])) for d in docs]
-    failed = lambda s: s[0] < 10 or 100 * s[4] > 20 * s[0]
-    value = {"symbols": lambda s: s[2] / max(s[1], 1), "duplicate_lines": lambda s: s[3] / max(s[5], 1), "repeated_words": lambda s: s[4] / max(s[0], 1), "long_words": lambda s: s[1] / max(s[0], 1), "few_words": lambda s: 1 / max(s[0], 1)}
-    good = {i for i, q, _ in labels if q == 1} - {i for i, q, _ in labels if q == 0}
-    by = defaultdict(list)
-    for i, lang, s in stats:
-        if i in good and not failed(s):
-            by[lang].append(s)
-    tests, cut, rate = max(1, len(by)) * 40, {}, 0.05 / 5
-    for lang, held in by.items():
-        for name, (_, cuts) in quality_rules.RULES.items():
-            for c in cuts:
-                k, n = sum(value[name](s) > c for s in held), len(held)
-                if sum(math.comb(n, j) * rate**j * (1 - rate) ** (n - j) for j in range(k + 1)) <= 0.05 / tests:
-                    cut[lang, name] = c
-                    break
-    assert cut
+    cut = plain_cutoffs(stats, {i for i, q, _ in labels if q == 1} - {i for i, q, _ in labels if q == 0})
+    assert cut["en"] and cut["de"] and cut["de"] == cut["fr"] == cut[None] != cut["en"]
     want = Counter()
     for i, lang, s in stats:
-        kept = not failed(s) and not any(value[n](s) > cut[lang, n] for n in value if (lang, n) in cut)
-        want[(i, *s[:5], failed(s), kept)] += 1
+        kept = not base_fails(s) and not any(VALUES[n](s) > c for n, c in cut.get(lang, {}).items())
+        want[(i, *s[:5], base_fails(s), kept)] += 1
     assert got == want
+    assert [r for r in got if r[0] == 1202][0][7] is False
     assert [r for r in got if r[0] == 1201][0][7] is False
     empty = spark.createDataFrame([], SCHEMA)
     assert quality_rules.judge(empty, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect() == []

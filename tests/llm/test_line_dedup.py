@@ -14,7 +14,7 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def plain_chunks(text, window=3, divisor=4):
+def narrow_chunks(text, window=3, divisor=4):
     lines = text.split("\n")
     h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in lines]
     out, start = [], 0
@@ -31,6 +31,19 @@ def plain_chunks(text, window=3, divisor=4):
     return out
 
 
+def plain_chunks(text, least_lines=2):
+    """No chunk ends before it has `least_lines` lines that are not blank; a shorter tail joins the chunk before it."""
+    out, start = [], []
+    for part in narrow_chunks(text):
+        start += part
+        if sum(bool(WORDS.search(x)) for x in start) >= least_lines:
+            out.append(start)
+            start = []
+    if start and out:
+        out[-1] += start
+    return out or [start]
+
+
 def plain(docs):
     def key(d):
         return (d[0] is not None, d[0] or 0, signed(xxhash.xxh64_intdigest((d[1] or "").encode(), seed=42)))
@@ -78,3 +91,18 @@ def test_columns_and_no_rows(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
     odd = docs.withColumnsRenamed({"lang": "gone", "source": "h", "n_chars": "id_"})
     assert line_dedup.dedup_lines(odd).count() == docs.count()
+
+
+def test_later_copies_go_whole(spark):
+    text = {k: "\n".join(["", *(f"text {k} line {j}" for j in range(2 + k % 17)), ""]) for k in range(60)}
+    docs = spark.createDataFrame([(k, t) for k, t in text.items()] + [(1000 + k, t) for k, t in text.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == text | {1000 + k: "" for k in text}
+
+
+def test_many_copies_of_one_chunk(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "COPIES_A_KEY", 7)
+    docs = [(k, f"one line\nand another\n{'own ' + str(k) if k % 2 else ''}", "en", "s", 0, "") for k in range(150)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, SCHEMA).select("doc_id", "text"), removed="removed")
+    got = Counter((r["doc_id"], r["removed"]["chunks"], r["removed"]["lines"], sha(r["text"])) for r in got.collect())
+    assert got == plain(docs)

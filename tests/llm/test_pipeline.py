@@ -1,14 +1,16 @@
 """Stages against plain versions on a small corpus; packing by its invariants; models by held-out accuracy."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from odd import ITEM_WORDS, SCHEMA, WORDS, documents, lowered, passages, save
 from test_line_dedup import plain_chunks
 from test_simhash import plain_components, plain_fingerprint
 
-from paperflow.llm import packing, quality_classifier, toxicity
+from paperflow.llm import packing, quality_classifier, toxicity, transducers
 from paperflow.llm.common import table
 
 
@@ -102,15 +104,102 @@ def test_packing(spark):
     assert packing.best_fit(docs.limit(0)).collect() == []
 
 
+def plain_cost(rows, cost=packing.sequence_cost):
+    return sum(cost(c) for c in {r["bin"]: r["sequence_length"] for r in rows if r["bin"] is not None}.values())
+
+
+def test_packing_without_and_with_repeated_ids(spark):
+    docs = [(None, "a b c"), (None, "a b c"), (None, "d " * 70), (4, "e " * 300), (4, "e " * 300), (4, "f"), (5, None), (5, None)]
+    for shard in (1 << 22, 100):
+        got = packing.best_fit(spark.createDataFrame(docs, "doc_id long, text string"), permitted=(64, 256), shard_tokens=shard).collect()
+        want = Counter()
+        for i, t in docs:
+            n = len((t or "").split())
+            want.update([(i, 0, 0)] if not n else [(i, a, min(256, n - a)) for a in range(0, n, 256)])
+        assert Counter((r["doc_id"], r["start"], r["n_tokens"]) for r in got) == want
+        used = Counter()
+        for r in got:
+            if r["bin"] is not None:
+                used[r["bin"], r["sequence_length"]] += r["n_tokens"]
+        assert all(n <= c and c == min(x for x in (64, 256) if x >= n) for (_, c), n in used.items())
+
+
+def cheapest(pieces, permitted, cost):
+    """By trial of all ways to share pieces out."""
+    best = [float("inf")]
+
+    def put(k, bins):
+        now = sum(cost(min(c for c in permitted if c >= b)) for b in bins)
+        if now >= best[0]:
+            return
+        if k == len(pieces):
+            best[0] = now
+            return
+        for j in range(len(bins)):
+            if bins[j] + pieces[k] <= max(permitted):
+                put(k + 1, [*bins[:j], bins[j] + pieces[k], *bins[j + 1 :]])
+        put(k + 1, [*bins, pieces[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def total_cost(lengths, permitted, cost, how):
+    where, _, sizes = how(np.array(lengths), permitted, cost)
+    used = np.bincount(where, weights=lengths)
+    assert (used <= sizes).all()
+    return sum(cost(int(c)) for c in sizes)
+
+
+def test_packing_costs_near_the_least_and_no_more_than_any_mix():
+    rng, permitted, cost = random.Random(1), (16, 32, 64, 128), lambda c: 4 + c + c * c / 1024
+    ratios = []
+    for _ in range(60):
+        lengths = sorted((rng.choice([rng.randint(1, 128), rng.randint(1, 30)]) for _ in range(7)), reverse=True)
+        ratios.append(total_cost(lengths, permitted, cost, packing.pack_jointly) / cheapest(lengths, permitted, cost))
+    assert max(ratios) < 1.2 and sum(ratios) / len(ratios) < 1.03
+    for low, high in ((1, 128), (60, 70), (43, 44), (30, 34), (20, 25), (65, 128)):
+        lengths = sorted((rng.randint(low, high) for _ in range(300)), reverse=True)
+        got = total_cost(lengths, permitted, cost, packing.pack_jointly)
+        for mix in ((128,), (64, 128), (16, 128), (32, 64, 128), permitted):
+            assert got <= total_cost(lengths, mix, cost, packing.pack) + 1e-6
+    # pieces of 1,500 tokens: two waste a quarter of 4,096, five fill 8,192
+    assert set(packing.pack_jointly(np.full(50, 1500))[2].tolist()) == {8192}
+    assert set(packing.pack_jointly(np.full(3, 900))[2].tolist()) <= {1024, 2048, 4096}
+
+
+def plain_events(symbols, negated=toxicity.NEGATION_REACH, reach=toxicity.TARGET_REACH):
+    out = Counter()
+    for k, s in enumerate(symbols):
+        if s in "IJT":
+            if "R" in symbols[:k]:
+                out[s + "r"] += 1
+            elif "N" in symbols[max(0, k - negated) : k]:
+                out[s + "n"] += 1
+            elif "Y" in symbols[max(0, k - reach) : k + reach + 1]:
+                out[s + "t"] += 1
+            else:
+                out[s] += 1
+    return out
+
+
+def test_composed_transducers_against_their_definition():
+    rng = random.Random(2)
+    machine = transducers.Machine(transducers.grammar(toxicity.NEGATION_REACH, toxicity.TARGET_REACH))
+    for _ in range(4000):
+        symbols = rng.choices("IJTYNR-", weights=[3, 2, 2, 2, 1, 0.3, 6], k=rng.randint(0, 14))
+        assert Counter(machine.run(symbols)) == plain_events("".join(symbols)), symbols
+
+
 def test_toxicity_grammar_and_held_out(spark):
     grammar = toxicity.Grammar(toxicity.lexicon(), tuple(toxicity.PRIOR))
-    kinds = {"you are an idiot": 1, "what an idiot": 0, "he is not an idiot": 1, "this is no idiot": 2, "they said idiot": 3, "kill it": 4, "i will kill you": 5, "clean words": None}
-    for clause, kind in kinds.items():
-        got = [toxicity.EVENTS[e] for e in grammar.events(clause)]
-        if clause == "he is not an idiot":
-            assert got == ["insult_negated"]
-        else:
-            assert got == ([] if kind is None else [toxicity.EVENTS[kind]]), clause
+    kinds = {"you are an idiot": ["It"], "what an idiot": ["I"], "he is not an idiot": ["In"], "this is no idiot": ["In"], "they said idiot": ["Ir"], "kill it": ["T"], "i will kill you": ["Tt"], "clean words": []}
+    for clause, want in kinds.items():
+        assert grammar.events(clause) == want, clause
+    # matched clauses, wherever in a text
+    text = "Nothing here. " * 50 + "You are an idiot; they said so\nnot an idiot! stupid"
+    counts = np.round(2 ** grammar.features(pa.array([text, None, ""])) - 1, 6)
+    assert {e: c for e, c in zip(toxicity.EVENTS, counts[0]) if c} == {"It": 1, "In": 1, "I": 1} and not counts[1:].any()
     docs = [d for d in corpus() if d[0] >= 1000]
     df = spark.createDataFrame([*docs, (1, None, "en", "s", 0, ""), (2, "", "en", "s", 0, "")], SCHEMA)
     labels = spark.createDataFrame([(d[0], int("idiot" in d[1])) for d in docs], "doc_id long, toxic int")
