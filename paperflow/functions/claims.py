@@ -1,15 +1,15 @@
-"""Whether the claims that a reader took from an example are borne out by its source. Pure functions over one example, whole."""
+"""What claims and their quotes are compared by: stems, numbers, magnitudes and coverage, all as columns."""
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterable
-from typing import Any
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-import regex
+from paperflow.functions.text import quote_form
+from paperflow.tables import let
 
 # Stop words, units, limits.
-STOP_WORDS = frozenset(
+STOP_WORDS = (
     """the a an and or but of in on at to for with from as by is are was were be been being this that these those it its we our they their has have had not no can
     could may might will would should must more most also than then there here which who when while study studies paper results result""".split()
 )
@@ -19,128 +19,77 @@ UNIT_WORDS = """procent promile krát násob bod[uů] p\\.\\s?b\\. sekund minut
 UNIT_SYMBOLS = "% ‰ × °\\s?[CF] ° € \\$ Kč km/h m/s kWh MWh kW MW GW kJ MJ ppm ppb dB Hz kHz MHz GHz mg µg μg kg mm cm km ml dl hl ha m2 m3 km2".split()
 CLAIMS_LEAST, CLAIMS_MOST, SHORT_WORDS, COVERAGE_LEAST = 2, 12, 15, 0.7
 QUOTE_CHARS, QUOTE_WORDS, QUOTE_CONTENT = 15, 3, 2
-CONCRETE = frozenset({"setting", "application", "mechanism", "other"})
+CONCRETE = ("setting", "application", "mechanism", "other")
 
-WORDS = regex.compile(r"[\p{L}\p{N}]+")
-NUMBER = regex.compile(r"(?<!\p{L})[0-9]+(?:[.,][0-9]+)?")
-MAGNITUDE = regex.compile(rf"(?<!\p{{L}})([0-9]+(?:[.,][0-9]+)?)\s*(?:{'|'.join(UNIT_SYMBOLS)}|(?:{'|'.join(SI_PREFIXES)})?(?:{'|'.join(UNIT_WORDS)})\p{{L}}*(?!\p{{L}}))", regex.I)
-QUANTITY = regex.compile(r"(?<!\p{L})\p{N}|(?<![A-Za-z0-9_])(?:half|halved|third|quarter|twice|double|doubled|triple|tripled|times|percent|percentage)(?![A-Za-z0-9_])|fold(?![A-Za-z0-9_])", regex.I)
-ENDINGS = [(regex.compile("ies$"), "y"), (regex.compile("(?:sses|shes|ches|xes)$"), ""), (regex.compile("(?:ing|ed|es|s)$"), "")]
-SAME_SIGN = {**dict.fromkeys("“”„‟″«»", '"'), **dict.fromkeys("‘’‚‛′´`", "'"), **dict.fromkeys("–—‑−‐", "-"), "…": "..."}
-SIGNS = str.maketrans(SAME_SIGN)
 
+WORD = r"[\p{L}\p{N}]+"
+NUMBER = r"(?<!\p{L})[0-9]+(?:[.,][0-9]+)?"
+MAGNITUDE = rf"(?iu)(?<!\p{{L}})([0-9]+(?:[.,][0-9]+)?)\s*(?:{'|'.join(UNIT_SYMBOLS)}|(?:{'|'.join(SI_PREFIXES)})?(?:{'|'.join(UNIT_WORDS)})\p{{L}}*(?!\p{{L}}))"
+QUANTITY = r"(?iu)(?<!\p{L})\p{N}|(?<![A-Za-z0-9_])(?:half|halved|third|quarter|twice|double|doubled|triple|tripled|times|percent|percentage)(?![A-Za-z0-9_])|fold(?![A-Za-z0-9_])"
+ENDINGS = (("ies$", "y"), ("(?:sses|shes|ches|xes)$", ""), ("(?:ing|ed|es|s)$", ""))
 
-def quote_form(text: str | None) -> str:
-    """One spelling of quotes, dashes, ellipses and blanks, in lower case, so that a copy is found however it was typed."""
-    return " ".join(unicodedata.normalize("NFC", text or "").translate(SIGNS).split()).lower()
 
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
-def stems(text: str) -> set[str]:
-    """Numbers, and the first four letters of content words without their endings."""
-    out = set()
-    for word in WORDS.findall(text.lower()):
-        if word[0].isnumeric():
-            out.add(word)
-        elif len(word) >= 3 and word not in STOP_WORDS:
-            base = word
-            for ending, instead in ENDINGS:
-                base = ending.sub(instead, base)
-            out.add((base if len(base) >= 3 else word)[:4])
-    return out
 
+def stems(text: Column) -> Column:
+    """Numbers, and the first four letters of content words without their endings; each once."""
 
-def _plain(number: str) -> str:
-    whole, _, part = number.replace(",", ".").partition(".")
-    return str(int(whole)) + (f".{part.rstrip('0') or '0'}" if part else "")
+    def stem(word: Column) -> Column:
+        base = word
+        for ending, instead in ENDINGS:
+            base = F.regexp_replace(base, ending, instead)
+        content = (F.length(word) >= 3) & ~word.isin(*STOP_WORDS)
+        return F.when(word.rlike(r"^\p{N}"), word).when(content, F.left(F.when(F.length(base) >= 3, base).otherwise(word), F.lit(4)))
 
+    return F.array_distinct(F.array_compact(F.transform(words(F.lower(text)), stem)))
 
-def numbers(text: str) -> set[str]:
-    """Numbers in one spelling: no zeros before or after, a point for a comma. Digits of names (CO2) are none."""
-    return {_plain(m[0]) for m in NUMBER.finditer(text)}
 
+def plain_number(number: Column) -> Column:
+    """No zeros before or after, a point for a comma."""
+    pointed = F.replace(number, F.lit(","), F.lit("."))
+    return F.regexp_replace(F.regexp_replace(pointed, r"^0+(?=[0-9])", ""), r"(\.[0-9]+?)0+$", "$1")
 
-def magnitudes(text: str) -> list[str]:
+
+def numbers(text: Column) -> Column:
+    """Numbers in one spelling, each once. Digits of names (CO2) are none."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0)), plain_number))
+
+
+def magnitudes(text: Column) -> Column:
     """Numbers that carry a unit, in order, each once."""
-    return list(dict.fromkeys(_plain(m[1]) for m in MAGNITUDE.finditer(text)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(MAGNITUDE), F.lit(1)), plain_number))
 
 
-def accounted(value: str, known: Iterable[str]) -> bool:
+def accounted(value: Column, known: Column) -> Column:
     """Whether a number is among the known, as it is, rounded either way, or within one part in a hundred."""
-    near = lambda x: int(x + 0.5)
-    v = float(value)
-    return any(value == k or near(float(k)) == v or near(v) == float(k) or abs(v - float(k)) <= 0.01 * max(v, float(k)) for k in known)
-
-
-def coverage(text: str, spans: Iterable[tuple[int, int]]) -> float:
-    """Share of the characters, blanks aside, in the union of the spans."""
-    mark = bytearray(len(text))
-    for a, b in spans:
-        mark[a:b] = b"\1" * len(mark[a:b])
-    solid = [n for n, c in enumerate(text) if not c.isspace()]
-    return sum(mark[n] for n in solid) / len(solid) if solid else 0.0
-
-
-def _weak(quote: str) -> bool:
-    words = WORDS.findall(quote)
-    return len(quote) < QUOTE_CHARS or len(words) < QUOTE_WORDS or sum(w.lower() not in STOP_WORDS for w in words) < QUOTE_CONTENT
-
-
-def judge_claim(claim: dict[str, Any], example: str, fields: dict[str, str]) -> tuple[list[str], bool, tuple[int, int] | None]:
-    """Failure codes of one claim, whether its quote is real but beside the point in a lenient way, and its span in the example."""
-    span = quote_form(claim.get("span"))
-    at = example.find(span) if span else -1
-    codes, place = ([], (at, at + len(span))) if at >= 0 else (["V5_SPAN_NOT_IN_EXAMPLE"], None)
-    quote, field, text = claim.get("quote"), claim.get("field"), claim.get("text") or ""
-    if claim.get("verdict") == "unsupported":
-        return [*codes, "V2_UNSUPPORTED_CLAIM"], False, place
-    if quote is None or field is None or _weak(quote):
-        return [*codes, "V3_QUOTE_TOO_WEAK"], False, place
-    if quote_form(quote) not in fields.get(field, ""):
-        return [*codes, "V4_FABRICATED_QUOTE"], False, place
-    beside, concrete = not stems(text) & stems(quote), claim.get("kind") in CONCRETE
-    if beside and concrete:
-        codes.append("V7_QUOTE_IRRELEVANT")
-    if QUANTITY.search(text) and not QUANTITY.search(quote):
-        codes.append("V7_MAGNITUDE_UNSUPPORTED")
-    if claim.get("kind") == "mechanism" and field == "venue":
-        codes.append("V8_VENUE_CANNOT_SUPPORT_MECHANISM")
-    return codes, beside and not concrete, place
-
-
-def adjudicate(example: str | None, source: dict[str, str | None], claims: list[dict[str, Any]] | None, model_verdict: str | None = "supported", illustration: bool = False) -> dict[str, Any]:
-    """verdict, failures (code, claim) and coverage of one example.
-
-    `source` has title, abstract, tldr, venue, type and date; a claim has id, text, kind, span, verdict, quote and field. The
-    model's verdict can only reject. An illustration need not be covered nor taken apart. Nulls are empty."""
-    shown, claims = quote_form(example), claims or []
-    fields = {k: quote_form(source.get(k)) for k in ("title", "abstract", "tldr")}
-    fields["venue"] = quote_form(" ".join(source.get(k) or "" for k in ("venue", "type", "date")))
-    failures: list[tuple[str, str | None]] = []
-    if len(claims) > CLAIMS_MOST:
-        failures.append(("EXAMPLE_TOO_ELABORATE", None))
-    if not illustration and len(claims) < CLAIMS_LEAST and len((example or "").split()) > SHORT_WORDS:
-        failures.append(("DECOMPOSITION_TOO_COARSE", None))
-    judged = [(c.get("id"), *judge_claim(c, shown, fields)) for c in claims]
-    failures += [(code, ident) for ident, codes, _, _ in judged for code in codes]
-    said = numbers(" ".join(f"{c.get('text') or ''} {c.get('quote') or ''}" for c in claims))
-    failures += [("V9_UNACCOUNTED_NUMBER", None) for v in magnitudes(example or "") if not accounted(v, said)]
-    backed = sum(not {"V2_UNSUPPORTED_CLAIM", "V3_QUOTE_TOO_WEAK", "V4_FABRICATED_QUOTE"} & set(codes) for _, codes, _, _ in judged)
-    loose = [ident for ident, _, beside, _ in judged if beside]
-    if len(loose) >= 2 and 2 * len(loose) > backed:
-        failures += [("V7_QUOTE_IRRELEVANT", ident) for ident in loose]
-    covered = coverage(shown, [place for *_, place in judged if place])
-    if not illustration and covered < COVERAGE_LEAST:
-        failures.append(("V6_COVERAGE_TOO_LOW", None))
-    if not failures and model_verdict == "unsupported":
-        failures.append(("MODEL_VETO", None))
-    return {"verdict": "unsupported" if failures else "supported", "failures": failures, "coverage": covered}
-
-
-def grade(verdict: str, codes: Iterable[str], claims: list[dict[str, Any]], expected: str, must_flag: Iterable[str] = (), need_supported: bool = False) -> list[str]:
-    """What is wrong with an adjudication whose outcome is known; nothing if all is as it should be."""
-    problems = [] if verdict == expected else ["verdict"]
-    if expected == "supported":
-        return problems + (["invented quote"] if "V4_FABRICATED_QUOTE" in codes else [])
-    flagged = [(c.get("span") or "").lower().strip() for c in claims if c.get("verdict") == "unsupported"]
-    problems += [f"not flagged: {s}" for s in must_flag if not any(s.lower().strip() in f or f in s.lower().strip() for f in flagged)]
-    return problems + (["nothing supported"] if need_supported and not any(c.get("verdict") == "supported" for c in claims) else [])
+    v = value.cast("double")
+
+    def same(other: Column) -> Column:
+        k = other.cast("double")
+        return (value == other) | (F.floor(k + 0.5) == v) | (F.floor(v + 0.5) == k) | (F.abs(v - k) <= 0.01 * F.greatest(v, k))
+
+    return F.exists(known, same)
+
+
+def coverage(text: Column, spans: Column) -> Column:
+    """Share of the characters, blanks aside, in the union of the spans (array<struct<start, end>>, from 0, end exclusive)."""
+    solid = lambda s: F.length(F.regexp_replace(s, r"\s+", ""))
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+
+    def step(state: Column, span: Column) -> Column:
+        begin = F.greatest(state["end"], span["start"])
+        more = F.when(span["end"] > begin, solid(F.substring(text, begin + 1, span["end"] - begin))).otherwise(0)
+        return F.struct(F.greatest(state["end"], span["end"]).alias("end"), (state["n"] + more).alias("n"))
+
+    covered = F.aggregate(F.array_sort(spans), start, step, lambda s: s["n"])
+    return F.when(solid(text) > 0, covered / solid(text)).otherwise(0.0)
+
+
+def weak(quote: Column) -> Column:
+    """Too short a quote to bear anything out."""
+    return let(words(quote), lambda w: (F.length(quote) < QUOTE_CHARS) | (F.size(w) < QUOTE_WORDS) | (F.size(F.filter(w, lambda x: ~F.lower(x).isin(*STOP_WORDS))) < QUOTE_CONTENT))
+
+
+__all__ = ["accounted", "coverage", "magnitudes", "numbers", "plain_number", "quote_form", "stems", "weak", "words"]

@@ -58,17 +58,31 @@ def _key(text: str | None, form: str) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def title_key(titles: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Letters a-z and digits of the title, without accents (canonical decomposition)."""
+def _decomposed_key(titles: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in titles:
-        yield s.map(lambda t: _key(t, "NFD"))
+        yield s.map(lambda t: _key(t, "NFD"), na_action="ignore")
 
 
 @F.pandas_udf(StringType())
-def merge_key(titles: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """As title_key, by compatibility decomposition: ligatures and superscripts come apart."""
+def _compatible_key(titles: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in titles:
-        yield s.map(lambda t: _key(t, "NFKD"))
+        yield s.map(lambda t: _key(t, "NFKD"), na_action="ignore")
+
+
+def _by_alphabet(title: Column, udf) -> Column:
+    """ASCII in the JVM; only the other titles go to Python."""
+    ascii_ = ~title.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(F.when(ascii_, F.regexp_replace(F.lower(title), "[^a-z0-9]+", "")), udf(F.when(~ascii_, title)))
+
+
+def title_key(title: Column) -> Column:
+    """Letters a-z and digits of the title, without accents (canonical decomposition)."""
+    return _by_alphabet(title, _decomposed_key)
+
+
+def merge_key(title: Column) -> Column:
+    """As title_key, by compatibility decomposition: ligatures and superscripts come apart."""
+    return _by_alphabet(title, _compatible_key)
 
 
 def trigrams(key: Column) -> Column:

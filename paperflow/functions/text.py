@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from paperflow.functions.identity import squeeze
+from paperflow.tables import let
 
 TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}'’+._-]*"
 JARGON_CHARS = 14
@@ -26,9 +32,13 @@ def share(part: Column, whole: Column) -> Column:
 
 def inverted_index_like(text: Column) -> Column:
     """An abstract that is an index which nobody turned back into text."""
-    words = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    numbers = F.filter(words, lambda t: t.rlike(r"^[0-9]+[,;\]]?$"))
-    return text.rlike(r'(?s)^\s*\{.*"\s*:\s*\[') | text.rlike(r"(?i)inverted[_\s]?index|indexlength") | ((F.size(words) >= 10) & (F.size(numbers) / F.greatest(F.size(words), F.lit(1)) >= 0.5))
+
+    def mostly_numbers(words: Column) -> Column:
+        numbers = F.filter(words, lambda t: t.rlike(r"^[0-9]+[,;\]]?$"))
+        return (F.size(words) >= 10) & (F.size(numbers) * 2 >= F.size(words))
+
+    by_words = let(F.filter(F.split(text, r"\s+"), lambda t: t != ""), mostly_numbers)
+    return text.rlike(r'(?s)^\s*\{.*"\s*:\s*\[') | text.rlike(r"(?i)inverted[_\s]?index|indexlength") | by_words
 
 
 def preview(text: Column) -> Column:
@@ -59,7 +69,19 @@ def redact(url: Column) -> Column:
     return F.regexp_replace(url, r"(?i)([?&](?:api_?key|key|token)=)[^&]*", "$1***")
 
 
+@F.pandas_udf(StringType())
+def _composed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def composed(text: Column) -> Column:
+    """NFC. Only texts with combining marks or characters of a compatibility form go to Python."""
+    apart = text.rlike(r"[\p{M}\x{0340}-\x{0387}\x{0958}-\x{0FB9}\x{1100}-\x{11FF}\x{1F71}-\x{1FFD}\x{2000}\x{2001}\x{2126}-\x{232A}\x{2ADC}\x{F900}-\x{FB4E}]")
+    return F.coalesce(_composed(F.when(apart, text)), text)
+
+
 def quote_form(text: Column) -> Column:
-    """Quotes, dashes, ellipses and blanks in one form, lower case."""
-    plain = F.translate(text, "“”„«»‘’‚–—−", "\"\"\"\"\"'''---")
+    """One spelling of quotes, dashes, ellipses and blanks, in lower case, so that a copy is found however it was typed. Null is empty."""
+    plain = F.translate(F.coalesce(text, F.lit("")), "“”„‟″«»‘’‚‛′´`–—‑−‐", "\"" * 7 + "'" * 7 + "-" * 5)
     return F.lower(squeeze(F.replace(plain, F.lit("…"), F.lit("..."))))

@@ -2,37 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperflow.operators.similarity import similar_keys
+from paperflow.tables import durable
+
+#: Steps of the walk in one job.
+STEPS = 3
 
 
 def collapse(ranked: DataFrame, ident: str, order: str, key: str = "key", tenths: int = 9) -> DataFrame:
     """`ranked` with `kept`. Rows are walked by (order, ident); a row whose key is like that of an earlier kept row is dropped.
 
-    The walk is a fixpoint over the pairs alone: a key without an earlier open neighbour stays, its later neighbours go, and so
-    on until none is open. A round is a join; there are as many as the longest chain of such decisions. Blank and null keys are
-    like no other. Of equal keys only the first row can stay."""
-    context = ranked.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="paperflow-"))
+    The walk is a fixpoint over the pairs of similar keys alone: a key goes if some earlier neighbour stays, and stays once all of
+    them have gone. Each step is one join and one grouped aggregate over pairs; a job takes `STEPS` steps, and there are as many jobs as the
+    longest chain of such decisions asks for. Blank and null keys are like no other. Of equal keys only the first row can stay."""
+    ranked = durable(ranked)
     place = F.struct(order, ident)
     keyed = ranked.where(F.coalesce(F.col(key), F.lit("")) != "")
-    first = keyed.groupBy(key).agg(F.min(place).alias("place"))
-    pairs = similar_keys(keyed, key, tenths)
+    first = durable(keyed.groupBy(key).agg(F.min(place).alias("place")))
+    pairs = similar_keys(first, key, tenths)
     here, there = first.select(F.col(key).alias("a"), F.col("place").alias("pa")), first.select(F.col(key).alias("b"), F.col("place").alias("pb"))
     a_first = F.col("pa") < F.col("pb")
-    edges = pairs.join(here, "a").join(there, "b").select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("late")).checkpoint()
-    dropped = edges.select(F.col("late").alias(key)).limit(0)
-    while not edges.isEmpty():
-        stays = edges.select("early").distinct().join(edges.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
-        gone = edges.join(stays, "early", "left_semi").select("late").distinct().checkpoint()
-        dropped = dropped.union(gone.select(F.col("late").alias(key)))
-        open_late = edges.join(gone, "late", "left_anti")
-        edges = open_late.join(gone.select(F.col("late").alias("early")), "early", "left_anti").checkpoint()
-    lost = dropped.distinct().withColumn("lost", F.lit(True))
+    edges = durable(pairs.join(here, "a").join(there, "b").select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("late")))
+    late = edges.select(F.col("late").alias("k")).distinct()
+    roots = edges.select(F.col("early").alias("k")).distinct().join(late, "k", "left_anti")
+    # stays: true or false once it is decided
+    state = durable(late.withColumn("stays", F.lit(None).cast("boolean")).unionByName(roots.withColumn("stays", F.lit(True))))
+    while state.where(F.col("stays").isNull()).limit(1).count():
+        for _ in range(STEPS):
+            told = edges.join(state.withColumnRenamed("k", "early"), "early").groupBy(F.col("late").alias("k")).agg(F.bool_or(F.coalesce("stays", F.lit(False))).alias("beaten"), F.bool_and(F.coalesce(~F.col("stays"), F.lit(False))).alias("free"))
+            state = state.join(told, "k", "left").select("k", F.when(F.col("stays").isNotNull(), F.col("stays")).when(F.col("beaten"), False).when(F.col("free"), True).alias("stays"))
+        state = durable(state)
+    lost = state.where(~F.col("stays")).select(F.col("k").alias(key), F.lit(True).alias("lost"))
     out = ranked.join(lost, key, "left").join(first, key, "left")
     return out.withColumn("kept", F.col("place").isNull() | (F.col("lost").isNull() & (F.col("place") == place))).drop("lost", "place")

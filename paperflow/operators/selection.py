@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperflow.functions.identity import squeeze
 from paperflow.functions.text import inverted_index_like
+from paperflow.tables import durable, let
 
 REASONS = ("EXCL_RETRACTED", "EXCL_NO_ABSTRACT", "EXCL_ABSTRACT_TOO_THIN", "EXCL_STALE", "EXCL_SEEN", "EXCL_SEEN_TITLE", "EXCL_SAME_PAPER_TWICE", "EXCL_TYPE")
 EXCLUDED_TYPES = ("editorial", "letter", "erratum", "book-review", "paratext", "dataset", "peer-review")
@@ -15,22 +16,28 @@ BAND = 0.005
 
 def exclusion_reason(*, title: Column, abstract: Column, tldr: Column, kind: Column, retracted: Column, age: Column, seen: Column, freshness_days: int = 7, least_chars: int = 400, defer_abstract: bool = False) -> Column:
     """The first rule that excludes a candidate, or null. `seen` is null, 'title' or another kind of match."""
-    body, note, k = squeeze(F.coalesce(abstract, F.lit(""))), squeeze(F.coalesce(tldr, F.lit(""))), F.lower(F.trim(kind))
+    k = F.lower(F.trim(kind))
     no = F.lit(False)
     rules = [(F.coalesce(retracted, no) | F.coalesce(k == "retraction", no) | title.rlike(r"(?iu)^\s*retracted(?!\p{L})"), "EXCL_RETRACTED")]
-    if not defer_abstract:
-        rules += [((body == "") & (note == ""), "EXCL_NO_ABSTRACT"), ((F.length(body) < least_chars) & (note == ""), "EXCL_ABSTRACT_TOO_THIN")]
-    rules += [
-        (age.isNull() | (age > freshness_days), "EXCL_STALE"),
-        (seen == "title", "EXCL_SEEN_TITLE"),
-        (seen.isNotNull(), "EXCL_SEEN"),
-        (k.isin(*EXCLUDED_TYPES) | title.rlike(r"(?iu)^\s*(?:correction|corrigendum|erratum|editorial|comment on|reply to|response to)(?!\p{L})"), "EXCL_TYPE"),
-        ((body != "") & inverted_index_like(body), "EXCL_NO_ABSTRACT"),
-    ]
-    out = F.when(F.coalesce(rules[0][0], no), rules[0][1])
-    for when, reason in rules[1:]:
-        out = out.when(F.coalesce(when, no), reason)
-    return out
+
+    def reason(bound: Column) -> Column:
+        body, note, every = bound["body"], bound["note"], list(rules)
+        if not defer_abstract:
+            every += [((body == "") & (note == ""), "EXCL_NO_ABSTRACT"), ((F.length(body) < least_chars) & (note == ""), "EXCL_ABSTRACT_TOO_THIN")]
+        every += [
+            (age.isNull() | (age > freshness_days), "EXCL_STALE"),
+            (seen == "title", "EXCL_SEEN_TITLE"),
+            (seen.isNotNull(), "EXCL_SEEN"),
+            (k.isin(*EXCLUDED_TYPES) | title.rlike(r"(?iu)^\s*(?:correction|corrigendum|erratum|editorial|comment on|reply to|response to)(?!\p{L})"), "EXCL_TYPE"),
+            ((body != "") & inverted_index_like(body), "EXCL_NO_ABSTRACT"),
+        ]
+        out = F.when(F.coalesce(every[0][0], no), every[0][1])
+        for when, name in every[1:]:
+            out = out.when(F.coalesce(when, no), name)
+        return out
+
+    # squeezed once a row, however many rules look at it
+    return let(F.struct(squeeze(F.coalesce(abstract, F.lit(""))).alias("body"), squeeze(F.coalesce(tldr, F.lit(""))).alias("note")), reason)
 
 
 def counts_by_reason(excluded: DataFrame, column: str = "reason") -> DataFrame:
@@ -63,6 +70,7 @@ def capped(df: DataFrame, group: str, order: list[Column], cap: int, limit: int,
 
 def admit(pool: DataFrame, already: DataFrame, group: str, order: list[Column], cap: int, limit: int) -> DataFrame:
     """Rows for the room that `already` leaves under the cap; limit counts those too."""
+    already = durable(already.select(group))
     used = already.groupBy(group).agg(F.count(F.lit(1)).alias("used"))
     room = max(0, limit - already.count())
     within = Window.partitionBy(group).orderBy(*order)
@@ -73,3 +81,14 @@ def admit(pool: DataFrame, already: DataFrame, group: str, order: list[Column],
 
 def shortfall(selected: Column, eligible: Column, wanted: int) -> Column:
     return F.when(selected >= wanted, "none").when(eligible > selected, "diversity-cap").otherwise("candidate-shortage")
+
+
+def select_day(ranked: DataFrame, ident: str, group: str, order: list[Column], gate: Column, *, cap: int, limit: int, least: int) -> DataFrame:
+    """At most `limit` rows that pass the gate, `cap` a group; if they are fewer than `least`, the best of the others fill up to it under
+    the same cap, and `below_gate` marks them."""
+    above = durable(capped(ranked.where(F.coalesce(gate, F.lit(False))), group, order, cap, limit).drop("place_in_group", "relaxed"))
+    chosen = above.withColumn("below_gate", F.lit(False))
+    if above.count() < least:
+        rest = ranked.where(~F.coalesce(gate, F.lit(False)))
+        chosen = chosen.unionByName(admit(rest, above, group, order, cap, least).withColumn("below_gate", F.lit(True)))
+    return chosen

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperflow import tables
 from paperflow.catalog import register
 from paperflow.functions import identity, scoring, text
 from paperflow.operators import ledger, merge, pages, selection, similarity
@@ -13,7 +14,8 @@ TODAY = "2026-08-19"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = tables.table(spark, sf_dir, name)
+    return tables.spread(df) if name in ("documents", "pages") else df
 
 
 def quoted(rows: list[tuple]) -> str:
