@@ -1,41 +1,19 @@
-"""Shared parts: word spans and word hashes over Arrow text buffers, free column names, durable cuts of lineage."""
+"""Shared parts: word spans and word hashes over Arrow text buffers; tables, free names and durable cuts come from the library."""
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-
-
-def free_name(df_columns: list[str], base: str) -> str:
-    """`base`, with underscores added until no column has that name (names compare without case)."""
-    taken = {c.lower() for c in df_columns}
-    while base.lower() in taken:
-        base += "_"
-    return base
+from paperflow.tables import durable, free_name, spread, table
 
+__all__ = ["ALNUM_LOWER", "BLANK", "BLANK_LOWER", "Hasher", "blocks", "buffers", "durable", "free_name", "mix", "spread", "table", "word_spans"]
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, so that a lost executor costs no recomputation of what led to it."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paperflow-checkpoint-"))  # all in one machine
-    return df.checkpoint()
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def separators(*ranges: tuple[int, int], lower: bool) -> np.ndarray:

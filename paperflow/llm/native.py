@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = " \t\n\x0b\x0c\r"
+from paperflow.tables import let
 
+__all__ = ["BLANKS", "let", "match_spans", "words_of"]
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of `value`, which is computed once a row wherever the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
