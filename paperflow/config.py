@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import os
+import re
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass, field, fields
+from typing import Any
 
 
 class ConfigError(ValueError):
@@ -14,6 +19,8 @@ class Category:
     key: str
     weekday: int  # 1 is Monday
     label: str = ""
+    fields: tuple[str, ...] = ()
+    areas: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -32,6 +39,14 @@ class Config:
     papers_per_day: int = 5
     least_papers: int = 3
     cap: int = 2
+    gate: float = 0.35
+    shortlist: int = 20
+    freshness_days: int = 7
+    window_days: int = 180
+    least_abstract_chars: int = 400
+    max_calls: int = 60
+    regenerations: int = 2
+    language: str = "cs"
     relaxed_cap: int = 3
     retries: int = 2
     backoff_ms: tuple[int, ...] = (1000, 3000)
@@ -57,3 +72,44 @@ class Config:
             if c.weekday == weekday:
                 return c
         raise ConfigError(f"no category for weekday {weekday}")
+
+    @classmethod
+    def read(cls, text: str) -> Config:
+        """Settings from JSON; unknown names and wrong types are errors, as are broken rules."""
+        raw = json.loads(text)
+        known = {f.name for f in fields(cls)}
+        if strange := sorted(set(raw) - known):
+            raise ConfigError(f"unknown settings: {', '.join(strange)}")
+        try:
+            raw["categories"] = tuple(Category(**{k: tuple(v) if isinstance(v, list) else v for k, v in c.items()}) for c in raw.get("categories", []))
+            raw["limits"] = {k: Limit(**v) for k, v in raw.get("limits", {}).items()}
+        except TypeError as error:
+            raise ConfigError(str(error)) from error
+        if "backoff_ms" in raw:
+            raw["backoff_ms"] = tuple(raw["backoff_ms"])
+        return cls(**raw)
+
+    def selection(self) -> dict[str, Any]:
+        """What the selection of a day takes from the settings."""
+        return {"cap": self.cap, "limit": self.papers_per_day, "least": self.least_papers}
+
+
+def resolved(names: Iterable[str], known: Mapping[str, str]) -> list[str]:
+    """Ids of names, compared without case and surplus blanks. All must be known, or none is returned."""
+    plain = lambda name: " ".join(name.split()).lower()
+    ids = {plain(k): v for k, v in known.items()}
+    if missing := [n for n in names if plain(n) not in ids]:
+        raise ConfigError(f"unknown fields: {', '.join(missing)}")
+    return [ids[plain(n)] for n in names]
+
+
+def secrets(names: Iterable[str], lines: str = "", environment: Mapping[str, str] | Callable[[], Mapping[str, str]] = os.environ) -> dict[str, str]:
+    """Values of `NAME=value` lines (comments and quotes allowed); the environment goes before them, and blank is absent."""
+    found: dict[str, str] = {}
+    for line in lines.splitlines():
+        m = re.match(r"\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*$", line)
+        if m:
+            value = m[2]
+            found[m[1]] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value.split(" #")[0].strip()
+    here = environment() if callable(environment) else environment
+    return {n: v for n in names if (v := here.get(n) or found.get(n))}

@@ -45,6 +45,11 @@ def normalise_preprint_id(raw: Column) -> Column:
     return _filled(out)
 
 
+def bare_work_id(raw: Column) -> Column:
+    """The source layer's form, which strips one prefix alone."""
+    return F.regexp_replace(raw, r"^https://openalex\.org/", "")
+
+
 def preprint_id_from_url(url: Column) -> Column:
     tail = F.regexp_extract(url, r"arxiv\.org/abs/(.*)$", 1)
     return F.regexp_replace(F.when(tail != "", tail).otherwise(url), r"v[0-9]+$", "")
@@ -110,3 +115,20 @@ def reconstruct(index: Column) -> Column:
 
     # bound as an array's one element, so that it is sorted once a row
     return _filled(squeeze(F.get(F.transform(F.array(F.array_sort(claims)), firsts), F.lit(0))))
+
+
+def candidate_identity(ident: Column, source: Column, work_id: Column, doi: Column, title: Column) -> Column:
+    """struct<work_id, doi, preprint_id, title_key>: what a candidate is recognised by. A preprint id only if source or id say it is one."""
+    preprint = (source == "arxiv") | F.startswith(F.lower(ident), F.lit("arxiv:"))
+    return F.struct(normalise_work_id(work_id).alias("work_id"), normalise_doi(doi).alias("doi"), F.when(preprint, normalise_preprint_id(ident)).alias("preprint_id"), title_key(F.coalesce(title, F.lit(""))).alias("title_key"))
+
+
+def subfield_key(subfield: Column, field: Column, ident: Column) -> Column:
+    """The subfield's id, else the field's, else one that no other row has."""
+    return F.coalesce(_filled(F.trim(subfield)), _filled(F.trim(field)), F.concat(F.lit("unknown:"), ident))
+
+
+def lookup_key(doi: Column, preprint_id: Column) -> Column:
+    """The key by which a row is looked up, with / and : as they are; null without an identifier."""
+    escaped = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("%2F"), F.lit("/")), F.lit("%3A"), F.lit(":"))
+    return F.coalesce(F.concat(F.lit("DOI:"), escaped(_filled(F.trim(doi)))), F.concat(F.lit("arXiv:"), escaped(_filled(F.trim(preprint_id)))))

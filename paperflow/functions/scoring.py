@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperflow.functions.identity import squeeze
 from paperflow.functions.text import is_jargon, share, tokens
+from paperflow.tables import let
 
 # Lexicons and patterns.
 OUTCOME_VERBS = (
@@ -54,8 +55,15 @@ def term_pattern(term: str) -> str:
 
 
 def hits(terms: list[str], title: Column, body: Column) -> Column:
-    """array<struct<term, in_title>> of the terms that title or body has."""
-    found = [F.when(title.rlike(p) | body.rlike(p), F.struct(F.lit(t).alias("term"), title.rlike(p).alias("in_title"))) for t, p in ((t, term_pattern(t)) for t in terms)]
+    """array<struct<term, in_title>> of the terms that title or body, in lower case, has.
+
+    A plain search for the term's first word goes before its pattern, which few texts then come to."""
+
+    def probe(where: Column, term: str) -> Column:
+        first, *more = re.split(r"[\s‐-―−-]+", term.strip())
+        return F.contains(where, F.lit(first if more or not first.endswith("s") else first[:-1])) & where.rlike(term_pattern(term))
+
+    found = [F.when(probe(title, t), F.struct(F.lit(t).alias("term"), F.lit(True).alias("in_title"))).when(probe(body, t), F.struct(F.lit(t).alias("term"), F.lit(False).alias("in_title"))) for t in terms]
     return F.array_compact(F.array(*found))
 
 
@@ -108,35 +116,83 @@ def credibility(review: Column, n: Column, access: Column) -> Column:
 
 
 def explainability(title: Column, abstract: Column, tldr: Column, *, verbs: list[str] = OUTCOME_VERBS, nouns: list[str] = SUBJECT_NOUNS, theory: list[str] = THEORETICAL_MARKERS, long_token: int = 15, long_tokens: int = 2, most_words: int = 18) -> Column:
-    """struct<value, v, s, q, c, t, j>"""
-    raw_title, raw = squeeze(title), squeeze(F.coalesce(abstract, F.lit("")))
-    head, body = F.lower(raw_title), F.lower(F.concat_ws(" ", F.concat(raw, F.lit(".")), squeeze(F.coalesce(tldr, F.lit("")))))
-    verb, noun, theoretical = hits(verbs, head, body), hits(nouns, head, body), hits(theory, head, body)
-    v, s, t = F.least(weight_of(verb), F.lit(4)) / 4, F.least(weight_of(noun), F.lit(4)) / 4, F.least(weight_of(theoretical), F.lit(3)) / 3
-    q = F.when(reduce(lambda a, b: a | b, [raw.rlike(p) for p in QUANTIFIED]), 1.0).otherwise(0.0)
-    named = F.exists(verb, lambda h: h["in_title"]) | F.exists(noun, lambda h: h["in_title"])
-    method = head.rlike(r":\s.*(?<!\p{L})(?:" + "|".join(METHOD_NOUNS) + r")(?!\p{L})")
-    c = clamp(
-        1.0 - F.when(method, 0.4).otherwise(0.0) - F.when(named, 0.0).otherwise(0.3)
-        - F.when(F.size(F.filter(F.split(raw_title, r"\s+"), lambda w: w != "")) > most_words, 0.2).otherwise(0.0)
-        - F.when(F.size(F.filter(tokens(raw_title), lambda w: F.length(w) >= long_token)) >= long_tokens, 0.2).otherwise(0.0)
-    )
-    words = tokens(raw)
-    j = clamp(share(F.filter(words, is_jargon), words) / 0.1)
-    value = clamp(0.35 * v + 0.25 * s + 0.2 * q + 0.2 * c - 0.45 * t - 0.15 * j)
-    return F.struct(value.alias("value"), v.alias("v"), s.alias("s"), q.alias("q"), c.alias("c"), t.alias("t"), j.alias("j"))
+    """struct<value, v, s, q, c, t, j, verbs, nouns, theory, penalties, n_jargon, n_tokens>"""
+    texts = F.struct(squeeze(F.coalesce(title, F.lit(""))).alias("title"), squeeze(F.coalesce(abstract, F.lit(""))).alias("raw"), squeeze(F.coalesce(tldr, F.lit(""))).alias("note"))
+
+    def matched(b: Column) -> Column:
+        lowered = F.struct(b["title"].alias("title"), b["raw"].alias("raw"), F.lower(b["title"]).alias("head"), F.lower(F.concat_ws(" ", F.concat(b["raw"], F.lit(".")), b["note"])).alias("body"))
+        return let(lowered, lambda x: F.struct(x["title"].alias("title"), x["raw"].alias("raw"), x["head"].alias("head"), hits(verbs, x["head"], x["body"]).alias("verbs"), hits(nouns, x["head"], x["body"]).alias("nouns"), hits(theory, x["head"], x["body"]).alias("theory"), tokens(x["raw"]).alias("words")))
+
+    def measured(m: Column) -> Column:
+        penalty = lambda why, by: F.struct(F.lit(why).alias("why"), F.lit(by).alias("by"))
+        named = F.exists(m["verbs"], lambda h: h["in_title"]) | F.exists(m["nouns"], lambda h: h["in_title"])
+        penalties = F.array_compact(F.array(
+            F.when(m["head"].rlike(r":\s.*(?<!\p{L})(?:" + "|".join(METHOD_NOUNS) + r")(?!\p{L})"), penalty("method noun after a colon", 0.4)),
+            F.when(~named, penalty("no verb or subject", 0.3)),
+            F.when(F.size(F.filter(F.split(m["title"], r"\s+"), lambda w: w != "")) > most_words, penalty("many words", 0.2)),
+            F.when(F.size(F.filter(tokens(m["title"]), lambda w: F.length(w) >= long_token)) >= long_tokens, penalty("long words", 0.2)),
+        ))
+        return F.struct(
+            (F.least(weight_of(m["verbs"]), F.lit(4)) / 4).alias("v"), (F.least(weight_of(m["nouns"]), F.lit(4)) / 4).alias("s"), F.when(reduce(lambda a, b: a | b, [m["raw"].rlike(p) for p in QUANTIFIED]), 1.0).otherwise(0.0).alias("q"),
+            clamp(F.aggregate(penalties, F.lit(1.0), lambda c, x: c - x["by"])).alias("c"), (F.least(weight_of(m["theory"]), F.lit(3)) / 3).alias("t"), clamp(share(F.filter(m["words"], is_jargon), m["words"]) / 0.1).alias("j"),
+            *[F.transform(m[k], lambda h: F.concat(h["term"], F.when(h["in_title"], " (title)").otherwise(""))).alias(k) for k in ("verbs", "nouns", "theory")], F.transform(penalties, lambda x: x["why"]).alias("penalties"),
+            F.size(F.filter(m["words"], is_jargon)).alias("n_jargon"), F.size(m["words"]).alias("n_tokens"),
+        )
+
+    def valued(x: Column) -> Column:
+        value = clamp(0.35 * x["v"] + 0.25 * x["s"] + 0.2 * x["q"] + 0.2 * x["c"] - 0.45 * x["t"] - 0.15 * x["j"])
+        return F.struct(value.alias("value"), *[x[k].alias(k) for k in ("v", "s", "q", "c", "t", "j", "verbs", "nouns", "theory", "penalties", "n_jargon", "n_tokens")])
+
+    return let(let(let(texts, matched), measured), valued)
 
 
 def everyday_relevance(title: Column, body: Column, domains: dict[str, list[str]]) -> Column:
-    """struct<value, domains> over a lexicon of domains, which is a parameter."""
-    found = [hits(terms, F.lower(squeeze(title)), F.lower(squeeze(body))) for terms in domains.values()]
-    named = F.array_compact(F.array(*[F.when(F.size(h) > 0, F.lit(d)) for d, h in zip(domains, found, strict=True)]))
-    n_terms = reduce(lambda a, b: a + b, [F.size(h) for h in found])
-    return F.struct(clamp(0.8 * F.least(F.size(named), F.lit(3)) / 3 + 0.2 * F.least(n_terms, F.lit(6)) / 6).alias("value"), named.alias("domains"))
+    """struct<value, domains, terms> over a lexicon of domains, which is a parameter."""
+
+    def looked_up(b: Column) -> Column:
+        found = F.array(*[F.struct(F.lit(d).alias("domain"), hits(terms, b["head"], b["body"]).alias("hits")) for d, terms in domains.items()])
+        return let(F.filter(found, lambda x: F.size(x["hits"]) > 0), lambda f: F.struct(F.transform(f, lambda x: x["domain"]).alias("domains"), F.flatten(F.transform(f, lambda x: F.transform(x["hits"], lambda h: h["term"]))).alias("terms")))
+
+    def valued(x: Column) -> Column:
+        return F.struct(clamp(0.8 * F.least(F.size(x["domains"]), F.lit(3)) / 3 + 0.2 * F.least(F.size(x["terms"]), F.lit(6)) / 6).alias("value"), x["domains"].alias("domains"), x["terms"].alias("terms"))
+
+    if not domains:
+        none = F.array().cast("array<string>")
+        return F.struct(F.lit(0.0).alias("value"), none.alias("domains"), none.alias("terms"))
+    lowered = F.struct(F.lower(squeeze(F.coalesce(title, F.lit("")))).alias("head"), F.lower(squeeze(F.coalesce(body, F.lit("")))).alias("body"))
+    return let(let(lowered, looked_up), valued)
+
+
+def total_score(weights: dict[str, float] = WEIGHTS, **factors: Column) -> Column:
+    return rounded(reduce(lambda a, b: a + b, [F.lit(w) * factors[k] for k, w in weights.items()]))
+
+
+GATE = 0.35
+
+
+def evidence(score: Column, weights: dict[str, float] = WEIGHTS, gate: float = GATE) -> Column:
+    """array<string>: why a row has its score, from a struct of total, explain, everyday, age, review, n_cases and access."""
+    fixed = lambda x, places=2: F.format_number(x, places)
+    listed = lambda x: F.when(F.size(x) > 0, F.array_join(x, ", ")).otherwise("none")
+    e, life = score["explain"], score["everyday"]
+    sum_ = " + ".join(f"{w:.2f} x {k.replace('_', ' ')}" for k, w in weights.items())
+    return F.array_compact(F.array(
+        F.concat(F.lit("total "), fixed(score["total"], 4), F.lit(f" = {sum_}")),
+        F.when(e["value"] >= gate, F.lit(f"passes the gate of {gate:.2f}")).otherwise(F.lit(f"below the gate of {gate:.2f}")),
+        F.concat(F.lit("explainability "), fixed(e["value"])),
+        F.concat(F.lit("outcome verbs (v "), fixed(e["v"]), F.lit("): "), listed(e["verbs"])), F.concat(F.lit("subjects (s "), fixed(e["s"]), F.lit("): "), listed(e["nouns"])),
+        F.when(e["q"] == 1, F.lit("states a quantified effect")).otherwise(F.lit("states no number")), F.concat(F.lit("title (c "), fixed(e["c"]), F.lit("): "), F.when(F.size(e["penalties"]) > 0, F.array_join(e["penalties"], "; ")).otherwise("no penalty")),
+        F.when(F.size(e["theory"]) > 0, F.concat(F.lit("theoretical markers (t "), fixed(e["t"]), F.lit("): "), listed(e["theory"]))),
+        F.when(e["j"] > 0, F.concat(F.lit("jargon (j "), fixed(e["j"]), F.lit("): "), e["n_jargon"].cast("string"), F.lit(" of "), e["n_tokens"].cast("string"), F.lit(" tokens"))),
+        F.concat(F.lit("everyday relevance "), fixed(life["value"]), F.lit(": "), listed(life["domains"])),
+        F.concat(F.lit("age in days: "), F.coalesce(score["age"].cast("string"), F.lit("unknown"))),
+        F.concat(F.lit("review "), fixed(score["review"]), F.lit(", access "), fixed(score["access"]), F.lit(", n "), F.coalesce(score["n_cases"].cast("string"), F.lit("not stated"))),
+    ))
 
 
-def total_score(**factors: Column) -> Column:
-    return reduce(lambda a, b: a + b, [F.lit(WEIGHTS[k]) * v for k, v in factors.items()])
+def ranking_record(total: Column, factors: dict[str, Column], subfield: Column, rank: Column, relaxed: Column, version: str) -> Column:
+    """What a day's document says about the rank of a row."""
+    return F.struct(total.alias("score"), F.struct(*[rounded(v).alias(k) for k, v in factors.items()]).alias("factors"), subfield.alias("subfield_key"), rank.alias("rank"), relaxed.alias("diversity_relaxed"), F.lit(version).alias("weights_version"))
 
 
 def weights_version(weights: list[float], freshness_days: int) -> str:

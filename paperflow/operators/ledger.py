@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperflow.operators.similarity import similar_keys
@@ -43,3 +43,36 @@ def latest(ledger: DataFrame, key: str) -> DataFrame:
     """One row for each key of an append-only ledger: the last date, and of the rest the earliest entry's values that are there."""
     rest = [c for c in ledger.columns if c not in (key, "published_on", "entry_idx")]
     return ledger.groupBy(key).agg(F.max("published_on").alias("published_on"), F.min("entry_idx").alias("entry_idx"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("entry_idx"))).alias(c) for c in rest])
+
+
+def record_published(ledger: DataFrame, entries: DataFrame, day: Column) -> DataFrame:
+    """The ledger after a day: an entry goes to the first ledger row that has one of its identifiers or a similar title, whatever its age.
+
+    That row's date only moves forward and its gaps are filled, by the earliest entry that can. What matches no row is a row of its own; of
+    new entries that share an identifier or the title key, the first is that row and the others fill its gaps.
+    `entries` have id (their order), the identifiers of KINDS, title_key and category; `ledger` has those, published_on and entry_idx."""
+    fields = [*KINDS, "title_key", "category"]
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    pairs = None
+    for kind in KINDS:
+        side = ledger.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.min("entry_idx").alias("entry_idx"))
+        part = entries.join(side, kind).select("id", "entry_idx")
+        pairs = part if pairs is None else pairs.unionByName(part)
+    titles = ledger.where(F.col("title_key") != "").groupBy("title_key").agg(F.min("entry_idx").alias("entry_idx"))
+    like = similar_keys(entries.where(F.col("title_key") != "").select("title_key").distinct(), "title_key", others=titles.select("title_key"))
+    same = entries.join(titles, "title_key").select("id", "entry_idx")
+    alike = entries.join(like.withColumnsRenamed({"a": "title_key", "b": "other"}), "title_key").join(titles.withColumnRenamed("title_key", "other"), "other").select("id", "entry_idx")
+    at = pairs.unionByName(same).unionByName(alike).groupBy("id").agg(F.min("entry_idx").alias("entry_idx"))
+    placed = entries.join(at, "id", "left")
+    news = placed.where(F.col("entry_idx").isNull())
+    first = news.withColumn("first", F.col("id"))
+    for key in (*KINDS, "title_key"):
+        least = news.where(filled(key).isNotNull()).groupBy(key).agg(F.min("id").alias("least"))
+        first = first.join(least, key, "left").withColumn("first", F.least("first", "least")).drop("least")
+    base = ledger.agg(F.coalesce(F.max("entry_idx"), F.lit(-1)).alias("base"))
+    numbered = first.select("first").distinct().crossJoin(F.broadcast(base)).select("first", (F.col("base") + F.row_number().over(Window.orderBy("first"))).cast("long").alias("new_idx"))
+    added = first.drop("entry_idx").join(numbered, "first").withColumnRenamed("new_idx", "entry_idx").drop("first")
+    known = placed.where(F.col("entry_idx").isNotNull())
+    rows = ledger.select("entry_idx", *fields, "published_on", F.lit(None).cast("long").alias("by")).unionByName(added.unionByName(known.select(added.columns)).select("entry_idx", *fields, day.alias("published_on"), F.col("id").cast("long").alias("by")))
+    order = F.struct(F.col("by").isNotNull().alias("late"), F.coalesce("by", F.lit(-1)).alias("by"))
+    return rows.groupBy("entry_idx").agg(F.max("published_on").alias("published_on"), *[F.min_by(c, F.when(filled(c).isNotNull(), order)).alias(c) for c in fields])

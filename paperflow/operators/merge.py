@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from paperflow.tables import durable
 
 
 def filled(column: Column) -> Column:
@@ -37,3 +41,56 @@ def enrich(rows: DataFrame, lookup: DataFrame, on: str, text: str, note: str) ->
     own = filled(F.col(text))
     source = F.when(own.isNotNull(), "source").when(filled(F.col("found_text")).isNotNull(), "lookup").otherwise("none")
     return joined.withColumn("abstract_source", source).withColumn(text, F.coalesce(own, filled(F.col("found_text")))).withColumn("enrichment_note", F.when(F.col("matched").isNull(), "not found")).drop("found_text", "matched")
+
+
+def blocks(records: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """`records` with block: the least place of all that is connected by equal keys. Rounds of grouped minima, until nothing changes."""
+    now = durable(records.withColumn("block", F.col(place).cast("long")))
+    while True:
+        out = now
+        for k in keys:
+            least = out.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("block").alias("least"))
+            out = out.join(least, k, "left").withColumn("block", F.least("block", "least")).drop("least")
+        out = durable(out)
+        if out.agg(F.sum(F.col("block").cast("decimal(38,0)"))).first()[0] == now.agg(F.sum(F.col("block").cast("decimal(38,0)"))).first()[0]:
+            return out.select(*records.columns, "block")
+        now = out
+
+
+def merge_fold(records: DataFrame, *, place: str, doi: str, title: str, lead: list[str], fill: list[str], any_true: list[str] = []) -> DataFrame:  # noqa: B006
+    """Records merged in their order: one goes to the record with its DOI, else to the first with its title key unless their DOIs differ.
+
+    The richer of two (fields of `fill` that are there; ties: the earlier) leads with its `lead` fields and the other fills gaps. Order matters
+    only among records that keys connect, so each such block is folded by itself; a block has the records of one paper, or of papers with one title."""
+    columns = [c for c in records.columns if c in {place, doi, title, *lead, *fill, *any_true}]
+    kind = records.select(*columns).schema
+
+    def same(block: pa.Table) -> pa.Table:
+        slots: list[dict] = []
+        by_doi: dict[str, int] = {}
+        by_title: dict[str, int] = {}
+        for row in sorted(block.to_pylist(), key=lambda r: r[place]):
+            d, t = row[doi] or None, row[title] or None
+            at = by_doi.get(d) if d else None
+            if at is None and t in by_title and not (d and slots[by_title[t]][doi] and slots[by_title[t]][doi] != d):
+                at = by_title[t]
+            if at is None:
+                at = len(slots)
+                slots.append(dict(row))
+            else:
+                slots[at] = joined(slots[at], row)
+            if slots[at][doi]:
+                by_doi.setdefault(slots[at][doi], at)
+            if t:
+                by_title.setdefault(t, at)
+        return pa.Table.from_pylist([{c: s[c] for c in columns} for s in slots], schema=to_arrow_schema(kind))
+
+    def joined(old: dict, new: dict) -> dict:
+        have = lambda v: v is not None and v != [] and (not isinstance(v, str) or v.strip() != "")
+        counted = [*fill, *([doi] if doi not in fill else [])]
+        richer = sum(have(old[c]) for c in counted) >= sum(have(new[c]) for c in counted)
+        first, other = (old, new) if richer else (new, old)
+        out = {c: first[c] for c in lead} | {c: first[c] if have(first[c]) else other[c] for c in counted}
+        return first | out | {c: bool(old[c]) or bool(new[c]) for c in any_true} | {place: old[place]}
+
+    return blocks(records.select(*columns), [doi, title], place).groupBy("block").applyInArrow(lambda t: same(t.drop_columns("block")), kind)

@@ -20,6 +20,18 @@ def strings(language: str) -> dict[str, str]:
     return STRINGS[language]
 
 
+#: What a reader is told of a source that failed; another source has the last sentence.
+DEGRADATIONS = {
+    "en": {"works": "One source of papers could not be read.", "arxiv": "Preprints could not be read.", "lookup": "Short summaries could not be looked up.", "generation": "A paper could not be explained and was replaced or left out.", "budget": "The day's budget ran out.", "": "A part of this day is missing."},
+    "cs": {"works": "Jeden ze zdrojů se nepodařilo přečíst.", "arxiv": "Preprinty se nepodařilo přečíst.", "lookup": "Krátká shrnutí se nepodařilo dohledat.", "generation": "Jednu práci se nepodařilo vysvětlit.", "budget": "Denní rozpočet se vyčerpal.", "": "Část dne chybí."},
+}
+
+
+def degradation_text(source: str, language: str) -> str:
+    strings(language)
+    return DEGRADATIONS[language].get(source, DEGRADATIONS[language][""])
+
+
 def date_text(day: Column, language: str) -> Column:
     """19. srpna 2026"""
     months = F.array(*map(F.lit, strings(language)["months"].split()))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 
 
@@ -26,3 +31,27 @@ def publish(days: DataFrame, entries: DataFrame, line: DataFrame, *, archive: st
         append_ledger(entries, ledger)
     append_run(line, runs)
     return enough
+
+
+def write_text(fs_path: str, text: str) -> None:
+    """One small file, whole or not at all: written beside its place and moved there."""
+    place = pathlib.Path(fs_path)
+    place.parent.mkdir(parents=True, exist_ok=True)
+    handle, name = tempfile.mkstemp(dir=place.parent, prefix=place.name)
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as out:
+            out.write(text)
+        os.replace(name, place)
+    except BaseException:
+        os.unlink(name)
+        raise
+
+
+def rewrite_ledger(entries: DataFrame, path: str) -> None:
+    """The whole ledger anew, beside the old one until it is complete."""
+    fresh = f"{path}.new"
+    entries.write.mode("overwrite").json(fresh)
+    old = pathlib.Path(path)
+    if old.exists():
+        os.replace(path, f"{path}.old-{uuid.uuid4().hex}")
+    os.replace(fresh, path)
