@@ -92,3 +92,8 @@ def select_day(ranked: DataFrame, ident: str, group: str, order: list[Column], g
         rest = ranked.where(~F.coalesce(gate, F.lit(False)))
         chosen = chosen.unionByName(admit(rest, above, group, order, cap, least).withColumn("below_gate", F.lit(True)))
     return chosen
+
+
+def unenriched(rows: DataFrame, text: str) -> DataFrame:
+    """Rows before any lookup: no short summary, and where the text is from."""
+    return rows.withColumn("tldr", F.lit(None).cast("string")).withColumn("abstract_source", F.when(squeeze(F.coalesce(F.col(text), F.lit(""))) != "", "source").otherwise("none"))

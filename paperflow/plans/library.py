@@ -104,37 +104,6 @@ def exclusion_counts(spark, sf_dir):
     return selection.counts_by_reason(reasoned(spark, sf_dir))
 
 
-CRED_SQL = "0.4 * CASE WHEN kind = 'preprint' THEN 0.4 WHEN venue IS NOT NULL AND kind = 'article' THEN 1.0 ELSE 0.6 END + 0.25 * 0.4 + 0.2 * CASE WHEN NOT is_open THEN 0.3 WHEN licence IS NOT NULL THEN 1.0 ELSE 0.8 END + 0.15 * 0.3"
-FRESH_SQL = f"greatest(0, (7 - (DATE '{TODAY}' - date)) / 7.0)"
-
-
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reasoned(spark, sf_dir).where(F.col("reason").isNull())
-    credible = scoring.credibility(scoring.peer_review(F.lit(False), F.col("kind"), F.col("venue")), scoring.sample_size(F.lit("")), scoring.open_access(F.col("is_open"), F.col("licence")))
-    words = F.size(text.tokens(F.col("title")))
-    return r.select("id", "doc_id", "subfield", "date", scoring.freshness(F.col("age"), 7).alias("freshness"), credible.alias("credibility"), scoring.open_access(F.col("is_open"), F.col("licence")).alias("access"), (F.least(words, F.lit(20)) / 20.0).alias("explainability")).withColumn(
-        "total", scoring.rounded(0.5 * F.col("explainability") + 0.3 * F.col("freshness") + 0.2 * F.col("credibility"))
-    )
-
-
-SCORED_SQL = f"""s AS (SELECT id, doc_id, subfield, date, {FRESH_SQL}::DOUBLE AS freshness, ({CRED_SQL})::DOUBLE AS credibility, (CASE WHEN NOT is_open THEN 0.3 WHEN licence IS NOT NULL THEN 1.0 ELSE 0.8 END)::DOUBLE AS access,
-  least(20, len(list_filter(list_transform(regexp_extract_all(title, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}''’+._-]*'), lambda t: regexp_replace(t, '[.''’_-]+$', '')), lambda t: t <> ''))) / 20.0::DOUBLE AS explainability FROM r WHERE reason IS NULL),
-  q AS (SELECT *, floor((0.5 * explainability + 0.3 * freshness + 0.2 * credibility) * 10000 + 0.5) / 10000 AS total FROM s),
-  o AS (SELECT *, row_number() OVER (ORDER BY floor(total / 0.005 + 1e-9) DESC, explainability DESC, date DESC, access DESC, credibility DESC, id) AS rank FROM q)"""
-def score_order():
-    return selection.ranking("total", "explainability", "date", "access", "credibility", "id")
-
-
-@register("rank_shortlist", f"WITH {CANDIDATES}, {REASON_SQL}, {SCORED_SQL} SELECT id, rank::INT AS rank, total FROM o WHERE rank <= 20")
-def rank_shortlist(spark, sf_dir):
-    return selection.top(scored(spark, sf_dir), score_order(), 20).select("id", "rank", "total")
-
-
-@register("discover_digest", f"WITH {CANDIDATES}, {REASON_SQL}, {SCORED_SQL} SELECT id, subfield, total FROM (SELECT *, row_number() OVER (PARTITION BY subfield ORDER BY rank) AS n FROM o) WHERE n <= 2 QUALIFY row_number() OVER (ORDER BY rank) <= 5")
-def discover_digest(spark, sf_dir):
-    return selection.capped(scored(spark, sf_dir), "subfield", score_order(), 2, 5).select("id", "subfield", "total")
-
-
 def part_order():
     return [F.floor(F.col("p_retailprice") / 50 + 1e-9).desc(), F.col("p_size").desc(), F.col("p_partkey").asc()]
 
@@ -270,12 +239,6 @@ def credibility(spark, sf_dir):
     return df.select("id", scoring.rounded(scoring.credibility(scoring.peer_review(F.lit(False), F.col("k"), F.col("v")), scoring.sample_size(F.col("a")), scoring.open_access(F.col("o") == 1, F.col("l")))).alias("credibility"))
 
 
-@register("explainability")
-def explainability(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", scoring.explainability(first_line(), F.col("text"), F.lit(""), verbs=["of"], nouns=["the", "that"], theory=["was"]).alias("e"))
-    return d.select("doc_id", "e.*")
-
-
 @register("page_self_contained", r"""WITH p AS (SELECT page_id, array_to_string(regexp_extract_all(html, '(?is)<style\b[^>]*>(.*?)</style>', 1), chr(10)) AS css, regexp_replace(html, '>[^<]*<', '><', 'g') AS m FROM pages),
     v AS (SELECT page_id, list_filter([CASE WHEN regexp_matches(css, '(?i)@import') THEN 'css import' END, CASE WHEN regexp_matches(regexp_replace(css, '(?i)url\(\s*[''"]?data:', '', 'g'), '(?i)url\(') THEN 'css url' END, CASE WHEN regexp_matches(m, '(?i)<link\b') THEN 'link' END, CASE WHEN regexp_matches(m, '(?i)<script\b[^>]*\bsrc=') THEN 'script src' END,
       CASE WHEN regexp_matches(m, '(?i)<(img|iframe|video|audio|object|embed|source|base)\b') THEN 'remote element' END, CASE WHEN regexp_matches(m, 'localStorage|sessionStorage|indexedDB') THEN 'storage' END, CASE WHEN regexp_matches(m, '(?i)\son[a-z]+\s*=') THEN 'inline handler' END,
