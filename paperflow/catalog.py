@@ -29,4 +29,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from paperflow.plans import digest as _digest, library as _library, prose as _prose  # noqa: E402, F401  fill the registry
+from paperflow.plans import digest as _digest, library as _library, prose as _prose, rules as _rules  # noqa: E402, F401  fill the registry

@@ -41,10 +41,13 @@ def inverted_index_like(text: Column) -> Column:
     return text.rlike(r'(?s)^\s*\{.*"\s*:\s*\[') | text.rlike(r"(?i)inverted[_\s]?index|indexlength") | by_words
 
 
-def preview(text: Column) -> Column:
-    """The first sentence if it has 20 to 180 characters, else the first 157 with an ellipsis."""
-    t = squeeze(text)
-    sentence = F.regexp_extract(t, r"(?s)^.{19,179}?[.!?](?=\s)", 0)
+def preview(text: Column, at_end: bool = False) -> Column:
+    """The first sentence if it has 20 to 180 characters, else the first 157 with an ellipsis. `at_end`: the text's end ends a sentence too."""
+    return let(squeeze(text), lambda t: _preview(t, r"(?s)^.{19,179}?[.!?](?=\s|\z)" if at_end else r"(?s)^.{19,179}?[.!?](?=\s)"))
+
+
+def _preview(t: Column, pattern: str) -> Column:
+    sentence = F.regexp_extract(t, pattern, 0)
     return F.when(sentence != "", sentence).when(F.length(t) <= 160, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, 157)), F.lit("…")))
 
 

@@ -9,6 +9,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 MAX_TOP_UPS = 2
 
 
@@ -104,3 +107,18 @@ def cost(tokens_in: int, tokens_out: int, cache_read: int, cache_write: int, pri
     if price is None:
         return None
     return ((tokens_in + 0.1 * cache_read + 1.25 * cache_write) * price[0] + tokens_out * price[1]) / 1e6
+
+
+def costs(usage: DataFrame, model: str, prices: dict[str, tuple[float, float]], by: str) -> DataFrame:
+    """(by, tokens_in, tokens_out, cost) of calls with tokens_in, tokens_out, cache_read and cache_write; a model without a price costs null, which sums leave out."""
+    per_call = None
+    for name, (price_in, price_out) in prices.items():
+        one = (F.col("tokens_in") + 0.1 * F.col("cache_read") + 1.25 * F.col("cache_write")) * price_in + F.col("tokens_out") * price_out
+        per_call = F.when(F.col(model) == name, one) if per_call is None else per_call.when(F.col(model) == name, one)
+    priced = usage.withColumn("price_", F.lit(None).cast("double") if per_call is None else per_call)
+    return priced.groupBy(by).agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), (F.sum(F.col("price_").cast("decimal(28,6)")).cast("double") / 1e6).alias("cost"))
+
+
+def joined(rows: DataFrame, by: str, order: str, message: str, detail: str) -> DataFrame:
+    """One row for each source: its first message, and its details in order."""
+    return rows.groupBy(by).agg(F.min_by(message, order).alias(message), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, detail))), lambda x: x[detail]), "; ").alias("details"))

@@ -6,22 +6,30 @@ from pyspark.sql import functions as F
 
 from paperflow.catalog import register
 from paperflow.functions import identity, prose
-from paperflow.operators import claims as adjudication
 from paperflow.operators import collapse, ledger, render
 from paperflow.operators import prose as rules
-from paperflow.plans.library import first_line, table
+from paperflow.plans.library import KEY_SQL, first_line, table
 
 WORDS_SQL = r"regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{N}''’-]*')"
 LETTERS_SQL = r"regexp_extract_all(text, '[\p{L}''’]+')"
 
 
-@register("near_dup_collapse")
+PAIRS_SQL = f"""k AS (SELECT doc_id, {KEY_SQL} AS k FROM documents), u AS (SELECT DISTINCT k FROM k), g AS (SELECT DISTINCT k, k[i:i + 2] AS gram FROM (SELECT k, unnest(range(1, len(k) - 1)) AS i FROM u WHERE len(k) >= 3)), n AS (SELECT k, count(*) AS n FROM g GROUP BY 1),
+    p AS (SELECT x.k AS a, y.k AS b FROM (SELECT x.k AS a, y.k AS b, count(*) AS both_ FROM g x JOIN g y ON x.gram = y.gram AND x.k <> y.k GROUP BY 1, 2) z JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE both_ * 10 >= 9 * (x.n + y.n - both_))"""
+
+
+@register("near_dup_collapse", f"""WITH RECURSIVE {PAIRS_SQL}, f AS (SELECT k.k, min(length(text) * 1000000 + doc_id) AS place FROM k JOIN documents USING (doc_id) WHERE k.k <> '' GROUP BY 1),
+    o AS (SELECT k, place, row_number() OVER (ORDER BY place) AS i FROM f WHERE k IN (SELECT a FROM p)), e AS (SELECT o.k, o.i, list(q.k) AS earlier FROM o LEFT JOIN p ON p.a = o.k LEFT JOIN o q ON q.k = p.b AND q.i < o.i GROUP BY 1, 2),
+    w(i, kept) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT e.i, CASE WHEN len(list_intersect(w.kept, e.earlier)) > 0 THEN w.kept ELSE list_append(w.kept, e.k) END FROM w JOIN e ON e.i = w.i + 1),
+    z AS (SELECT kept FROM w ORDER BY i DESC LIMIT 1)
+    SELECT doc_id, k.k IS NULL OR k.k = '' OR (f.place = length(text) * 1000000 + doc_id AND (k.k NOT IN (SELECT k FROM o) OR list_contains((SELECT kept FROM z), k.k))) AS kept FROM k JOIN documents USING (doc_id) LEFT JOIN f USING (k)""")
 def near_dup_collapse(spark, sf_dir):
     keyed = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("rank"), identity.title_key(first_line()).alias("key"))
     return collapse.collapse(keyed, "doc_id", "rank").select("doc_id", "kept")
 
 
-@register("seen_or_similar_title")
+@register("seen_or_similar_title", f"""WITH {PAIRS_SQL}, e AS (SELECT DISTINCT k.k FROM k JOIN documents USING (doc_id) WHERE source <> 'web' AND k.k <> '')
+    SELECT doc_id AS id, CASE WHEN k.k <> '' AND (k.k IN (SELECT k FROM e) OR k.k IN (SELECT a FROM p JOIN e ON e.k = p.b)) THEN 'title' END AS seen_kind FROM k""")
 def seen_or_similar_title(spark, sf_dir):
     none = F.lit(None).cast("string")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", identity.title_key(first_line()).alias("key"))
@@ -80,30 +88,32 @@ def style_status(spark, sf_dir):
     return docs.select("doc_id", F.col("m.n_words").alias("n_words"), every.alias("s")).select("doc_id", "n_words", F.size("s").alias("n_findings"), rules.status(F.col("s"), F.col("n_words")).alias("status"))
 
 
-@register("claim_adjudication")
-def claim_adjudication(spark, sf_dir):
-    """Each label's document as an abstract: its first line as the example, claimed to be a quote of it by the good labels only."""
-    docs = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
-    line, none = first_line(), F.lit(None).cast("string")
-    quote = F.when(F.col("quality") == 1, line).otherwise(F.concat(line, F.lit(" and more")))
-    claim = F.struct(F.lit("c1").alias("id"), line.alias("text"), F.lit("finding").alias("kind"), line.alias("span"), F.lit("supported").alias("verdict"), quote.alias("quote"), F.lit("abstract").alias("field"))
-    rows = docs.select("doc_id", line.alias("example"), F.array(claim).alias("claims"), F.lit("supported").alias("model_verdict"), none.alias("title"), F.col("text").alias("abstract"), none.alias("tldr"), none.alias("venue"), none.alias("type"), none.alias("date"))
-    out = adjudication.adjudicated(rows)
-    return out.select("doc_id", "report.verdict", F.array_join(F.transform("report.failures", lambda f: f["code"]), ",").alias("failures"), "report.coverage")
-
-
 @register("unanchored_numbers")
 def unanchored_numbers(spark, sf_dir):
     found = table(spark, sf_dir, "documents").select("doc_id", F.explode(rules.unanchored("text")).alias("f"))
     return found.select("doc_id", "f.severity", "f.start", "f.end")
 
 
-PAGE_ROWS_SQL = "SELECT day AS date, count(*)::BIGINT AS articles FROM (SELECT o_orderdate::DATE AS day FROM orders) GROUP BY 1"
+MONTHS_SQL = "['January','February','March','April','May','June','July','August','September','October','November','December']"
+WHEN_SQL = f"day(date) || '. ' || {MONTHS_SQL}[month(date)] || ' ' || year(date)"
+HEAD_SQL = "'<!doctype html>' || chr(10) || '<html lang=\"en\">' || chr(10) || '<head><meta charset=\"utf-8\"><title>' || {0} || '</title></head>' || chr(10) || '<body>' || chr(10)"
+TAIL_SQL = "chr(10) || '</body>' || chr(10) || '</html>' || chr(10)"
+PAGE_ROWS_SQL = f"""WITH a AS (SELECT o_orderdate::DATE AS date, o_orderkey AS rank, '<article>' || chr(10) || '<h2>Order ' || o_orderkey || '</h2>' || chr(10) || '<p>' || o_orderpriority || '</p>' || chr(10) || '<p>' || o_orderstatus || '</p>' || chr(10) || '</article>' AS html FROM orders),
+    d AS (SELECT date, string_agg(html, chr(10) ORDER BY rank) AS body FROM a GROUP BY 1) SELECT date, {HEAD_SQL.format(WHEN_SQL)} || '<h1>' || {WHEN_SQL} || '</h1>' || chr(10) || body || {TAIL_SQL} AS html FROM d"""
 
 
 @register("day_pages", PAGE_ROWS_SQL)
 def day_pages(spark, sf_dir):
-    """Every day of orders as a page, and how many articles it holds."""
+    """Every day of orders as a page."""
     o = table(spark, sf_dir, "orders")
     entries = o.select(F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderkey").alias("rank"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.lit(None).cast("string").alias("url"), F.array(F.col("o_orderpriority")).alias("authors"), F.col("o_orderstatus").alias("summary"), F.lit(None).cast("string").alias("notes"))
-    return render.day_pages(entries, "en").select("date", F.regexp_count("html", F.lit("<article>")).cast("bigint").alias("articles"))
+    return render.day_pages(entries, "en").select("date", "html")
+
+
+@register("index_page", f"""WITH d AS (SELECT o_orderdate::DATE AS date, min(o_orderpriority) AS category, min(o_clerk_) AS title FROM (SELECT *, 'O' || o_orderkey AS o_clerk_ FROM orders) GROUP BY 1),
+    i AS (SELECT date, '<li data-cat="' || category || '"><a href="archive/' || date || '.html"><time>' || {WHEN_SQL} || '</time></a><ul><li>' || title || '</li></ul><a href="archive/' || date || '.html">Open this day</a></li>' AS html FROM d)
+    SELECT {HEAD_SQL.format("'Digest'")} || '<h1>Digest</h1>' || chr(10) || '<p>New papers, explained.</p>' || chr(10) || '<ol>' || chr(10) || string_agg(html, chr(10) ORDER BY date DESC) || chr(10) || '</ol>' || {TAIL_SQL} AS html FROM i""")
+def index_page(spark, sf_dir):
+    """All days of orders in the index, the newest first."""
+    days = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.min("o_orderpriority").alias("category"), F.array(F.min(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")))).alias("titles"))
+    return render.index_page(days, "en")
