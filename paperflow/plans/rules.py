@@ -245,7 +245,7 @@ def claim_adjudication(spark, sf_dir):
     return out.select("doc_id", "report.verdict", F.array_join(F.transform("report.failures", lambda f: f["code"]), ",").alias("failures"), "report.coverage")
 
 
-@register("grade_summary", "SELECT count_if(quality = toxic) AS passed, count_if(quality = 0 AND toxic = 1) AS false_accepts, count_if(quality = 1 AND toxic = 0) AS false_rejects, count_if((doc_id % 2 = 0) <> (toxic = 1)) AS drift FROM labels")
+@register("grade_summary", "SELECT count_if(quality = toxic)::BIGINT AS passed, count_if(quality = 0 AND toxic = 1)::BIGINT AS false_accepts, count_if(quality = 1 AND toxic = 0)::BIGINT AS false_rejects, count_if((doc_id % 2 = 0) <> (toxic = 1))::BIGINT AS drift FROM labels")
 def grade_summary(spark, sf_dir):
     said = lambda c: F.when(c == 1, "supported").when(c == 0, "unsupported")
     rows = table(spark, sf_dir, "labels").select(said(F.col("quality")).alias("expected"), said(F.col("toxic")).alias("actual"), F.when(F.col("doc_id") % 2 == 0, "supported").otherwise("unsupported").alias("model_verdict"))
