@@ -3,8 +3,9 @@
 Each task cuts its documents into shards, builds a word-level suffix array of each shard by prefix doubling, and
 looks up every benchmark suffix by binary search, all suffixes at once. The slots found give the places where a
 window of an item stands verbatim; neighbouring places on one diagonal join into the longest verbatim matches.
-Matches are compared byte by byte before they count. The text is read once and nothing is shuffled; of the
-benchmark, blocks of at most `block_bytes` are broadcast, one pass each.
+Matches are compared byte by byte before they count. The text is read once and nothing is shuffled. A benchmark of
+more than `block_bytes` is broadcast in blocks, each of which is looked for in a pass over the texts; of all passes but
+the last only the matches are kept, and joined to the texts by two hashes.
 
 Defined cases: a null text has no words and no hits; a null item text has no windows; an item without id is left
 out; an item of fewer than `window` words is one window; items with one id count once; rows are judged one by one,
@@ -16,9 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +50,8 @@ ARROW_RESULT = pa.struct(
 ID_BITS, PLACE_BITS = 42, 21
 PLACE = (1 << PLACE_BITS) - 1
 SHARD_WORDS, HASH_BYTES = 1 << 20, 4 << 20
+#: Texts with matches up to which they are broadcast when a benchmark has several blocks; beyond, they are joined by a shuffle.
+BROADCAST_TEXTS = 20_000
 
 
 def word_ids(counted: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -223,9 +228,8 @@ def scan_batch(index: Suffixes, texts: pa.Array, share: int, before: list | None
 
     def put(n: int, matches: list[tuple]) -> None:
         matches = [(index.items[m[0]], *m[1:]) for m in matches]
-        old = before[len(out)] if before is not None else None
-        if old:
-            matches = [tuple(m.values()) for m in old["matches"]] + matches
+        if before is not None and before[len(out)]:
+            matches = [tuple(m.values()) for m in before[len(out)]] + matches
         n_hit = covered([(m[2], m[3]) for m in matches])
         out.append({"n_words": n, "n_hit": n_hit, "items": sorted({m[0] for m in matches}), "matches": [dict(zip(("item_id", "item_word", "doc_word", "n_words"), m, strict=True)) for m in matches], "contaminated": n_hit > 0 and share * n_hit >= n})
 
@@ -267,26 +271,45 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     sized = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     n_blocks = int(sized // block_bytes) + 1
-    sc = docs.sparkSession.sparkContext
     whole = free_name(docs.columns, "whole_text")
-    df = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias(whole))
-    for k in range(n_blocks):
+    body = F.col(f"`{text}`")
+    sc = docs.sparkSession.sparkContext
+
+    def index(k: int):
         block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k)
-        shared = sc.broadcast(Suffixes.of(((r["i"], r["t"]) for r in block.toLocalIterator()), window))
-        last = k == n_blocks - 1
-        names = [*carry, *([] if last else [whole])]
-        schema = T.StructType([df.schema[n] for n in names] + [T.StructField(into, RESULT)])
+        return sc.broadcast(Suffixes.of(((r["i"], r["t"]) for r in block.toLocalIterator()), window))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names, later=k > 0) -> Iterator[pa.RecordBatch]:
+    def matching(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                before = batch.column(batch.schema.get_field_index(into)).to_pylist() if later else None
-                got = scan_batch(shared.value, batch.column(batch.schema.get_field_index(whole)), share, before)
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), got], [*names, into])
-
-        df = df.mapInArrow(run, schema)
-        if not last:
-            df = durable(df)
-    return df, into
+                got = scan_batch(shared.value, batch.column(2), share)
+                hit = pc.greater(pc.list_value_length(got.field("items")), 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), got], ["key_", "key2_", "found_"]).filter(hit)
+
+        return run
+
+    before, df = None, docs.select(*[F.col(f"`{c}`") for c in carry], body.alias(whole))
+    if n_blocks > 1:
+        # all blocks but one are looked for in texts alone; what is kept of them is their matches, by two hashes of the text
+        keys = (F.xxhash64(body).alias("key_"), F.xxhash64(F.lit("second"), body).alias("key2_"))
+        schema = T.StructType([T.StructField("key_", T.LongType()), T.StructField("key2_", T.LongType()), T.StructField("found_", RESULT)])
+        parts = [durable(docs.select(*keys, body.alias(whole)).mapInArrow(matching(index(k)), schema)) for k in range(1, n_blocks)]
+        every = reduce(lambda x, y: x.unionByName(y), parts).select("key_", "key2_", F.explode("found_.matches").alias("m")).distinct()
+        names = [free_name([*docs.columns, whole], n) for n in ("key_", "key2_", "before_")]
+        found = durable(every.groupBy("key_", "key2_").agg(F.collect_list("m").alias("m"))).toDF(*names)
+        if found.count() <= BROADCAST_TEXTS:
+            found = F.broadcast(found)
+        joined = docs.join(found, (F.xxhash64(body) == F.col(names[0])) & (F.xxhash64(F.lit("second"), body) == F.col(names[1])), "left")
+        before = free_name([*carry, whole], "before_")
+        df = joined.select(*[F.col(f"`{c}`") for c in carry], body.alias(whole), F.col(names[2]).alias(before))
+    shared, last = index(0), len(carry)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = scan_batch(shared.value, batch.column(last), share, batch.column(last + 1).to_pylist() if before else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(last)), got], [*carry, into])
+
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in carry), T.StructField(into, RESULT)])), into
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

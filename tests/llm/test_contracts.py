@@ -7,7 +7,6 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-import xxhash
 from odd import ITEM_WORDS, SCHEMA, WORDS, documents, lowered, passages, save, sha
 
 from paperflow.llm import quality_rules
@@ -182,7 +181,7 @@ def plain_cutoffs(stats, good, permitted=0.05, delta=0.05):
     """{stratum: {rule: cutoff}} for (id, stratum, statistics) of labelled good documents."""
 
     def tuning(i):
-        return xxhash.xxh64_intdigest(b"holdout", seed=xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=42)) % 2 == 0
+        return hashlib.md5(str(i).encode()).hexdigest()[0] < "8"
 
     known = {(i, lang, s) for i, lang, s in stats if i in good}
     held = Counter(lang for i, lang, _ in known if not tuning(i))
