@@ -97,10 +97,12 @@ class Hasher:
             return np.zeros((self.lanes, 0), dtype=np.uint64)
         lengths = ends - starts
         first = np.cumsum(lengths) - lengths
-        place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-        byte = counted[place + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
-        places = np.arange(int(lengths.max()))
-        return np.stack([mix(np.add.reduceat(self._keys(k, places)[place] * byte, first) + mix(lengths.astype(np.uint64))) for k in range(self.lanes)])
+        total, narrow = int(lengths.sum()), np.int32 if len(counted) < 1 << 31 else np.int64
+        at = np.arange(total, dtype=narrow)
+        place = at - np.repeat(first.astype(narrow), lengths)
+        at += np.repeat((starts - first).astype(narrow), lengths)
+        byte, places, tail = counted[at] + np.uint64(1), np.arange(int(lengths.max())), mix(lengths.astype(np.uint64))
+        return np.stack([mix(np.add.reduceat(self._keys(k, places)[place] * byte, first) + tail) for k in range(self.lanes)])
 
     def runs(self, words: np.ndarray, n: int) -> np.ndarray:
         """Of each run of n words, one for each start that leaves n words. Runs of 1, 2, 4 ... words join to n, the last two overlapping."""

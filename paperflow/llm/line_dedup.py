@@ -17,10 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperflow.llm.common import durable
 from paperflow.llm.native import BLANKS, let
 
 #: Copies of one chunk that are compared under one key.
 COPIES_A_KEY = 64
+#: Keys over which the places of one chunk are spread.
+SALTS = 64
 
 
 def rotated(h: Column, n: int) -> Column:
@@ -71,11 +74,14 @@ def repeated(rows: DataFrame, text: str, least_lines: int, **options) -> DataFra
     Hashes and places alone find what repeats; then the texts of the repeated chunks are fetched and compared."""
     options["least_lines"] = least_lines
     parts = rows.where(F.col(f"`{text}`").isNotNull()).select("id_", "key_", F.posexplode(chunks_of(F.col(f"`{text}`"), **options)).alias("n", "c")).where(F.col("c")["full"] >= least_lines)
-    slim = parts.select(F.struct("id_", "key_", "n").alias("place"), F.xxhash64(F.col("c")["body"]).alias("h"))
-    # one place twice is a repeated row
-    seen = slim.groupBy("h").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("copies")).where(F.col("first") != F.col("last"))
+    place = F.struct("id_", "key_", "n")
+    slim = durable(parts.select(place.alias("place"), F.xxhash64(F.col("c")["body"]).alias("h")).withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS))))
+    # a chunk that many documents have is counted, and told of, under as many keys; one place twice is a repeated row
+    salted = slim.groupBy("h", "salt").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("copies"))
+    seen = salted.groupBy("h").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("copies").alias("copies")).where(F.col("first") != F.col("last"))
     seen = seen.select("h", "first", F.ceil(F.col("copies") / COPIES_A_KEY).cast("int").alias("parts"))
-    found = slim.join(seen, "h").groupBy(F.col("place")["id_"].alias("id2_"), F.col("place")["key_"].alias("key2_")).agg(F.collect_set(F.struct(F.col("place")["n"].alias("n"), "h", "parts", (F.col("place") == F.col("first")).alias("first"))).alias("found"))
+    told_of = salted.select("h", "salt").join(seen, "h")
+    found = slim.join(told_of, ["h", "salt"]).groupBy(F.col("place")["id_"].alias("id2_"), F.col("place")["key_"].alias("key2_")).agg(F.collect_set(F.struct(F.col("place")["n"].alias("n"), "h", "parts", (F.col("place") == F.col("first")).alias("first"))).alias("found"))
     both = rows.join(found, F.col("id_").eqNullSafe(F.col("id2_")) & (F.col("key_") == F.col("key2_")))
     bodies = let(chunks_of(F.col(f"`{text}`"), **options), lambda c: F.transform("found", lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"), x["parts"].alias("parts"), x["first"].alias("first"), F.get(c, x["n"])["body"].alias("body"))))
     told = both.select("id_", "key_", F.explode(bodies).alias("x")).select("id_", "key_", "x.n", "x.h", "x.parts", "x.first", "x.body")
