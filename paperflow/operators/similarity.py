@@ -6,24 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperflow.functions.identity import trigrams
+from paperflow.tables import durable
+
+#: How many grams of their prefixes candidates share.
+SHARED = 4
 
 
 def similar_keys(keys: DataFrame, key: str = "key", tenths: int = 9, others: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of distinct keys whose trigram sets have Jaccard similarity of tenths/10 or more.
 
-    Prefix filter: with a set's grams in order of rarity, two similar sets share one of the first
-    n - ceil(t n) + 1. Candidates join on such a gram and the set size, and are verified.
+    Prefix filter: with a set's grams in order of rarity, two sets of the needed overlap share k of the first n - ceil(t n) + k, for
+    any k up to the overlap. Candidates are pairs that share `SHARED` such grams and fit in size; only they are verified.
     With `others`, the pairs are of a key here (a) and a different one there (b), in any order."""
     left = keys.select(F.col(key).alias("k"), F.lit(True).alias("l"), F.lit(others is None).alias("r"))
     both_sides = left if others is None else left.union(others.select(F.col(key), F.lit(False), F.lit(True)))
-    sets = both_sides.groupBy("k").agg(F.bool_or("l").alias("l"), F.bool_or("r").alias("r")).withColumn("g", trigrams(F.col("k"))).where(F.size("g") > 0).withColumn("n", F.size("g"))
-    rows = sets.select("k", "l", "r", "n", F.explode("g").alias("gram"))
+    # numbers stand for keys, which may be long, once they are written down
+    sets = durable(both_sides.groupBy("k").agg(F.bool_or("l").alias("l"), F.bool_or("r").alias("r")).withColumn("g", trigrams(F.col("k"))).where(F.size("g") > 0).withColumn("n", F.size("g")).withColumn("id", F.monotonically_increasing_id()))
+    rows = sets.select("id", "l", "r", "n", F.explode("g").alias("gram"))
     rarity = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ordered = rows.join(rarity, "gram").groupBy("k", "l", "r", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
+    ordered = rows.join(rarity, "gram").groupBy("id", "l", "r", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
     need = F.floor((F.col("n") * tenths + 9) / 10)
-    prefix = ordered.select("k", "l", "r", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("x")).select("k", "l", "r", "n", F.col("x")["gram"].alias("gram"))
-    a, b = prefix.where("l").select(F.col("k").alias("a"), F.col("n").alias("na"), "gram"), prefix.where("r").select(F.col("k").alias("b"), F.col("n").alias("nb"), "gram")
-    pairs = a.join(b, "gram").where((F.col("a") < F.col("b") if others is None else F.col("a") != F.col("b")) & (F.col("na") * 10 >= F.col("nb") * tenths) & (F.col("nb") * 10 >= F.col("na") * tenths)).select("a", "b").distinct()
-    grams_a, grams_b = sets.select(F.col("k").alias("a"), F.col("g").alias("ga")), sets.select(F.col("k").alias("b"), F.col("g").alias("gb"))
-    checked = pairs.join(grams_a, "a").join(grams_b, "b").select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("both"), (F.size("ga") + F.size("gb")).alias("all"))
-    return checked.where(F.col("both") * 10 >= (F.col("all") - F.col("both")) * tenths).select("a", "b")
+    least = F.least(F.lit(SHARED), need).cast("int")
+    prefix = ordered.select("id", "l", "r", "n", least.alias("c"), F.explode(F.slice("o", F.lit(1), (F.col("n") - need).cast("int") + least)).alias("x")).select("id", "l", "r", "n", "c", F.col("x")["gram"].alias("gram"))
+    a, b = prefix.where("l").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "gram"), prefix.where("r").select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "gram")
+    fits = a.join(b, "gram").where((F.col("a") < F.col("b") if others is None else F.col("a") != F.col("b")) & (F.col("na") * 10 >= F.col("nb") * tenths) & (F.col("nb") * 10 >= F.col("na") * tenths))
+    pairs = fits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("ca", "cb")).alias("least")).where(F.col("shared") >= F.col("least")).select("a", "b")
+    here, there = sets.select(F.col("id").alias("a"), F.col("k").alias("ka"), F.col("g").alias("ga")), sets.select(F.col("id").alias("b"), F.col("k").alias("kb"), F.col("g").alias("gb"))
+    checked = pairs.join(here, "a").join(there, "b").select("ka", "kb", F.size(F.array_intersect("ga", "gb")).alias("both"), (F.size("ga") + F.size("gb")).alias("all")).where(F.col("both") * 10 >= (F.col("all") - F.col("both")) * tenths)
+    if others is None:
+        return checked.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    return checked.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
