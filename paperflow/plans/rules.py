@@ -19,7 +19,8 @@ def squeezed(sql: str) -> str:
     return f"trim(regexp_replace({sql}, '{BLANK_RE}', ' ', 'g'))"
 
 
-none = F.lit(None).cast("string")
+def none():
+    return F.lit(None).cast("string")
 
 
 def quote_form_sql(sql: str) -> str:
@@ -43,9 +44,9 @@ def work_records(spark, sf_dir):
     record = F.struct(
         F.when(k % 41 != 0, F.concat(F.lit("https://openalex.org/W"), k.cast("string"))).alias("id"), F.when(k % 3 != 0, F.concat(F.lit("https://doi.org/10.5/X"), k.cast("string"))).alias("doi"), F.when(k % 4 != 0, line).alias("title"), F.when(k % 9 != 0, F.lit(" Display  name ")).alias("display_name"),
         F.when(k % 13 != 0, F.date_format(F.date_sub(F.lit("2026-08-19").cast("date"), (k % 30).cast("int")), "yyyy-MM-dd")).otherwise("soon").alias("publication_date"), F.when(k % 6 == 0, "retraction").otherwise("article").alias("type"), topic.alias("primary_topic"),
-        F.struct((k % 2 == 0).alias("is_oa"), none.alias("oa_url")).alias("open_access"), F.struct(F.when(k % 7 == 0, F.concat(F.lit("https://land/"), k.cast("string"))).alias("landing_page_url"), F.lit("cc-by").alias("license"), F.struct(F.lit("V").alias("display_name")).alias("source")).alias("primary_location"),
+        F.struct((k % 2 == 0).alias("is_oa"), none().alias("oa_url")).alias("open_access"), F.struct(F.when(k % 7 == 0, F.concat(F.lit("https://land/"), k.cast("string"))).alias("landing_page_url"), F.lit("cc-by").alias("license"), F.struct(F.lit("V").alias("display_name")).alias("source")).alias("primary_location"),
         F.lit(1).alias("cited_by_count"), F.array(F.struct(F.struct(F.lit(" A ").alias("display_name")).alias("author")), F.struct(F.struct(F.lit(" ").alias("display_name")).alias("author"))).alias("authorships"), (k % 50 == 0).alias("is_retracted"), index.alias("abstract_inverted_index"),
-        F.lit("2026-08-01").alias("created_date"), F.when(k % 8 == 0, "cs").otherwise("en").alias("language"), F.lit(2).alias("referenced_works_count"), F.struct(none.alias("pdf_url")).alias("best_oa_location"),
+        F.lit("2026-08-01").alias("created_date"), F.when(k % 8 == 0, "cs").otherwise("en").alias("language"), F.lit(2).alias("referenced_works_count"), F.struct(none().alias("pdf_url")).alias("best_oa_location"),
     )
     return table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select(record.alias("r"))
 
@@ -132,8 +133,8 @@ def lookup_keys(spark, sf_dir):
     SELECT entry_idx, max(published_on) AS published_on, arg_min(work_id, o) FILTER (work_id IS NOT NULL) AS work_id, arg_min(doi, o) FILTER (doi IS NOT NULL) AS doi, arg_min(category, o) FILTER (category IS NOT NULL) AS category FROM a GROUP BY 1""")
 def ledger_upsert(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("c_custkey")
-    old = table(spark, sf_dir, "orders").select(k.alias("entry_idx"), F.concat(F.lit("W"), (F.col("o_custkey") % 400).cast("string")).alias("work_id"), F.when(k % 3 == 0, F.concat(F.lit("D"), (k % 900).cast("string"))).alias("doi"), none.alias("preprint_id"), F.lit("").alias("title_key"), F.when(k % 2 == 0, F.col("o_orderpriority")).alias("category"), F.col("o_orderdate").cast("date").alias("published_on"))
-    new = table(spark, sf_dir, "customer").select(c.alias("id"), F.concat(F.lit("W"), as_text("c_custkey")).alias("work_id"), F.concat(F.lit("D"), as_text("c_custkey")).alias("doi"), none.alias("preprint_id"), F.lit("").alias("title_key"), F.lit("new").alias("category"))
+    old = table(spark, sf_dir, "orders").select(k.alias("entry_idx"), F.concat(F.lit("W"), (F.col("o_custkey") % 400).cast("string")).alias("work_id"), F.when(k % 3 == 0, F.concat(F.lit("D"), (k % 900).cast("string"))).alias("doi"), none().alias("preprint_id"), F.lit("").alias("title_key"), F.when(k % 2 == 0, F.col("o_orderpriority")).alias("category"), F.col("o_orderdate").cast("date").alias("published_on"))
+    new = table(spark, sf_dir, "customer").select(c.alias("id"), F.concat(F.lit("W"), as_text("c_custkey")).alias("work_id"), F.concat(F.lit("D"), as_text("c_custkey")).alias("doi"), none().alias("preprint_id"), F.lit("").alias("title_key"), F.lit("new").alias("category"))
     return ledger.record_published(old, new, F.lit("1998-01-01").cast("date")).select("entry_idx", "published_on", "work_id", "doi", "category")
 
 
@@ -240,7 +241,7 @@ def claim_adjudication(spark, sf_dir):
     line = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
     quote = F.when(F.col("doc_id") % 2 == 0, line).otherwise(F.concat(line, F.lit(" and more")))
     claim = F.struct(F.lit("c1").alias("id"), line.alias("text"), F.lit("finding").alias("kind"), line.alias("span"), F.lit("supported").alias("verdict"), quote.alias("quote"), F.lit("abstract").alias("field"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", line.alias("example"), F.array(claim).alias("claims"), F.lit("supported").alias("model_verdict"), none.alias("title"), F.coalesce("text", F.lit("")).alias("abstract"), none.alias("tldr"), none.alias("venue"), none.alias("type"), none.alias("date"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", line.alias("example"), F.array(claim).alias("claims"), F.lit("supported").alias("model_verdict"), none().alias("title"), F.coalesce("text", F.lit("")).alias("abstract"), none().alias("tldr"), none().alias("venue"), none().alias("type"), none().alias("date"))
     out = adjudication.adjudicated(rows)
     return out.select("doc_id", "report.verdict", F.array_join(F.transform("report.failures", lambda f: f["code"]), ",").alias("failures"), "report.coverage")
 
