@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperflow.functions.identity import bare_doi, bare_work_id, normalise_doi, normalise_work_id, preprint_id_from_url, reconstruct, squeeze
+from paperflow.sources.fetch import paged
 
 TOPIC = "STRUCT<id: STRING, display_name: STRING, subfield: STRUCT<id: STRING, display_name: STRING>, field: STRUCT<id: STRING, display_name: STRING>>"
 WORKS = f"""results ARRAY<STRUCT<id: STRING, doi: STRING, title: STRING, display_name: STRING, publication_date: STRING, type: STRING, primary_topic: {TOPIC},
@@ -71,6 +73,14 @@ def works(spark: SparkSession, path: str, since: str | None = None, until: str |
     return wanted_works(work_candidates(records), since=since, until=until, **asked)
 
 
+def fetched_works(spark: SparkSession, page: Callable[[int], list[dict]], per_page: int, most_pages: int, **asked) -> DataFrame:
+    """`works` of a paged service: pages up to a short one, a run's few hundred records, which become rows at once."""
+    raw = [(json.dumps(r),) for r in paged(page, per_page, most_pages)]
+    kind = spark.createDataFrame([], WORKS).schema["results"].dataType.elementType
+    records = spark.createDataFrame(raw, "value string").select(F.from_json("value", kind).alias("r"))
+    return wanted_works(work_candidates(records), **asked)
+
+
 def left_out(records: DataFrame) -> DataFrame:
     """(read, left_out) of work records."""
     return work_candidates(records).agg(F.count(F.lit(1)).alias("read"), F.count_if(~F.col("valid")).alias("left_out"))

@@ -1,7 +1,8 @@
 import pytest
 
 from paperflow.config import Category, Config, ConfigError, Limit
-from paperflow.sources.fetch import FetchError, Throttle, fetch, paged
+from paperflow.sources import feeds
+from paperflow.sources.fetch import FetchError, Throttle, fetch, look_up, paged
 
 WEEK = tuple(Category(f"c{d}", d) for d in range(1, 8))
 
@@ -39,3 +40,23 @@ def test_fetch():
         fetch(get, "u", [1, 3], sleep)
     assert answers == ["never"]
     assert list(paged(lambda k: [k] * (2 if k < 3 else 1), 2, 9)) == [1, 1, 2, 2, 3] and list(paged(lambda k: [k, k], 2, 2)) == [1, 1, 2, 2]
+
+
+def test_timeouts_lookups_and_paged_works(spark):
+    assert fetch(lambda url, timeout: (url, timeout), "u", [], print, timeout=3) == ("u", 3)
+    answers = {"a": {"tldr": "A"}, "b": FetchError(404, "none"), "c": FetchError(400, "odd"), "d": FetchError(500, "down"), "e": {"tldr": "E"}, "x": FetchError(403, "no key")}
+
+    def get(key):
+        if isinstance(answers[key], Exception):
+            raise answers[key]
+        return answers[key]
+
+    options = {"backoff": [], "sleep": lambda s: None}
+    assert look_up(["a", None, "b", "c", "d", "e"], get, 20, **options) == ([{"key": "a", "tldr": "A"}], ["c: odd", "stopped at d: down"])
+    assert look_up(["a", "e", "d"], get, 2, **options)[0][1]["key"] == "e"
+    with pytest.raises(FetchError):
+        look_up(["x"], get, 20, **options)
+    record = lambda n: {"id": f"https://openalex.org/W{n}", "title": f"t {n}", "publication_date": "2026-03-02"}
+    pages = {1: [record(1), record(2)], 2: [record(3)]}
+    assert sorted(r.id for r in feeds.fetched_works(spark, lambda k: pages[k], 2, 5).collect()) == ["W1", "W2", "W3"]
+    assert feeds.fetched_works(spark, lambda k: [], 2, 5).count() == 0
