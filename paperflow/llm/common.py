@@ -8,10 +8,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from paperflow.tables import durable, free_name, spread, table
 
-__all__ = ["ALNUM_LOWER", "BLANK", "BLANK_LOWER", "Hasher", "blocks", "buffers", "durable", "free_name", "mix", "spread", "table", "word_spans"]
+__all__ = ["ALNUM_LOWER", "BLANK", "BLANK_LOWER", "Hasher", "blocks", "buffers", "durable", "free_name", "join_totals", "mix", "spread", "table", "word_spans"]
+
+#: Rows of a table of totals that are broadcast at most, and the keys over which a row of a larger one is repeated.
+TOTALS, SALTS = 100_000, 16
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,3 +120,16 @@ class Hasher:
             words = np.stack([mix(a * key[0] + b * key[1]) for a, b, key in zip(words[:, : words.shape[1] - by], right, left, strict=True)])
             size += by
         return words
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """`rows` with what `totals` has for them: its first column, one row each, equals `key` (nulls equal nulls), the others follow.
+
+    A table of totals is broadcast if a count says that it is small; a larger one is repeated for each of `SALTS` parts of the rows, so that rows of a frequent key lie in as many tasks."""
+    match = totals.columns[0]
+    if totals.limit(TOTALS + 1).count() <= TOTALS:
+        return rows.join(F.broadcast(totals), F.col(key).eqNullSafe(F.col(match)), "left").drop(match)
+    salt, other = free_name([*rows.columns, *totals.columns], "salt"), free_name([*rows.columns, *totals.columns], "other_salt")
+    spread_out = totals.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread_out, F.col(key).eqNullSafe(F.col(match)) & (F.col(salt) == F.col(other)), "left").drop(match, salt, other)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperflow.llm import decontamination, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, toxicity, warc
+from paperflow.llm import centroids, decontamination, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, toxicity, vector_codes, warc
 from paperflow.llm.common import spread
 from paperflow.llm.common import table as read_table
 
@@ -18,7 +19,7 @@ SQL: dict[str, str] = {}
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, dealt over all cores if its file has fewer splits."""
     df = read_table(spark, sf_dir, name)
-    return spread(df) if name in ("documents", "pages") else df
+    return spread(df) if name in ("documents", "pages", "embeddings") else df
 
 
 def query(name: str, sql: str | None = None):
@@ -124,10 +125,13 @@ OP10_CUTS = ", ".join(f"('{name}', {k}, {c!r}e0)" for name, (_, cuts) in quality
 OP10_VALUES = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS rule, ({x})::DOUBLE AS x FROM s" for name, (x, _) in quality_rules.RULES.items())
 OP10 = rf"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
-a AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM t),
+a AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM t),
 g AS (SELECT doc_id, i, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM a WHERE len(w) >= 5)),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g JOIN (SELECT doc_id, gram FROM g GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, gram)) GROUP BY 1),
-b AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM a LEFT JOIN r USING (doc_id)),
+b AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-
+]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM a LEFT JOIN r USING (doc_id)),
 s AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
 k AS (SELECT s.*, substr(md5(doc_id::VARCHAR), 1, 1) < '8' AS tuning FROM s WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1)),
 h AS (SELECT lang, count(*) AS n FROM k WHERE NOT tuning GROUP BY 1),
@@ -153,6 +157,76 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: The most tokens that a document has without being over the limit.
+TOKEN_LIMIT = 4096
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:  # on the driver, which sends it to the executors
+        found, into = token_counts.count_tokens(table(spark, sf_dir, "documents"), file.read(), carry=["doc_id"])
+    got = F.col(into)
+    return found.select("doc_id", got["n_bytes"].alias("n_bytes"), got["n_tokens"].alias("n_tokens"), (got["n_tokens"] > TOKEN_LIMIT).alias("over_limit"))
+
+
+#: The mean of whole numbers, rounded down; `n` is positive.
+FLOOR_MEAN = "((sum({0}) - ((sum({0}) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT"
+
+
+def code_rounds(rounds: int) -> str:
+    """Codebooks c1, c2, ... and the assignments a0, a1, ... that they come from."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""e{k} AS MATERIALIZED (SELECT p.vec_id, p.part, c.entry, sum((p.x - c.x) * (p.x - c.x))::BIGINT AS d FROM p JOIN c{k} c USING (part, pos) GROUP BY 1, 2, 3),
+a{k} AS MATERIALIZED (SELECT vec_id, part, entry, d FROM e{k} QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1)""")
+        if k < rounds:
+            out.append(f"c{k + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce(n.x, c.x) AS x FROM c{k} c LEFT JOIN (SELECT part, entry, pos, {FLOOR_MEAN.format('x')} AS x FROM p JOIN a{k} USING (vec_id, part) GROUP BY 1, 2, 3) n USING (part, entry, pos))")
+    return ",\n".join(out)
+
+
+OP12 = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+p AS MATERIALIZED (SELECT vec_id, i // 8 AS part, i % 8 AS pos, q[i + 1] AS x FROM v CROSS JOIN (SELECT unnest(range(64)) AS i)),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY row_number() OVER (ORDER BY vec_id) <= 16),
+c0 AS MATERIALIZED (SELECT part, entry, pos, x FROM p JOIN s USING (vec_id)),
+{code_rounds(6)},
+f AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY 1),
+h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c6)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM f JOIN v USING (vec_id) CROSS JOIN h
+"""
+
+
+@query("op12_vector_codes", OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def centroid_rounds(rounds: int) -> str:
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""e{k} AS MATERIALIZED (SELECT p.vec_id, c.cluster, sum((p.x - c.x) * (p.x - c.x))::BIGINT AS distance FROM p JOIN c{k} c USING (pos) GROUP BY 1, 2),
+a{k} AS MATERIALIZED (SELECT vec_id, cluster, distance FROM e{k} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)""")
+        if k < rounds:
+            out.append(f"c{k + 1} AS MATERIALIZED (SELECT cluster, pos, coalesce(n.x, c.x) AS x FROM c{k} c LEFT JOIN (SELECT cluster, pos, {FLOOR_MEAN.format('x')} AS x FROM p JOIN a{k} USING (vec_id) GROUP BY 1, 2) n USING (cluster, pos))")
+    return ",\n".join(out)
+
+
+OP13 = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+p AS MATERIALIZED (SELECT vec_id, i AS pos, q[i + 1] AS x FROM v CROSS JOIN (SELECT unnest(range(64)) AS i)),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster FROM v QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id)) <= 40),
+c0 AS MATERIALIZED (SELECT cluster, pos, x FROM p JOIN s USING (vec_id)),
+{centroid_rounds(5)},
+h AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c5 GROUP BY 1)
+SELECT vec_id, cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256 FROM a5 JOIN h USING (cluster)
+"""
+
+
+@query("op13_centroids", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
