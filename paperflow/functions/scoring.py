@@ -10,7 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperflow.functions.identity import squeeze
+from paperflow.functions.terms import SEPARATORS, Lexicon, strings, words_of
 from paperflow.functions.text import is_jargon, share, tokens
+from paperflow.functions.wordlists import EVERYDAY_DOMAINS
 from paperflow.tables import let
 
 # Lexicons and patterns.
@@ -42,29 +44,18 @@ SAMPLE_SIZES = (
     r"(?iu)(?<![\p{L}\p{N}])n\s?=\s?([0-9 ,]{2,9})",
     r"(?iu)(?<![\p{L}\p{N}])([0-9][0-9 ,]{1,8})\s+(?:participants|patients|subjects|respondents|individuals|adults|children|households|samples|animals|mice|records)(?!\p{L})",
 )
-GAP = r"[\s\x{2010}-\x{2015}\x{2212}-]+"
 WEIGHTS = {"explainability": 0.4, "everyday_relevance": 0.28, "freshness": 0.18, "credibility": 0.14}
 
 
 def term_pattern(term: str) -> str:
-    """A term between non-letters, any dash or blank between its words, its last word in singular or plural."""
-    *before, last = re.split(r"[\s‐-―−-]+", term.strip())
-    if len(last) >= 5 and re.search(r"(?<!s|u|i)s$", last):
-        last = last[:-1]
-    return r"(?<!\p{L})" + GAP.join([*map(re.escape, before), re.escape(last) + "(?:s|es)?"]) + r"(?!\p{L})"
+    """What `terms.Lexicon` finds, as a pattern: a term between non-letters, any dash or blank between its words, its last word in singular or plural."""
+    return r"(?<!\p{L})" + f"[{SEPARATORS}]+".join(words_of(term)) + r"(?:s|es)?(?!\p{L})"
 
 
 def hits(terms: list[str], title: Column, body: Column) -> Column:
-    """array<struct<term, in_title>> of the terms that title or body, in lower case, has.
-
-    A plain search for the term's first word goes before its pattern, which few texts then come to."""
-
-    def probe(where: Column, term: str) -> Column:
-        first, *more = re.split(r"[\s‐-―−-]+", term.strip())
-        return F.contains(where, F.lit(first if more or not first.endswith("s") else first[:-1])) & where.rlike(term_pattern(term))
-
-    found = [F.when(probe(title, t), F.struct(F.lit(t).alias("term"), F.lit(True).alias("in_title"))).when(probe(body, t), F.struct(F.lit(t).alias("term"), F.lit(False).alias("in_title"))) for t in terms]
-    return F.array_compact(F.array(*found))
+    """array<struct<term, in_title>> of the terms that title or body, in lower case, has."""
+    lexicon = Lexicon({"terms": terms})
+    return let(F.struct(lexicon.found(title).alias("t"), lexicon.found(body).alias("b")), lambda x: lexicon.hits("terms", x["t"], x["b"]))
 
 
 def weight_of(found: Column) -> Column:
@@ -117,11 +108,13 @@ def credibility(review: Column, n: Column, access: Column) -> Column:
 
 def explainability(title: Column, abstract: Column, tldr: Column, *, verbs: list[str] = OUTCOME_VERBS, nouns: list[str] = SUBJECT_NOUNS, theory: list[str] = THEORETICAL_MARKERS, long_token: int = 15, long_tokens: int = 2, most_words: int = 18) -> Column:
     """struct<value, v, s, q, c, t, j, verbs, nouns, theory, penalties, n_jargon, n_tokens>"""
+    lexicon = Lexicon({"verbs": verbs, "nouns": nouns, "theory": theory})
     texts = F.struct(squeeze(F.coalesce(title, F.lit(""))).alias("title"), squeeze(F.coalesce(abstract, F.lit(""))).alias("raw"), squeeze(F.coalesce(tldr, F.lit(""))).alias("note"))
 
     def matched(b: Column) -> Column:
         lowered = F.struct(b["title"].alias("title"), b["raw"].alias("raw"), F.lower(b["title"]).alias("head"), F.lower(F.concat_ws(" ", F.concat(b["raw"], F.lit(".")), b["note"])).alias("body"))
-        return let(lowered, lambda x: F.struct(x["title"].alias("title"), x["raw"].alias("raw"), x["head"].alias("head"), hits(verbs, x["head"], x["body"]).alias("verbs"), hits(nouns, x["head"], x["body"]).alias("nouns"), hits(theory, x["head"], x["body"]).alias("theory"), tokens(x["raw"]).alias("words")))
+        found = lambda x: F.struct(*[x[k].alias(k) for k in ("title", "raw", "head")], lexicon.found(x["head"]).alias("t"), lexicon.found(x["body"]).alias("b"))
+        return let(let(lowered, found), lambda x: F.struct(*[x[k].alias(k) for k in ("title", "raw", "head")], *[lexicon.hits(k, x["t"], x["b"]).alias(k) for k in lexicon.lists], tokens(x["raw"]).alias("words")))
 
     def measured(m: Column) -> Column:
         penalty = lambda why, by: F.struct(F.lit(why).alias("why"), F.lit(by).alias("by"))
@@ -146,21 +139,22 @@ def explainability(title: Column, abstract: Column, tldr: Column, *, verbs: list
     return let(let(let(texts, matched), measured), valued)
 
 
-def everyday_relevance(title: Column, body: Column, domains: dict[str, list[str]]) -> Column:
-    """struct<value, domains, terms> over a lexicon of domains, which is a parameter."""
+def everyday_relevance(title: Column, body: Column, domains: dict[str, list[str]] = EVERYDAY_DOMAINS) -> Column:
+    """struct<value, domains, terms>: the domains that a text touches, in their order, and the terms that show it."""
+    lexicon = Lexicon(domains)
+    texts = F.struct(F.lower(squeeze(F.coalesce(title, F.lit("")))).alias("head"), F.lower(squeeze(F.coalesce(body, F.lit("")))).alias("body"))
 
     def looked_up(b: Column) -> Column:
-        found = F.array(*[F.struct(F.lit(d).alias("domain"), hits(terms, b["head"], b["body"]).alias("hits")) for d, terms in domains.items()])
-        return let(F.filter(found, lambda x: F.size(x["hits"]) > 0), lambda f: F.struct(F.transform(f, lambda x: x["domain"]).alias("domains"), F.flatten(F.transform(f, lambda x: F.transform(x["hits"], lambda h: h["term"]))).alias("terms")))
+        found = F.array_sort(F.array_union(lexicon.found(b["head"]), lexicon.found(b["body"])))
+        return let(found, lambda f: F.struct(F.array_distinct(F.transform(f, lambda k: F.get(strings(d for d, terms in domains.items() for _ in terms), k))).alias("domains"), F.transform(f, lexicon.name).alias("terms")))
 
     def valued(x: Column) -> Column:
         return F.struct(clamp(0.8 * F.least(F.size(x["domains"]), F.lit(3)) / 3 + 0.2 * F.least(F.size(x["terms"]), F.lit(6)) / 6).alias("value"), x["domains"].alias("domains"), x["terms"].alias("terms"))
 
-    if not domains:
+    if not lexicon.terms:
         none = F.array().cast("array<string>")
         return F.struct(F.lit(0.0).alias("value"), none.alias("domains"), none.alias("terms"))
-    lowered = F.struct(F.lower(squeeze(F.coalesce(title, F.lit("")))).alias("head"), F.lower(squeeze(F.coalesce(body, F.lit("")))).alias("body"))
-    return let(let(lowered, looked_up), valued)
+    return let(let(texts, looked_up), valued)
 
 
 def total_score(weights: dict[str, float] = WEIGHTS, **factors: Column) -> Column:

@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from paperflow.catalog import register
 from paperflow.functions import identity, scoring
+from paperflow.functions.terms import words_of
 from paperflow.operators import selection
 from paperflow.plans.library import BLANK_RE, CANDIDATES, REASON_SQL, TODAY, candidates, first_line, reasoned, table
 from paperflow.tables import durable
 
-#: A small lexicon of everyday domains; a full one is the caller's to give.
-DOMAINS = {"home": ["rent", "heating", "kitchen"], "work": ["work", "office", "wages"], "school": ["teacher", "lesson"], "food": ["bread", "milk"], "body": ["sleep", "pain", "heart"], "town": ["bus", "street", "noise"]}
-
-
 def re2(pattern: str) -> str:
     """A pattern whose look-arounds become characters that are read: the same for whether it is found."""
     for around, read in ((r"(?iu)", "(?i)"), (r"(?<![\p{L}\p{N}])", r"(?:^|[^\p{L}\p{N}])"), (r"(?<!\p{L})", r"(?:^|[^\p{L}])"), (r"(?!\p{L})", r"(?:$|[^\p{L}])")):
@@ -26,8 +23,13 @@ def found_sql(where: str, pattern: str) -> str:
     return f"regexp_matches({where}, '{re2(pattern)}')"
 
 
+def term_sql(where: str, term: str) -> str:
+    """Whether a text has a term, by the term's pattern; a plain search for its first word goes before."""
+    return f"CASE WHEN contains({where}, '{words_of(term)[0]}') THEN {found_sql(where, scoring.term_pattern(term))} ELSE false END"
+
+
 def terms_sql(terms: list[str]) -> str:
-    rows = ", ".join(f"struct_pack(t := {found_sql('head', scoring.term_pattern(t))}, b := {found_sql('body', scoring.term_pattern(t))})" for t in terms)
+    rows = ", ".join(f"struct_pack(t := {term_sql('head', t)}, b := {term_sql('body', t)})" for t in terms)
     return f"[{rows}]"
 
 
@@ -46,9 +48,11 @@ LEXICON_SQL = f"""x0 AS (SELECT doc_id, trim(regexp_replace(split_part(coalesce(
     least(1e0, CASE WHEN len(words) = 0 THEN 0e0 ELSE len(list_filter(words, lambda t: length(t) >= 14 OR (regexp_matches(t, '\\p{{L}}') AND regexp_matches(t, '\\p{{N}}')))) / len(words) END / 0.1e0) AS j,
     list_max(list_filter(list_transform(list_concat({SIZES}), lambda d: try_cast(regexp_replace(d, '[^0-9]', '', 'g') AS BIGINT)), lambda n: n > 0)) AS n_cases FROM x2),
   x4 AS (SELECT *, least(1e0, greatest(0e0, 0.35e0 * v + 0.25e0 * s + 0.2e0 * q + 0.2e0 * c - 0.45e0 * t - 0.15e0 * j)) AS explain FROM x3)"""
-LIFE_HITS = {d: "[" + ", ".join(f"({found_sql('head', scoring.term_pattern(t))} OR {found_sql('lower(raw)', scoring.term_pattern(t))})" for t in terms) + "]" for d, terms in DOMAINS.items()}
-LIFE_SQL = f"""y0 AS (SELECT doc_id, [{', '.join(f"len(list_filter({h}, lambda x: x))" for h in LIFE_HITS.values())}] AS n FROM x1),
-  y1 AS (SELECT doc_id, least(1e0, 0.8e0 * least(len(list_filter(n, lambda k: k > 0)), 3) / 3 + 0.2e0 * least(list_sum(n), 6) / 6) AS everyday, array_to_string(list_filter([{', '.join(f"CASE WHEN n[{k + 1}] > 0 THEN '{d}' END" for k, d in enumerate(DOMAINS))}], lambda d: d IS NOT NULL), ',') AS domains FROM y0)"""
+DOMAINS = scoring.EVERYDAY_DOMAINS
+LIFE_HITS = {d: "[" + ", ".join(f"CASE WHEN {term_sql('head', t)} OR {term_sql('low', t)} THEN '{t}' END" for t in terms) + "]" for d, terms in DOMAINS.items()}
+LIFE_SQL = f"""y0 AS MATERIALIZED (SELECT doc_id, {', '.join(f"list_filter({h}, lambda t: t IS NOT NULL) AS {d}" for d, h in LIFE_HITS.items())} FROM (SELECT doc_id, head, lower(raw) AS low FROM x1)),
+  y1 AS (SELECT doc_id, list_filter([{', '.join(f"CASE WHEN len({d}) > 0 THEN '{d}' END" for d in DOMAINS)}], lambda d: d IS NOT NULL) AS ds, flatten([{', '.join(DOMAINS)}]) AS ts FROM y0),
+  y2 AS (SELECT doc_id, least(1e0, 0.8e0 * least(len(ds), 3) / 3 + 0.2e0 * least(len(ts), 6) / 6) AS everyday, array_to_string(ds, ',') AS domains, array_to_string(ts, ',') AS terms FROM y1)"""
 
 
 @register("explainability", f"WITH {LEXICON_SQL} SELECT doc_id, explain AS value, v::DOUBLE AS v, s::DOUBLE AS s, q, c, t::DOUBLE AS t, j, len(words)::INT AS n_tokens FROM x4")
@@ -64,10 +68,10 @@ def weighted_hits(spark, sf_dir):
     return found.select("doc_id", scoring.weight_of(F.col("v")).alias("verbs"), scoring.weight_of(F.col("n")).alias("nouns"))
 
 
-@register("everyday_relevance", f"WITH {LEXICON_SQL}, {LIFE_SQL} SELECT doc_id, everyday AS value, domains FROM y1")
+@register("everyday_relevance", f"WITH {LEXICON_SQL}, {LIFE_SQL} SELECT doc_id, everyday AS value, domains, terms FROM y2")
 def everyday_relevance(spark, sf_dir):
-    e = table(spark, sf_dir, "documents").select("doc_id", scoring.everyday_relevance(first_line(), F.col("text"), DOMAINS).alias("e"))
-    return e.select("doc_id", F.col("e")["value"].alias("value"), F.array_join(F.col("e")["domains"], ",").alias("domains"))
+    e = table(spark, sf_dir, "documents").select("doc_id", scoring.everyday_relevance(first_line(), F.col("text")).alias("e"))
+    return e.select("doc_id", F.col("e")["value"].alias("value"), *[F.array_join(F.col("e")[k], ",").alias(k) for k in ("domains", "terms")])
 
 
 @register("stated_cases", f"WITH {LEXICON_SQL} SELECT doc_id, n_cases FROM x3")
@@ -79,7 +83,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors of the exclusions with all four factors and the total."""
     r = reasoned(spark, sf_dir).where(F.col("reason").isNull())
     review, access = scoring.peer_review(F.lit(False), F.col("kind"), F.col("venue")), scoring.open_access(F.col("is_open"), F.col("licence"))
-    base = r.select("*", scoring.explainability(F.col("title"), F.col("abstract"), F.lit("")).alias("explain"), scoring.everyday_relevance(F.col("title"), F.col("abstract"), DOMAINS).alias("everyday"), review.alias("review"), access.alias("access"), scoring.sample_size(identity.squeeze("abstract")).alias("n_cases"))
+    base = r.select("*", scoring.explainability(F.col("title"), F.col("abstract"), F.lit("")).alias("explain"), scoring.everyday_relevance(F.col("title"), F.col("abstract")).alias("everyday"), review.alias("review"), access.alias("access"), scoring.sample_size(identity.squeeze("abstract")).alias("n_cases"))
     factors = {"explainability": F.col("explain")["value"], "everyday_relevance": F.col("everyday")["value"], "freshness": scoring.freshness(F.col("age"), 7), "credibility": scoring.credibility(F.col("review"), F.col("n_cases"), F.col("access"))}
     return base.withColumns(factors).withColumn("total", scoring.total_score(**{k: F.col(k) for k in factors}))
 
@@ -87,7 +91,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 CRED_SQL = "least(1e0, 0.4e0 * review + 0.25e0 * CASE WHEN n_cases IS NULL THEN 0.4e0 ELSE least(1e0, log10(n_cases) / 4) END + 0.2e0 * access + 0.15e0 * 0.3e0)"
 SCORED_SQL = f"""WITH {CANDIDATES}, {REASON_SQL}, {LEXICON_SQL}, {LIFE_SQL},
   z0 AS (SELECT r.id, doc_id, r.subfield, r.date, r.title, explain, everyday, n_cases, greatest(0e0, (7 - (DATE '{TODAY}' - r.date)) / 7e0) AS fresh, CASE WHEN kind = 'preprint' THEN 0.4e0 WHEN venue IS NOT NULL AND kind = 'article' THEN 1e0 ELSE 0.6e0 END AS review,
-    CASE WHEN NOT is_open THEN 0.3e0 WHEN licence IS NOT NULL THEN 1e0 ELSE 0.8e0 END AS access FROM r JOIN x4 USING (doc_id) JOIN y1 USING (doc_id) WHERE reason IS NULL),
+    CASE WHEN NOT is_open THEN 0.3e0 WHEN licence IS NOT NULL THEN 1e0 ELSE 0.8e0 END AS access FROM r JOIN x4 USING (doc_id) JOIN y2 USING (doc_id) WHERE reason IS NULL),
   z1 AS (SELECT *, {CRED_SQL} AS cred FROM z0), z2 AS (SELECT *, floor((0.4e0 * explain + 0.28e0 * everyday + 0.18e0 * fresh + 0.14e0 * cred) * 10000 + 0.5e0) / 10000 AS total FROM z1),
   o AS (SELECT *, row_number() OVER (ORDER BY floor(total / 0.005e0 + 1e-9) DESC, explain DESC, date DESC, access DESC, cred DESC, id) AS rank FROM z2)"""
 
