@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperflow.catalog import register
-from paperflow.functions import identity, prose
-from paperflow.operators import collapse, ledger, render
-from paperflow.operators import prose as rules
+from paperflow.functions import anchors, identity, lexicon, prose
+from paperflow.operators import collapse, echoes, ledger, render, style
+from paperflow.plans import prose_sql
 from paperflow.plans.library import KEY_SQL, first_line, table
 
 WORDS_SQL = r"regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{N}''’-]*')"
@@ -41,56 +41,98 @@ def seen_or_similar_title(spark, sf_dir):
 @register("word_counts", f"SELECT doc_id, coalesce(len({WORDS_SQL}), 0)::INT AS countable, coalesce(len({LETTERS_SQL}), 0)::INT AS words FROM documents")
 def word_counts(spark, sf_dir):
     n = lambda pattern: F.coalesce(F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", n(prose.COUNTABLE.pattern).alias("countable"), n(prose.LETTERS.pattern).alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", n(prose.COUNTABLE).alias("countable"), n(prose.LETTERS).alias("words"))
 
 
-ENGLISH_SQL = ", ".join(f"'{w}'" for w in sorted(prose.ENGLISH_WORDS - prose.AMBIGUOUS))
+ENGLISH_SQL = ", ".join(f"'{w}'" for w in sorted(set(prose.ENGLISH_WORDS) - set(prose.AMBIGUOUS)))
 
 
 @register("english_function_share", f"SELECT doc_id, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda t: list_contains([{ENGLISH_SQL}], t)))::DOUBLE / len(w) ELSE 0.0 END AS share FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}''’]+') AS w FROM documents)")
 def english_function_share(spark, sf_dir):
-    words = F.regexp_extract_all(F.lower("text"), F.lit(prose.LETTERS.pattern), F.lit(0))
-    hits = F.size(F.filter("w", lambda t: t.isin(*sorted(prose.ENGLISH_WORDS - prose.AMBIGUOUS))))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(prose.LETTERS), F.lit(0))
+    hits = F.size(F.filter("w", lambda t: t.isin(*sorted(set(prose.ENGLISH_WORDS) - set(prose.AMBIGUOUS)))))
     return table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", F.when(F.size("w") > 0, hits / F.size("w")).otherwise(0.0).alias("share"))
 
 
-@register("sentence_split")
+PLAIN_SQL = "x AS MATERIALIZED (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents)"
+
+
+@register("sentence_split", f"WITH {PLAIN_SQL}, {prose_sql.sentences('x', 's')} SELECT id AS doc_id, a AS start, b AS end FROM s")
 def sentence_split(spark, sf_dir):
-    spans = table(spark, sf_dir, "documents").select("doc_id", F.explode(rules.sentence_spans("text")).alias("s"))
+    spans = table(spark, sf_dir, "documents").select("doc_id", F.explode(prose.sentences(F.col("text"))).alias("s"))
     return spans.select("doc_id", "s.start", "s.end")
 
 
-@register("syllables")
+@register("syllables", f"SELECT word, count(*) AS n, any_value({prose_sql.syllables('word')}) AS syllables FROM (SELECT unnest({LETTERS_SQL}) AS word FROM documents) GROUP BY 1")
 def syllables(spark, sf_dir):
-    """Each distinct word once: the words combine before Python sees them."""
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(prose.LETTERS.pattern), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word", "n", rules.syllables("word").alias("syllables"))
+    """Each distinct word once."""
+    words = table(spark, sf_dir, "documents").select(F.explode(prose.words(F.col("text"))).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word", "n", prose.syllables(F.col("word")).alias("syllables"))
+
+
+METRICS = "n_sentences n_words mean_sentence_words longest_sentence_words long_sentences mean_syllables share_4_syllables share_5_syllables passive_share reflexive_share composite".split()
 
 
-@register("readability")
+@register("readability", f"WITH {PLAIN_SQL}, {prose_sql.readability('x')} SELECT id AS doc_id, {', '.join(METRICS)}, array_to_string({prose_sql.broken_rules()}, ',') AS findings FROM metrics")
 def readability(spark, sf_dir):
-    scored = table(spark, sf_dir, "documents").select("doc_id", rules.readability("text").alias("m"))
-    broken = F.array_join(F.transform(rules.readability_findings(F.col("m")), lambda f: F.concat_ws(":", f["rule"], f["severity"])), ",")
-    return scored.select("doc_id", "m.*", broken.alias("findings"))
+    scored = table(spark, sf_dir, "documents").select("doc_id", prose.readability(F.col("text")).alias("m"))
+    broken = F.array_join(F.transform(prose.readability_findings(F.col("m")), lambda f: F.concat_ws(":", f["rule"], f["severity"])), ",")
+    return scored.select("doc_id", *[f"m.{k}" for k in METRICS], broken.alias("findings"))
 
 
-@register("english_findings")
+@register("english_findings", f"WITH {PLAIN_SQL}, {prose_sql.english('x')} SELECT id AS doc_id, rule, severity, a AS start, b AS end FROM english")
 def english_findings(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(rules.english("text", F.lit(None).cast("string"))).alias("f"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(prose.english_findings(F.col("text"))).alias("f"))
     return found.select("doc_id", "f.*")
 
 
+#: Sentences that documents are given, as their own words have none of the lexicons.
+LEADS = [
+    "Tento revoluční objev mění pravidla hry, protože buňky (novel cells) rostou rychleji.", "Zlomový okamžik přišel v roce 2019. Medián, tedy prostřední hodnota ze všech čísel, klesl o 12 %.",
+    "Průlomová bolest není průlom v léčbě; masivní hvězda je ovšem obrovská.", "Cena klesla o 9 %, což znamená jednu korunu z jedenácti. Nová éra? Historický průlom!",
+    "Neuronová síť – počítačový program, který se učí z příkladů – je slibný nástroj.", "Statisticky velmi významný rozdíl měl p < 0,05 a poměr šancí (odds ratio) 1,4.",
+    "This groundbreaking, state-of-the-art study of the sleep of the children shows what we have known.", "Korelace není kauzalita. Randomizovaná studie RCT měla 40 starších dětí a kontrolní skupinu.",
+    "Raketový nárůst cen, první-ever a once-and-for-all: game–changing novinka za 3,5 milionu.", "Děti stavěly na louce dřevěný domek.", "Medián příjmu vzrostl dvojnásobně; nadějné výsledky jsou zcela zásadní, např. pro mRNA (tedy poselskou kyselinu v buňce).",
+]
+LEAD_SQL = f"x AS MATERIALIZED (SELECT doc_id AS id, [{prose_sql.some(LEADS)}][doc_id % {len(LEADS)} + 1] || chr(10) || coalesce(text, '') AS text FROM documents)"
+
+
+def led(spark, sf_dir):
+    """Every document after a lead sentence of its own."""
+    lead = F.get(F.array(*map(F.lit, LEADS)), (F.col("doc_id") % len(LEADS)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@register("overstatements", f"WITH {LEAD_SQL}, {prose_sql.overstated('x')} SELECT id AS doc_id, rule, severity, a AS start, b AS end FROM overstated")
+def overstatements(spark, sf_dir):
+    """All 118 entries over whole texts."""
+    return led(spark, sf_dir).select("doc_id", F.explode(lexicon.overstatements(F.col("text"))).alias("f")).select("doc_id", "f.*")
+
+
+@register("unexplained_terms")
+def unexplained_terms(spark, sf_dir):
+    """The first uses of the 86 terms that lack a gloss or the original."""
+    return style.gloss_findings(led(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.lit(0).alias("block"), "text")).withColumnRenamed("doc", "doc_id")
+
+
+@register("title_echoes")
+def title_echoes(spark, sf_dir):
+    """Where a document repeats its heading: the second to the ninth word of its first line, in capitals."""
+    title = F.upper(F.array_join(F.slice(F.split(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), r"\s+"), 2, 8), " "))
+    found = echoes.echoes(table(spark, sf_dir, "documents").select("doc_id", prose.masked(F.col("text")).alias("text"), title.alias("title")), ["doc_id"], "text", "title")
+    return found.select("doc_id", F.explode("echoes").alias("e")).select("doc_id", "e.start", "e.end")
+
+
 @register("style_status")
 def style_status(spark, sf_dir):
-    """Readability and English findings of each document, and the status that follows."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", rules.readability("text").alias("m"), rules.english("text", F.lit(None).cast("string")).alias("e"))
-    every = F.concat(F.transform(rules.readability_findings(F.col("m")), lambda f: f["severity"]), F.transform("e", lambda f: f["severity"]))
-    return docs.select("doc_id", F.col("m.n_words").alias("n_words"), every.alias("s")).select("doc_id", "n_words", F.size("s").alias("n_findings"), rules.status(F.col("s"), F.col("n_words")).alias("status"))
+    """The five checks over each document after its lead sentence, as one block, and the status that follows."""
+    blocks = led(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.lit(style.BLOCKS[1]).alias("block"), "text", F.lit(None).cast("string").alias("title"))
+    return style.statuses(blocks, style.findings(blocks)).withColumnRenamed("doc", "doc_id")
 
 
 @register("unanchored_numbers")
 def unanchored_numbers(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(rules.unanchored("text")).alias("f"))
+    found = led(spark, sf_dir).select("doc_id", F.explode(anchors.unanchored(F.col("text"))).alias("f"))
     return found.select("doc_id", "f.severity", "f.start", "f.end")
 
 

@@ -8,7 +8,6 @@ from paperflow.catalog import register
 from paperflow.functions import claims, identity, prose, scoring, text
 from paperflow.operators import claims as adjudication
 from paperflow.operators import findings, generation, ledger, render
-from paperflow.operators import prose as rules
 from paperflow.plans.library import BLANK_RE, KEY_SQL, first_line, table
 from paperflow.sources import feeds
 
@@ -193,7 +192,7 @@ def lead_sentences(spark, sf_dir):
 
 @register("diacritic_words", "SELECT doc_id, coalesce(len(list_filter(regexp_extract_all(text, '[\\p{L}''’]+'), lambda w: regexp_matches(w, '(?i)[áčďéěíňóřšťúůýž]'))), 0)::INT AS marked FROM documents")
 def diacritic_words(spark, sf_dir):
-    words = F.regexp_extract_all("text", F.lit(prose.LETTERS.pattern), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(prose.LETTERS), F.lit(0))
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.size(F.filter(words, lambda w: w.rlike("(?iu)[áčďéěíňóřšťúůýž]"))), F.lit(0)).alias("marked"))
 
 
@@ -283,7 +282,7 @@ def style_statuses(spark, sf_dir):
     """Hard findings count where the block's scope lets them; warnings by a budget."""
     some = line_findings(spark, sf_dir).withColumn("severity", F.when((F.col("severity") == "hard") & (F.col("block") != 0), "off").otherwise(F.col("severity")))
     grouped = some.groupBy("doc").agg(F.collect_list("severity").alias("s"))
-    return grouped.select("doc", rules.status(F.col("s"), F.col("doc") % 500).alias("status"))
+    return grouped.select("doc", prose.status(F.col("s"), F.col("doc") % 500).alias("status"))
 
 
 @register("regeneration_texts", f"WITH {FINDINGS_SQL} SELECT doc, string_agg(rule || ' at ' || start, chr(10) ORDER BY block, start, rule) AS text FROM f WHERE severity = 'hard' GROUP BY 1")
@@ -294,7 +293,7 @@ def regeneration_texts(spark, sf_dir):
 @register("plain_runs", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}''’]+') AS w FROM documents), f AS (SELECT doc_id, regexp_extract_all(coalesce(array_to_string(list_transform(w, lambda t: CASE WHEN regexp_matches(t, '^[a-z'']+$') THEN 'a' ELSE 'x' END), ''), ''), 'a+') AS r FROM w)
     SELECT doc_id, len(list_filter(r, lambda x: length(x) >= 6))::INT AS long_runs, coalesce(list_max(list_transform(r, lambda x: length(x))), 0)::INT AS longest FROM f""")
 def plain_runs(spark, sf_dir):
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(prose.LETTERS.pattern), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(prose.LETTERS), F.lit(0))
     return table(spark, sf_dir, "documents").select("doc_id", findings.runs(words, lambda w: w.rlike("^[a-z']+$")).alias("r")).select("doc_id", F.size(F.filter("r", lambda n: n >= 6)).alias("long_runs"), F.coalesce(F.array_max("r"), F.lit(0)).alias("longest"))
 
 

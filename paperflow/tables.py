@@ -41,3 +41,38 @@ def free_name(columns: list[str], base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+def running(sizes: Column) -> Column:
+    """array<int>: for each of `sizes` (array<int>) the sum of those before it.
+
+    Appending to an array copies it, so sizes are added up in blocks of the root of their number, each after the blocks before it."""
+
+    def fold(a: Column, first: Column) -> Column:
+        none = F.expr("cast(array() as array<int>)")
+        step = lambda s, x: F.struct((s["at"] + x).cast("int").alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+        return F.aggregate(a, F.struct(first.cast("int").alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+    def in_blocks(a: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(a))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(a), width), lambda k: F.slice(a, k, width))
+        totals = lambda b: F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda s, y: (s + y).cast("int")))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, fold(totals(b), F.lit(0)), fold)))
+
+    return let(sizes, lambda a: F.when(F.size(a) <= 64, fold(a, F.lit(0))).otherwise(in_blocks(a)))
+
+
+def match_spans(text: Column, pattern: str | Column) -> Column:
+    """array<struct<start, end, found>> of all matches in code points, end exclusive. `pattern` must not match the empty string."""
+    rx = F.lit(pattern) if isinstance(pattern, str) else pattern
+    none = F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")
+
+    def placed(x: Column) -> Column:
+        sizes = F.zip_with(x["before"], x["found"], lambda b, f: F.length(b) + F.length(f))
+        starts = F.zip_with(running(sizes), x["before"], lambda at, b: at + F.length(b))
+        return F.zip_with(starts, x["found"], lambda at, f: F.struct(at.alias("start"), (at + F.length(f)).alias("end"), f.alias("found")))
+
+    def parted(t: Column) -> Column:
+        return let(F.regexp_extract_all(t, rx, F.lit(0)), lambda f: let(F.struct(F.slice(F.split(t, rx, -1), 1, F.size(f)).alias("before"), f.alias("found")), placed))
+
+    return let(text, lambda t: F.when(F.regexp_like(t, rx), parted(t)).otherwise(none))

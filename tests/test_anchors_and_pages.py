@@ -1,9 +1,9 @@
 import datetime as dt
 
+import plain_anchors as anchors
 import pytest
 from pyspark.sql import functions as F
 
-from paperflow.functions import anchors
 from paperflow.operators import render
 
 
