@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,23 +44,51 @@ def free_name(columns: list[str], base: str) -> str:
     return base
 
 
-def running(sizes: Column) -> Column:
-    """array<int>: for each of `sizes` (array<int>) the sum of those before it.
+def scanned(values: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """array<kind>: what `step` gives for one value after the other.
 
-    Appending to an array copies it, so sizes are added up in blocks of the root of their number, each after the blocks before it."""
+    `step` takes what is carried and a value, and returns a struct of `carry` and `out`; a null `out` adds nothing. Appending to an array copies it, so values go in
+    blocks of the root of their number, and the arrays of the blocks are joined at the end."""
+    none = lambda of: F.expr(f"cast(array() as array<{of}>)")
 
-    def fold(a: Column, first: Column) -> Column:
-        none = F.expr("cast(array() as array<int>)")
-        step = lambda s, x: F.struct((s["at"] + x).cast("int").alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
-        return F.aggregate(a, F.struct(first.cast("int").alias("at"), none.alias("out")), step, lambda s: s["out"])
+    def block(b: Column, carry: Column) -> Column:
+        grown = lambda s, r: F.struct(r["carry"].alias("carry"), F.when(r["out"].isNull(), s["out"]).otherwise(F.array_append(s["out"], r["out"])).alias("out"))
+        return F.aggregate(b, F.struct(carry.alias("carry"), none(kind).alias("out")), lambda s, x: let(step(s["carry"], x), lambda r: grown(s, r)))
 
     def in_blocks(a: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(a))).cast("int")
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(a))).cast("int"))
         blocks = F.transform(F.sequence(F.lit(1), F.size(a), width), lambda k: F.slice(a, k, width))
-        totals = lambda b: F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda s, y: (s + y).cast("int")))
-        return let(blocks, lambda b: F.flatten(F.zip_with(b, fold(totals(b), F.lit(0)), fold)))
+        add = lambda s, b: let(block(b, s["carry"]), lambda r: F.struct(r["carry"].alias("carry"), F.array_append(s["out"], r["out"]).alias("out")))
+        return F.aggregate(blocks, F.struct(start.alias("carry"), none(f"array<{kind}>").alias("out")), add, lambda s: F.flatten(s["out"]))
+
+    return let(values, lambda a: F.when(F.size(a) > 0, in_blocks(a)).otherwise(none(kind)))
+
+
+def running(sizes: Column) -> Column:
+    """array<int>: for each of `sizes` (array<int>) the sum of those before it."""
+    return scanned(sizes, F.lit(0), lambda s, x: F.struct((s + x).cast("int").alias("carry"), s.alias("out")), "int")
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Those of `spans` that overlap none of `others`; both are arrays of structs with start and end, in code points, end exclusive.
+
+    All are sorted by start once. A span is met by one before it if the greatest end so far lies beyond its start, and by one after it if the next start lies before its end."""
+    ends = F.concat(
+        F.transform(others, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("mine"), s["end"].alias("end"), F.lit(None).cast("int").alias("k"))),
+        F.transform(spans, lambda s, k: F.struct(s["start"].alias("start"), F.lit(1).alias("mine"), s["end"].alias("end"), k.alias("k"))),
+    )
+
+    def sweep(found: Column, at: Callable[[Column], Column], pick) -> Column:
+        """For each of `found` the best `at` of others before it."""
+        step = lambda best, x: F.struct(F.when(x["mine"] == 0, pick(best, at(x))).otherwise(best).alias("carry"), best.alias("out"))
+        return scanned(found, F.lit(-1) if pick is F.greatest else F.lit(2147483647), step, "int")
+
+    def kept(found: Column) -> Column:
+        both = F.struct(sweep(found, lambda x: x["end"], F.greatest).alias("reach"), F.reverse(sweep(F.reverse(found), lambda x: x["start"], F.least)).alias("next"))
+        free = lambda b: F.transform(F.arrays_zip(found.alias("x"), b["reach"].alias("reach"), b["next"].alias("next")), lambda z: F.when((z["x"]["mine"] == 1) & (z["reach"] <= z["x"]["start"]) & (z["next"] >= z["x"]["end"]), z["x"]["k"]))
+        return F.transform(F.array_compact(let(both, free)), lambda k: F.get(spans, k))
 
-    return let(sizes, lambda a: F.when(F.size(a) <= 64, fold(a, F.lit(0))).otherwise(in_blocks(a)))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), let(F.array_sort(ends), kept)).otherwise(spans)
 
 
 def match_spans(text: Column, pattern: str | Column) -> Column:
