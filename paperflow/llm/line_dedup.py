@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperflow.llm.common import durable
-from paperflow.llm.native import BLANKS, let
+from paperflow.llm.native import BLANKS, let, scanned
 
 #: Copies of one chunk that are compared under one key.
 COPIES_A_KEY = 64
@@ -48,18 +48,16 @@ def chunks_of(text: Column, *, window: int = 3, divisor: int = 4, least_lines: i
 
     def wide(lines: Column, e: Column) -> Column:
         """The ends that leave each chunk `least_lines` lines that are not blank."""
-        none = F.struct(F.expr("cast(array() as array<int>)").alias("out"), F.lit(0).alias("full"))
         parts = F.transform(e, lambda end, k: F.struct(end.alias("end"), chunk(lines, F.coalesce(F.get(e, k - 1) + 1, F.lit(0)), end)["full"].alias("full")))
 
-        def step(s: Column, x: Column) -> Column:
-            full = s["full"] + x["full"]
-            enough = full >= least_lines
-            return F.struct(F.when(enough, F.array_append(s["out"], x["end"])).otherwise(s["out"]).alias("out"), F.when(enough, 0).otherwise(full).alias("full"))
+        def step(before: Column, x: Column) -> Column:
+            enough = before + x["full"] >= least_lines
+            return F.struct(F.when(enough, 0).otherwise(before + x["full"]).alias("carry"), F.when(enough, x["end"]).alias("out"))
 
         def closed(out: Column) -> Column:
             return F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.size(lines) - 1))
 
-        return let(F.aggregate(parts, none, step, lambda s: s["out"]), closed)
+        return let(scanned(parts, F.lit(0), step, "int"), closed)
 
     def cut(lines: Column) -> Column:
         found = let(let(F.transform(lines, lambda x: F.xxhash64(x)), ends), lambda e: wide(lines, e))
@@ -100,11 +98,11 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     joined = rows.join(gone, F.col("id_").eqNullSafe(F.col("id2_")) & (F.col("key_") == F.col("key2_")), "left")
 
     def rest(c: Column) -> Column:
-        left = F.filter(c, lambda x, n: ~F.array_contains("gone", n))
-        return F.array_join(F.transform(left, lambda x: x["body"]), "\n")
+        left = F.array_except(F.sequence(F.lit(0), F.size(c) - 1), "gone")
+        return F.array_join(F.transform(left, lambda n: F.get(c, n)["body"]), "\n")
 
     def lost(c: Column) -> Column:
-        return F.aggregate(F.filter(c, lambda x, n: F.array_contains("gone", n)), F.lit(0), lambda a, x: a + x["n_lines"])
+        return F.aggregate("gone", F.lit(0), lambda a, n: a + F.get(c, n)["n_lines"])
 
     kept = F.when(F.col("gone").isNull(), F.col(body)).otherwise(let(chunks_of(F.col(body), least_lines=least_lines, **options), rest))
     extra = []

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperflow.tables import let
+from paperflow.tables import apart, let, match_spans, scanned
 
-__all__ = ["BLANKS", "let", "match_spans", "words_of"]
+__all__ = ["BLANKS", "apart", "let", "match_spans", "scanned", "words_of"]
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -17,23 +15,3 @@ BLANKS = " \t\n\x0b\x0c\r"
 def words_of(text: Column) -> Column:
     """Runs of anything but space and 0x09-0x0D."""
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
-def match_spans(text: Column, pattern: str | Column) -> Column:
-    """array<struct<start, end, found>> of all matches in code points, end exclusive. `pattern` must not match the empty string."""
-    rx = F.lit(pattern) if isinstance(pattern, str) else pattern
-    none = F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(pieces: Column) -> Callable[[Column, Column], Column]:
-        def one(state: Column, x: Column) -> Column:
-            start = state["at"] + F.length(F.get(pieces, F.size(state["out"])))
-            end = start + F.length(x)
-            return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), x.alias("found"))).alias("out"))
-
-        return one
-
-    def spans(t: Column) -> Column:
-        return let(F.split(t, rx, -1), lambda pieces: F.aggregate(F.regexp_extract_all(t, rx, F.lit(0)), zero, step(pieces), lambda s: s["out"]))
-
-    return let(text, lambda t: F.when(F.regexp_like(t, rx), spans(t)).otherwise(none))

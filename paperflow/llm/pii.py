@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperflow.llm.common import durable
-from paperflow.llm.native import let, match_spans
+from paperflow.llm.native import apart, let, match_spans, scanned
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive and anchored forms of the contract's patterns: the same leftmost matches, in time that is linear in the text.
@@ -148,8 +148,7 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", secret_
     """(doc_id, body, base, added): every text with its base spans and those that the method adds. Unless `whole`, body is null where there are no spans."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     marked = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("body"), base_spans(body).alias("base"), secret_spans(body, secret_bits).alias("secrets"))
-    apart = F.filter("secrets", lambda x: ~F.exists("base", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    rows = marked.select("doc_id", F.xxhash64("body").alias("body_key"), "base", F.concat("base", apart).alias("spans"), "body")
+    rows = marked.select("doc_id", F.xxhash64("body").alias("body_key"), "base", F.concat("base", apart(F.col("secrets"), F.col("base"))).alias("spans"), "body")
     if not whole:
         rows = rows.withColumn("body", F.when(F.size("spans") > 0, F.col("body")))
     rows = durable(rows)
@@ -160,8 +159,7 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", secret_
 
     def spans(of: str, kind: str) -> Column:
         every = F.transform(match_spans(F.col("body"), told_pattern(F.col(of))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["found"].alias("found")))
-        outside = F.filter(every, lambda x: ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-        return F.when(F.size(of) > 0, outside).otherwise(none)
+        return F.when(F.size(of) > 0, apart(every, F.col("spans"))).otherwise(none)
 
     secrets = F.filter("spans", lambda s: s["kind"] == "secret")
     with_spans = rows.where(F.size("spans") > 0).join(told, F.col("body_key") == F.col("told_key"), "left")
@@ -190,14 +188,18 @@ def digest(docs: DataFrame, **options) -> DataFrame:
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, text): base spans, secrets and hints generalised to their kind in brackets, terms removed; of overlapping spans the first counts."""
     found = find(docs, **options)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def rebuilt(body: Column, spans: Column) -> Column:
-        def step(s: Column, x: Column) -> Column:
+        def step(at: Column, x: Column) -> Column:
             put = F.when(x["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
-            grown = F.concat(s["out"], F.substring(body, s["at"] + 1, x["start"] - s["at"]), put)
-            return F.when(x["start"] < s["at"], s).otherwise(F.struct(x["end"].alias("at"), grown.alias("out")))
+            met = x["start"] < at
+            return F.struct(F.when(met, at).otherwise(x["end"]).alias("carry"), F.when(~met, F.struct(x["start"].alias("start"), x["end"].alias("end"), put.alias("put"))).alias("out"))
 
-        return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.length(body))))
+        def joined(kept: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), F.transform(kept, lambda x: x["end"]))
+            part = lambda chars, at, x: F.concat(F.array_join(F.slice(chars, at + 1, F.coalesce(x["start"] - at, F.size(chars))), ""), F.coalesce(x["put"], F.lit("")))
+            return let(F.split(body, "", -1), lambda chars: F.array_join(F.zip_with(before, kept, lambda at, x: part(chars, at, x)), ""))
+
+        return F.when(F.size(spans) == 0, body).otherwise(let(scanned(spans, F.lit(0), step, "struct<start:int,end:int,put:string>"), joined))
 
     return found.select("doc_id", rebuilt(F.col("body"), in_order(F.col("base"), F.col("added"))).alias("text"))

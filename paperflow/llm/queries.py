@@ -125,19 +125,16 @@ OP10_CUTS = ", ".join(f"('{name}', {k}, {c!r}e0)" for name, (_, cuts) in quality
 OP10_VALUES = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS rule, ({x})::DOUBLE AS x FROM s" for name, (x, _) in quality_rules.RULES.items())
 OP10 = rf"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
-a AS (SELECT *, regexp_extract_all(text, '[^ 	-
-]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS l FROM t),
+a AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
 g AS (SELECT doc_id, i, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM a WHERE len(w) >= 5)),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g JOIN (SELECT doc_id, gram FROM g GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, gram)) GROUP BY 1),
-b AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-
-]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM a LEFT JOIN r USING (doc_id)),
+b AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM a LEFT JOIN r USING (doc_id)),
 s AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
 k AS (SELECT s.*, substr(md5(doc_id::VARCHAR), 1, 1) < '8' AS tuning FROM s WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1)),
 h AS (SELECT lang, count(*) AS n FROM k WHERE NOT tuning GROUP BY 1),
 m AS (SELECT x.lang, coalesce(h.n, 0) < ceil(ln(0.05e0 / ((SELECT count(*) FROM h) + 1)) / ln(0.95e0)) AS pooled FROM (SELECT DISTINCT lang FROM s) x LEFT JOIN h ON h.lang IS NOT DISTINCT FROM x.lang),
 e AS (SELECT greatest(1, (SELECT count(*) FROM m WHERE NOT pooled) + 1) AS tested),
-u AS (SELECT doc_id, CASE WHEN pooled THEN 'pool' ELSE 'own ' || coalesce(lang, '') END AS grp FROM s JOIN m USING (lang)),
+u AS (SELECT doc_id, CASE WHEN pooled THEN 'pool' ELSE 'own ' || coalesce(lang, '') END AS grp FROM s JOIN m ON m.lang IS NOT DISTINCT FROM s.lang),
 v AS ({OP10_VALUES}), c(rule, k, c) AS (VALUES {OP10_CUTS}),
 x AS (SELECT v.doc_id, u.grp, v.rule, count(*) FILTER (v.x > c.c) AS kx FROM v JOIN u USING (doc_id) JOIN c USING (rule) GROUP BY 1, 2, 3),
 n AS (SELECT x.grp, x.rule, i.k, count(*) FILTER (x.kx > i.k) AS bad, count(*) AS n FROM x JOIN k USING (doc_id) CROSS JOIN (SELECT unnest(range(8)) AS k) i WHERE k.tuning AND NOT k.base_failed GROUP BY 1, 2, 3),

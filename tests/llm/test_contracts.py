@@ -57,7 +57,7 @@ def test_longest_matches(spark):
 
     line = [f"t{k}" for k in range(50)]
     docs = spark.createDataFrame([(1, "a b " + " ".join(line[5:35]) + " c " + " ".join(line[:13]))], "doc_id long, text string")
-    df, into = decontamination.scan(docs, spark.createDataFrame([(9, " ".join(line))], "item_id long, text string"))
+    df, into = decontamination.scan(docs, spark.createDataFrame([(9, " ".join(line))], "item_id long, text string"), matches=True)
     got = sorted(tuple(m) for m in df.first()[into]["matches"])
     assert got == [("9", 0, 33, 13), ("9", 5, 2, 30)]
 
