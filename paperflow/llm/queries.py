@@ -134,7 +134,7 @@ k AS (SELECT s.*, substr(md5(doc_id::VARCHAR), 1, 1) < '8' AS tuning FROM s WHER
 h AS (SELECT lang, count(*) AS n FROM k WHERE NOT tuning GROUP BY 1),
 m AS (SELECT x.lang, coalesce(h.n, 0) < ceil(ln(0.05e0 / ((SELECT count(*) FROM h) + 1)) / ln(0.95e0)) AS pooled FROM (SELECT DISTINCT lang FROM s) x LEFT JOIN h ON h.lang IS NOT DISTINCT FROM x.lang),
 e AS (SELECT greatest(1, (SELECT count(*) FROM m WHERE NOT pooled) + 1) AS tested),
-u AS (SELECT doc_id, CASE WHEN pooled THEN 'pool' ELSE 'own ' || coalesce(lang, '') END AS grp FROM s JOIN m ON m.lang IS NOT DISTINCT FROM s.lang),
+u AS (SELECT doc_id, CASE WHEN pooled THEN 'pool' ELSE coalesce('own ' || s.lang, 'null') END AS grp FROM s JOIN m ON m.lang IS NOT DISTINCT FROM s.lang),
 v AS ({OP10_VALUES}), c(rule, k, c) AS (VALUES {OP10_CUTS}),
 x AS (SELECT v.doc_id, u.grp, v.rule, count(*) FILTER (v.x > c.c) AS kx FROM v JOIN u USING (doc_id) JOIN c USING (rule) GROUP BY 1, 2, 3),
 n AS (SELECT x.grp, x.rule, i.k, count(*) FILTER (x.kx > i.k) AS bad, count(*) AS n FROM x JOIN k USING (doc_id) CROSS JOIN (SELECT unnest(range(8)) AS k) i WHERE k.tuning AND NOT k.base_failed GROUP BY 1, 2, 3),
