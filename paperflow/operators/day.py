@@ -44,7 +44,7 @@ def merged(records: DataFrame) -> DataFrame:
     have = set(records.columns)
     rows = records.select("*", *[F.lit(None).cast(t).alias(c) for c, t in COLUMNS.items() if c not in have])
     part = lambda c: F.col(c)["id"].alias(f"{c}_id") if c in have else F.lit(None).cast("string").alias(f"{c}_id")
-    order = F.row_number().over(selection.Window.orderBy("source_rank", F.col("date").desc(), "id")).alias("place")
+    order = F.struct("source_rank", (-F.unix_date("date")).alias("age"), "id").alias("place")
     rows = rows.select(*LEAD, "doi", *[c for c in FILL if c not in ("subfield_id", "field_id")], part("subfield"), part("field"), *[F.coalesce(F.col(c), F.lit(False)).alias(c) if c in have else F.lit(False).alias(c) for c in FLAGS], "source_rank", order)
     rows = rows.withColumn("merge_key", F.nullif(identity.merge_key(F.col("title")), F.lit("")))
     return merge.merge_fold(rows.drop("source_rank"), place="place", doi="doi", title="merge_key", lead=LEAD, fill=FILL, any_true=FLAGS)

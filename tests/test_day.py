@@ -167,3 +167,46 @@ def test_ledger_upsert(spark):
     assert out == {
         0: ("2026-03-04", "W1", "d1", None, "t1", "a"), 1: ("2026-05-01", None, "d2", "p2", "hedgesalongcyclepathsandfinedust", "z"), 2: ("2026-01-01", "W3", "d2", None, "x", "c"), 3: ("2026-03-04", "W9", "d9", "p9", "fresh", "z"), 4: ("2026-03-04", None, None, None, None, "z"),
     }
+
+
+def test_merge_fold_with_more_fields(spark):
+    import random
+
+    def fold(rows):
+        """The merge in the order of places, record by record."""
+        out, by_doi, by_title = [], {}, {}
+        fields = ("doi", "a", "b", "c")
+        have = lambda v: v is not None and v != [] and (not isinstance(v, str) or v.strip() != "")
+        for row in rows:
+            at = by_doi.get(row["doi"]) if row["doi"] else None
+            if at is None and row["title"] in by_title and not (row["doi"] and out[by_title[row["title"]]]["doi"] not in (None, "", row["doi"])):
+                at = by_title[row["title"]]
+            if at is None:
+                at = len(out)
+                out.append(dict(row))
+            else:
+                old = out[at]
+                one, other = (old, row) if sum(have(old[c]) for c in fields) >= sum(have(row[c]) for c in fields) else (row, old)
+                out[at] = one | {c: one[c] if have(one[c]) else other[c] for c in fields} | {"flag": bool(old["flag"]) or bool(row["flag"]), "place": old["place"]}
+            if out[at]["doi"]:
+                by_doi.setdefault(out[at]["doi"], at)
+            if row["title"]:
+                by_title.setdefault(row["title"], at)
+        return out
+
+    rng = random.Random(9)
+    for n in range(4):
+        rows = [{"place": k, "doi": rng.choice([None, None, "", *(f"d{j}" for j in range(25))]), "title": rng.choice([None, "", *(f"t{j}" for j in range(20))]), "lead": f"l{k}", "a": rng.choice([None, " ", f"a{k}"]), "b": rng.choice([None, k]), "c": rng.choice([None, [], [k]]), "flag": rng.choice([None, True, False])} for k in range(150 if n else 1)]
+        df = spark.createDataFrame([tuple(r.values()) for r in rows], "place int, doi string, title string, lead string, a string, b int, c array<int>, flag boolean").repartition(3)
+        got = merge.merge_fold(df, place="place", doi="doi", title="title", lead=["lead"], fill=["a", "b", "c"], any_true=["flag"]).collect()
+        clean = lambda v: None if v in ("", " ", []) else v
+        key = lambda r: (r["place"], r["lead"], clean(r["doi"]), clean(r["a"]), r["b"], clean(r["c"]), bool(r["flag"]))
+        assert sorted(map(key, got), key=str) == sorted(map(key, fold(rows)), key=str)
+    assert merge.merge_fold(df.limit(0), place="place", doi="doi", title="title", lead=["lead"], fill=["a"]).collect() == []
+
+
+def test_merge_fold_of_one_title_on_very_many_records(spark):
+    """No task but the last sees more rows than sets of fields: what is grouped has combined before it is shuffled."""
+    rows = spark.range(100_000).select("id", F.when(F.col("id") % 1000 == 7, F.concat(F.lit("d"), F.col("id").cast("string"))).alias("doi"), F.lit("one title").alias("title"), F.when(F.col("id") == 5000, F.lit("a")).alias("a"), F.lit(None).cast("string").alias("b")).repartition(8)
+    got = {r.id: (r.doi, r.a) for r in merge.merge_fold(rows, place="id", doi="doi", title="title", lead=[], fill=["a", "b"]).collect()}
+    assert len(got) == 100 and got[0] == ("d7", "a") and all(got[k] == (f"d{k}", None) for k in range(1007, 100_000, 1000))
