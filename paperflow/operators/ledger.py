@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperflow.operators import gram_index
 from paperflow.operators.similarity import similar_keys
+from paperflow.tables import durable
 
 #: The kinds of match, in the order in which one entry is asked for them.
 KINDS = ("work_id", "doi", "preprint_id")
@@ -30,12 +32,18 @@ def seen(candidates: DataFrame, ledger: DataFrame, today: Column, days: int = 18
     return candidates.join(best, "id", "left")
 
 
-def seen_or_similar(candidates: DataFrame, ledger: DataFrame, today: Column, days: int = 180, key: str = "key") -> DataFrame:
-    """`seen`, and for those without an identifier in the ledger, 'title' where a title key there is theirs or 0.9 like it."""
+def seen_or_similar(candidates: DataFrame, ledger: DataFrame, today: Column, days: int = 180, key: str = "key", index: str | None = None) -> DataFrame:
+    """`seen`, and for those without an identifier in the ledger, 'title' where a title key there is theirs or 0.9 like it.
+
+    `index` is the path of a `gram_index` of the ledger's title keys; without one the ledger's keys are cut into trigrams."""
     exact = seen(candidates, ledger, today, days)
     asked = exact.where(F.col("seen_kind").isNull() & (F.col(key) != "")).select(key).distinct()
     there = ledger.where(within_window(F.col("published_on"), today, days) & (F.col(key) != "")).select(key).distinct()
-    known = similar_keys(asked, key, others=there).select(F.col("a").alias(key)).union(asked.join(there, key, "left_semi")).distinct().withColumn("like", F.lit(True))
+    if index is None:
+        alike = similar_keys(asked, key, others=there)
+    else:
+        alike = gram_index.similar(candidates.sparkSession, index, asked, key).join(there.withColumnRenamed(key, "b"), "b", "left_semi")
+    known = alike.select(F.col("a").alias(key)).union(asked.join(there, key, "left_semi")).distinct().withColumn("like", F.lit(True))
     return exact.join(known, key, "left").withColumn("seen_kind", F.coalesce("seen_kind", F.when(F.col("like"), "title"))).drop("like")
 
 
@@ -45,7 +53,16 @@ def latest(ledger: DataFrame, key: str) -> DataFrame:
     return ledger.groupBy(key).agg(F.max("published_on").alias("published_on"), F.min("entry_idx").alias("entry_idx"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("entry_idx"))).alias(c) for c in rest])
 
 
-def record_published(ledger: DataFrame, entries: DataFrame, day: Column) -> DataFrame:
+def numbers_in_order(rows: DataFrame, by: str) -> DataFrame:
+    """(by, place) of distinct values: 0, 1, ... in their order. They are sorted by range over all tasks and numbered within each, after as many as the tasks before it have."""
+    ordered = durable(rows.select(by).orderBy(by).select(by, F.spark_partition_id().alias("part")))
+    within = ordered.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(by)))
+    sizes = [(r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()]  # one row a task
+    before = [(part, sum(n for p, n in sizes if p < part)) for part, _ in sizes]
+    return within.join(F.broadcast(rows.sparkSession.createDataFrame(before, "part int, before long")), "part").select(by, (F.col("before") + F.col("n") - 1).alias("place"))
+
+
+def record_published(ledger: DataFrame, entries: DataFrame, day: Column, index: str | None = None) -> DataFrame:
     """The ledger after a day: an entry goes to the first ledger row that has one of its identifiers or a similar title, whatever its age.
 
     That row's date only moves forward and its gaps are filled, by the earliest entry that can. What matches no row is a row of its own; of
@@ -59,7 +76,8 @@ def record_published(ledger: DataFrame, entries: DataFrame, day: Column) -> Data
         part = entries.join(side, kind).select("id", "entry_idx")
         pairs = part if pairs is None else pairs.unionByName(part)
     titles = ledger.where(F.col("title_key") != "").groupBy("title_key").agg(F.min("entry_idx").alias("entry_idx"))
-    like = similar_keys(entries.where(F.col("title_key") != "").select("title_key").distinct(), "title_key", others=titles.select("title_key"))
+    asked = entries.where(F.col("title_key") != "").select("title_key").distinct()
+    like = similar_keys(asked, "title_key", others=titles.select("title_key")) if index is None else gram_index.similar(entries.sparkSession, index, asked, "title_key")
     same = entries.join(titles, "title_key").select("id", "entry_idx")
     alike = entries.join(like.withColumnsRenamed({"a": "title_key", "b": "other"}), "title_key").join(titles.withColumnRenamed("title_key", "other"), "other").select("id", "entry_idx")
     at = pairs.unionByName(same).unionByName(alike).groupBy("id").agg(F.min("entry_idx").alias("entry_idx"))
@@ -70,7 +88,7 @@ def record_published(ledger: DataFrame, entries: DataFrame, day: Column) -> Data
         least = news.where(filled(key).isNotNull()).groupBy(key).agg(F.min("id").alias("least"))
         first = first.join(least, key, "left").withColumn("first", F.least("first", "least")).drop("least")
     base = ledger.agg(F.coalesce(F.max("entry_idx"), F.lit(-1)).alias("base"))
-    numbered = first.select("first").distinct().crossJoin(F.broadcast(base)).select("first", (F.col("base") + F.row_number().over(Window.orderBy("first"))).cast("long").alias("new_idx"))
+    numbered = numbers_in_order(first.select("first").distinct(), "first").crossJoin(F.broadcast(base)).select("first", (F.col("base") + F.col("place") + 1).cast("long").alias("new_idx"))
     added = first.drop("entry_idx").join(numbered, "first").withColumnRenamed("new_idx", "entry_idx").drop("first")
     known = placed.where(F.col("entry_idx").isNotNull())
     rows = ledger.select("entry_idx", *fields, "published_on", F.lit(None).cast("long").alias("by")).unionByName(added.unionByName(known.select(added.columns)).select("entry_idx", *fields, day.alias("published_on"), F.col("id").cast("long").alias("by")))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from paperflow.catalog import register
 from paperflow.functions import anchors, identity, lexicon, prose
-from paperflow.operators import collapse, echoes, ledger, render, style
+from paperflow.operators import collapse, echoes, gram_index, ledger, render, style
 from paperflow.plans import prose_sql
 from paperflow.plans.library import KEY_SQL, first_line, table
+from paperflow.tables import scratch
 
 WORDS_SQL = r"regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{N}''’-]*')"
 LETTERS_SQL = r"regexp_extract_all(text, '[\p{L}''’]+')"
@@ -38,6 +39,17 @@ def seen_or_similar_title(spark, sf_dir):
     return ledger.seen_or_similar(asked, entries, F.lit("2026-08-19").cast("date")).select("id", "seen_kind")
 
 
+@register("indexed_similar_titles", f"""WITH {PAIRS_SQL}, e AS (SELECT DISTINCT k.k FROM k JOIN documents USING (doc_id) WHERE source <> 'web' AND k.k <> ''), a AS (SELECT DISTINCT k.k FROM k JOIN documents USING (doc_id) WHERE source = 'web' AND k.k <> '')
+    SELECT p.a, p.b FROM p JOIN a ON a.k = p.a JOIN e ON e.k = p.b""")
+def indexed_similar_titles(spark, sf_dir):
+    """Titles of the web against an index of all others, made in two steps: half the titles at first, the rest added."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", identity.title_key(first_line()).alias("key"))
+    path, others = scratch(spark, "titles"), docs.where(F.col("source") != "web")
+    gram_index.create(spark, path, others.where("doc_id % 2 = 0"))
+    gram_index.append(spark, path, others)
+    return gram_index.similar(spark, path, docs.where(F.col("source") == "web"))
+
+
 @register("word_counts", f"SELECT doc_id, coalesce(len({WORDS_SQL}), 0)::INT AS countable, coalesce(len({LETTERS_SQL}), 0)::INT AS words FROM documents")
 def word_counts(spark, sf_dir):
     n = lambda pattern: F.coalesce(F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), F.lit(0))

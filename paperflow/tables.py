@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,13 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def durable(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, so that a lost executor costs no recomputation of what led to it."""
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> None:
+    """Names the folder of `spark.checkpoint.dir` to Spark; one machine may do without."""
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paperflow-checkpoint-"))  # all in one machine
-    return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    shared_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 def let(value: Column, body) -> Column:
