@@ -19,7 +19,7 @@ from paperflow.functions.identity import trigrams
 from paperflow.operators.similarity import SHARED
 from paperflow.tables import durable
 
-BUCKETS = 256
+BUCKETS = 64
 #: Trigrams of 36 characters, and of what may fill a gap.
 MOST_GRAMS = 37**3
 POSTING = "gram string, key string, n int, bucket int"

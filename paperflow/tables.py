@@ -84,22 +84,26 @@ def apart(spans: Column, others: Column) -> Column:
     """Those of `spans` that overlap none of `others`; both are arrays of structs with start and end, in code points, end exclusive.
 
     All are sorted by start once. A span is met by one before it if the greatest end so far lies beyond its start, and by one after it if the next start lies before its end."""
-    ends = F.concat(
-        F.transform(others, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("mine"), s["end"].alias("end"), F.lit(None).cast("int").alias("k"))),
-        F.transform(spans, lambda s, k: F.struct(s["start"].alias("start"), F.lit(1).alias("mine"), s["end"].alias("end"), k.alias("k"))),
-    )
-
     def sweep(found: Column, at: Callable[[Column], Column], pick) -> Column:
         """For each of `found` the best `at` of others before it."""
         step = lambda best, x: F.struct(F.when(x["mine"] == 0, pick(best, at(x))).otherwise(best).alias("carry"), best.alias("out"))
         return scanned(found, F.lit(-1) if pick is F.greatest else F.lit(2147483647), step, "int")
 
-    def kept(found: Column) -> Column:
-        both = F.struct(sweep(found, lambda x: x["end"], F.greatest).alias("reach"), F.reverse(sweep(F.reverse(found), lambda x: x["start"], F.least)).alias("next"))
-        free = lambda b: F.transform(F.arrays_zip(found.alias("x"), b["reach"].alias("reach"), b["next"].alias("next")), lambda z: F.when((z["x"]["mine"] == 1) & (z["reach"] <= z["x"]["start"]) & (z["next"] >= z["x"]["end"]), z["x"]["k"]))
-        return F.transform(F.array_compact(let(both, free)), lambda k: F.get(spans, k))
+    def picked(mine: Column, rest: Column) -> Column:
+        ends = F.concat(
+            F.transform(rest, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("mine"), s["end"].alias("end"), F.lit(None).cast("int").alias("k"))),
+            F.transform(mine, lambda s, k: F.struct(s["start"].alias("start"), F.lit(1).alias("mine"), s["end"].alias("end"), k.alias("k"))),
+        )
+
+        def kept(found: Column) -> Column:
+            both = F.struct(sweep(found, lambda x: x["end"], F.greatest).alias("reach"), F.reverse(sweep(F.reverse(found), lambda x: x["start"], F.least)).alias("next"))
+            free = lambda b: F.transform(F.arrays_zip(found.alias("x"), b["reach"].alias("reach"), b["next"].alias("next")), lambda z: F.when((z["x"]["mine"] == 1) & (z["reach"] <= z["x"]["start"]) & (z["next"] >= z["x"]["end"]), z["x"]["k"]))
+            return F.transform(F.array_compact(let(both, free)), lambda k: F.get(mine, k))
+
+        return F.when((F.size(mine) > 0) & (F.size(rest) > 0), let(F.array_sort(ends), kept)).otherwise(mine)
 
-    return F.when((F.size(spans) > 0) & (F.size(others) > 0), let(F.array_sort(ends), kept)).otherwise(spans)
+    # both are computed once a row
+    return let(spans, lambda mine: let(others, lambda rest: picked(mine, rest)))
 
 
 def match_spans(text: Column, pattern: str | Column) -> Column:
