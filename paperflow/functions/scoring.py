@@ -189,6 +189,14 @@ def ranking_record(total: Column, factors: dict[str, Column], subfield: Column,
     return F.struct(total.alias("score"), F.struct(*[rounded(v).alias(k) for k, v in factors.items()]).alias("factors"), subfield.alias("subfield_key"), rank.alias("rank"), relaxed.alias("diversity_relaxed"), F.lit(version).alias("weights_version"))
 
 
+def _as_text(weights: list[float]) -> str:
+    return ",".join(f"{w:g}" for w in weights)
+
+
 def weights_version(weights: list[float], freshness_days: int) -> str:
-    text = ",".join(f"{w:g}" for w in [*weights, freshness_days])
-    return hashlib.sha256(f"[{text}]".encode()).hexdigest()[:12]
+    return hashlib.sha256(f"[{_as_text([*weights, freshness_days])}]".encode()).hexdigest()[:12]
+
+
+def weights_version_of(weights: list[float], freshness_days: Column) -> Column:
+    """The same for days that differ by row."""
+    return F.left(F.sha2(F.concat(F.lit(f"[{_as_text(weights)},"), freshness_days.cast("string"), F.lit("]")).cast("binary"), 256), F.lit(12))

@@ -27,22 +27,33 @@ def first_line(column: str = "text"):
     return F.substring_index(F.col(column), "\n", 1)
 
 
-IDS = [
-    (1, "10.1038/S41586-026-01234-5", "w4401234567", "arXiv:2608.01234v3"), (2, "https://doi.org/10.1038/s41586-026-01234-5", "https://openalex.org/W4401234567", "https://arxiv.org/abs/2608.01234v1"),
-    (3, "  doi:10.1038/s41586-026-01234-5.  ", "openalex:W99", "http://www.arxiv.org/pdf/2608.01234.pdf"), (4, "http://dx.doi.org/10.1/x),", "https://api.openalex.org/works/W7", "2608.01234"), (5, None, None, None), (6, "  ", " ", ""),
+#: Spellings of identifiers, {} in each being a document's number.
+SPELLINGS = [
+    ("10.1038/S41586-{}-5", "w44{}", "arXiv:2608.{}v3"), ("https://doi.org/10.1038/s41586-{}-5", "https://openalex.org/W44{}", "https://arxiv.org/abs/2608.{}v1"),
+    ("  doi:10.1038/s41586-{}-5.  ", "openalex:W{}", "http://www.arxiv.org/pdf/2608.{}.pdf"), ("http://dx.doi.org/10.1/x{}),", "https://api.openalex.org/works/W{}", "2608.{}"), (None, None, None), ("  ", " ", ""),
 ]
 
 
+def spelled(k: int):
+    """The k-th identifier of each document, in one of the spellings."""
+    pick = F.get(F.array(*[F.lit(s[k]).cast("string") for s in SPELLINGS]), (F.col("doc_id") % len(SPELLINGS)).cast("int"))
+    return F.replace(pick, F.lit("{}"), F.lpad(F.col("doc_id").cast("string"), 5, "0"))
+
+
+def spelled_sql(k: int) -> str:
+    return "replace([" + ", ".join("NULL" if s[k] is None else f"'{s[k]}'" for s in SPELLINGS) + f"][doc_id % {len(SPELLINGS)} + 1], '{{}}', lpad(doc_id::VARCHAR, 5, '0'))"
+
+
 @register(
     "normalise_ids",
     rf"""SELECT id, nullif(regexp_replace(regexp_replace(lower(trim(d)), '^(?:https?://(?:dx\.)?doi\.org/|doi:)\s*', ''), '[.,)\s]+$', ''), '') AS doi,
       nullif(lower(regexp_replace(trim(d), '(?i)^https://doi\.org/', '')), '') AS bare_doi,
       nullif(upper(regexp_replace(regexp_replace(trim(w), '(?i)^https?://(?:api\.)?openalex\.org/(?:works/)?', ''), '(?i)^openalex:', '')), '') AS work_id,
       nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(p)), '^https?://(?:www\.)?arxiv\.org/(?:abs|pdf)/', ''), '^arxiv:', ''), '\.pdf$', ''), 'v[0-9]+$', ''), '') AS preprint_id
-    FROM (VALUES {quoted(IDS)}) t(id, d, w, p)""",
+    FROM (SELECT doc_id AS id, {spelled_sql(0)} AS d, {spelled_sql(1)} AS w, {spelled_sql(2)} AS p FROM documents)""",
 )
 def normalise_ids(spark, sf_dir):
-    df = spark.createDataFrame(IDS, "id int, d string, w string, p string")
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *[spelled(k).alias(c) for k, c in enumerate("dwp")])
     return df.select("id", identity.normalise_doi(F.col("d")).alias("doi"), identity.bare_doi(F.col("d")).alias("bare_doi"), identity.normalise_work_id(F.col("w")).alias("work_id"), identity.normalise_preprint_id(F.col("p")).alias("preprint_id"))
 
 
@@ -223,20 +234,29 @@ def inverted_index_roundtrip(spark, sf_dir):
     return docs.join(index, "doc_id", "left").select("doc_id", identity.reconstruct(F.col("index")).alias("body"))
 
 
-STUDIES = [
-    (1, "We studied n = 1,240 participants and 88 children.", "article", "Nature", "cc-by", 1), (2, "A survey of 12 345 adults; n=99", "preprint", None, None, 1), (3, "No number here", None, "V", "cc0 public-domain", 1), (4, "mice 10 mice", "proceedings", "", "other", 1), (5, None, None, None, None, 0),
-]
+def studies(spark, sf_dir):
+    """Documents as studies: how many took part, the kind, venue and licence."""
+    k = F.col("doc_id")
+    n = (k + 100).cast("string")
+    stated = F.when(k % 4 == 0, F.concat(F.lit("a trial, n = "), n, F.lit(".")))
+    stated = stated.when(k % 4 == 1, F.concat(F.lit("Of "), n, F.lit(" patients and 12 mice"))).when(k % 4 == 2, F.lit("no one was asked")).otherwise(F.concat(F.lit("n="), n, F.lit(",000 and 9 adults")))
+    kind = F.when(k % 3 == 0, "preprint").when(k % 3 == 1, "article")
+    return table(spark, sf_dir, "documents").select(k.alias("id"), F.concat(stated, F.lit("\n"), F.coalesce("source", F.lit(""))).alias("a"), kind.alias("k"), F.when(k % 2 == 0, "V").alias("v"), F.when(k % 5 == 0, "CC-BY").when(k % 5 == 1, "other").alias("l"), (k % 5 < 3).alias("o"))
+
+
+STUDIES_SQL = """s AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN doc_id + 100 WHEN 1 THEN doc_id + 100 WHEN 3 THEN (doc_id + 100) * 1000 END AS n, CASE WHEN doc_id % 3 = 0 THEN 0.4e0 WHEN doc_id % 2 = 0 THEN 1e0 ELSE 0.6e0 END AS r,
+    CASE WHEN doc_id % 5 >= 3 THEN 0.3e0 WHEN doc_id % 5 = 0 THEN 1e0 ELSE 0.8e0 END AS a FROM documents)"""
 
 
-@register("sample_size", "SELECT * FROM (VALUES (1, 1240::BIGINT), (2, 12345), (3, NULL), (4, 10), (5, NULL)) t(id, n)")
+@register("sample_size", f"WITH {STUDIES_SQL} SELECT id, n FROM s")
 def sample_size(spark, sf_dir):
-    return spark.createDataFrame(STUDIES, "id int, a string, k string, v string, l string, o int").select("id", scoring.sample_size(F.col("a")).alias("n"))
+    return studies(spark, sf_dir).select("id", scoring.sample_size(F.col("a")).alias("n"))
 
 
-@register("credibility", "SELECT id, floor(credibility * 10000 + 0.5) / 10000 AS credibility FROM (SELECT id, least(1, 0.4 * r + 0.25 * CASE WHEN n IS NULL THEN 0.4 ELSE log10(n) / 4 END + 0.2 * a + 0.045)::DOUBLE AS credibility FROM (VALUES (1, 1240, 1.0, 1.0), (2, 12345, 0.4, 0.8), (3, NULL, 1.0, 1.0), (4, 10, 0.6, 0.8), (5, NULL, 0.6, 0.3)) t(id, n, r, a) WHERE id <> 2 UNION ALL SELECT 2, 0.4 * 0.4 + 0.25 + 0.2 * 0.8 + 0.045)")
+@register("credibility", f"WITH {STUDIES_SQL} SELECT id, floor(least(1e0, 0.4e0 * r + 0.25e0 * CASE WHEN n IS NULL THEN 0.4e0 ELSE least(1e0, log10(n) / 4) END + 0.2e0 * a + 0.15e0 * 0.3e0) * 10000 + 0.5e0) / 10000 AS credibility FROM s")
 def credibility(spark, sf_dir):
-    df = spark.createDataFrame(STUDIES, "id int, a string, k string, v string, l string, o int")
-    return df.select("id", scoring.rounded(scoring.credibility(scoring.peer_review(F.lit(False), F.col("k"), F.col("v")), scoring.sample_size(F.col("a")), scoring.open_access(F.col("o") == 1, F.col("l")))).alias("credibility"))
+    score = scoring.credibility(scoring.peer_review(F.lit(False), F.col("k"), F.col("v")), scoring.sample_size(F.col("a")), scoring.open_access(F.col("o"), F.col("l")))
+    return studies(spark, sf_dir).select("id", scoring.rounded(score).alias("credibility"))
 
 
 @register("page_self_contained", r"""WITH p AS (SELECT page_id, array_to_string(regexp_extract_all(html, '(?is)<style\b[^>]*>(.*?)</style>', 1), chr(10)) AS css, regexp_replace(html, '>[^<]*<', '><', 'g') AS m FROM pages),
@@ -288,9 +308,11 @@ def degradations(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.min_by("user_id", "event_id").alias("first_user"), F.count(F.lit(1)).alias("n"))
 
 
-@register("weights_version", "SELECT substr(sha256('[0.4,0.28,0.18,0.14,7]'), 1, 12) AS version")
+@register("weights_version", "SELECT p_size, any_value(substr(sha256('[0.4,0.28,0.18,0.14,' || p_size || ']'), 1, 12)) AS version, count(*) AS n FROM part GROUP BY 1")
 def weights_version(spark, sf_dir):
-    return spark.createDataFrame([(scoring.weights_version(list(scoring.WEIGHTS.values()), 7),)], "version string")
+    """The version of the weights for every number of days that parts have as their size."""
+    sizes = table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.select("p_size", scoring.weights_version_of(list(scoring.WEIGHTS.values()), F.col("p_size")).alias("version"), "n")
 
 
 @register("sessions", "SELECT user_id, sum(new)::BIGINT AS sessions FROM (SELECT user_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 1 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY 1")

@@ -10,6 +10,8 @@ from paperflow.operators import claims as adjudication
 from paperflow.operators import findings, generation, ledger, render
 from paperflow.plans.library import BLANK_RE, KEY_SQL, first_line, table
 from paperflow.sources import feeds
+from paperflow.streaming import seen
+from paperflow.tables import scratch
 
 LINE = "split_part(coalesce(text, ''), chr(10), 1)"
 
@@ -35,9 +37,9 @@ def as_text(column: str):
 # sources: records as the feeds have them, made of documents
 
 def work_records(spark, sf_dir):
-    """Documents as the records of a works page: gaps in title, date, landing page and id; an index of the first line's words."""
+    """Documents as the records of a works page: gaps in title, date, landing page and id; an index of all words, each with its place before it."""
     k, line = F.col("doc_id"), identity.squeeze(first_line())
-    words = F.slice(F.filter(F.split(line, " "), lambda w: w != ""), 1, 30)
+    words = F.filter(F.split(identity.squeeze("text"), " "), lambda w: w != "")
     index = F.map_from_entries(F.transform(words, lambda w, n: F.struct(F.concat(n.cast("string"), F.lit("_"), w), F.array(n))))
     topic = F.struct(F.concat(F.lit("t"), (k % 5).cast("string")).alias("id"), F.lit("topic").alias("display_name"), F.struct(F.col("source").alias("id"), F.col("source").alias("display_name")).alias("subfield"), F.struct(F.col("lang").alias("id"), F.col("lang").alias("display_name")).alias("field"))
     record = F.struct(
@@ -51,14 +53,15 @@ def work_records(spark, sf_dir):
 
 
 WORKS_SQL = f"""w AS (SELECT doc_id AS k, CASE WHEN doc_id % 41 <> 0 THEN 'W' || doc_id END AS id, CASE WHEN doc_id % 4 <> 0 THEN {squeezed(LINE)} WHEN doc_id % 9 <> 0 THEN 'Display name' END AS title,
-  CASE WHEN doc_id % 13 <> 0 THEN (DATE '2026-08-19' - (doc_id % 30)::INT)::DATE END AS date, CASE WHEN doc_id % 3 <> 0 THEN '10.5/x' || doc_id END AS doi, lang AS field, CASE WHEN doc_id % 6 = 0 THEN 'retraction' ELSE 'article' END AS kind, CASE WHEN doc_id % 8 = 0 THEN 'cs' ELSE 'en' END AS language, doc_id % 50 = 0 AS retracted FROM documents WHERE text IS NOT NULL),
+  CASE WHEN doc_id % 13 <> 0 THEN (DATE '2026-08-19' - (doc_id % 30)::INT)::DATE END AS date, CASE WHEN doc_id % 3 <> 0 THEN '10.5/x' || doc_id END AS doi, lang AS field, CASE WHEN doc_id % 6 = 0 THEN 'retraction' ELSE 'article' END AS kind, CASE WHEN doc_id % 8 = 0 THEN 'cs' ELSE 'en' END AS language, doc_id % 50 = 0 AS retracted,
+  nullif(array_to_string(list_transform(list_filter(string_split({squeezed('text')}, ' '), lambda x: x <> ''), lambda x, i: (i - 1) || '_' || x), ' '), '') AS abstract FROM documents WHERE text IS NOT NULL),
   v AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'https://land/' || k ELSE coalesce('https://doi.org/' || doi, 'https://openalex.org/' || id) END AS url FROM w WHERE id IS NOT NULL AND title <> '' AND date IS NOT NULL)"""
 
 
-@register("work_candidates", f"WITH {WORKS_SQL} SELECT id, title, date, doi, url, 'A' AS authors FROM v")
+@register("work_candidates", f"WITH {WORKS_SQL} SELECT id, title, abstract, date, doi, url, 'A' AS authors FROM v")
 def work_candidates(spark, sf_dir):
     out = feeds.wanted_works(feeds.work_candidates(work_records(spark, sf_dir)))
-    return out.select("id", "title", "date", "doi", "url", F.array_join("authors", ",").alias("authors"))
+    return out.select("id", "title", F.nullif("abstract", F.lit("")).alias("abstract"), "date", "doi", "url", F.array_join("authors", ",").alias("authors"))
 
 
 @register("newest_works", f"WITH {WORKS_SQL} SELECT id, date FROM v WHERE field IN ('en', 'de') AND kind = 'article' AND language = 'en' AND NOT retracted AND date BETWEEN DATE '2026-08-01' AND DATE '2026-08-15' ORDER BY date DESC, id LIMIT 40")
@@ -322,3 +325,14 @@ def rolling_week(spark, sf_dir):
 def term_patterns(spark, sf_dir):
     low = F.lower(F.coalesce("text", F.lit("")))
     return table(spark, sf_dir, "documents").select("doc_id", low.rlike(scoring.term_pattern("the")).alias("the"), low.rlike(scoring.term_pattern("of the")).alias("of_the"))
+
+
+@register("seen_in_stream", "SELECT o_orderkey AS id, o_custkey::VARCHAR AS key, o_orderdate::DATE AS day, coalesce(o_orderdate::DATE - max(o_orderdate::DATE) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 180, false) AS seen FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL")
+def seen_in_stream(spark, sf_dir):
+    """All orders as a stream of publications by customer: was there one within 180 days? Read back once the stream has ended."""
+    into, state, path = scratch(spark, "seen"), scratch(spark, "seen-state"), f"{sf_dir}/orders.parque[t]"  # a pattern, as a stream's path else has to be a folder
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    rows = stream.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("key"), F.col("o_orderdate").cast("date").alias("day"))
+    ended = seen.seen_within(rows).writeStream.format("parquet").option("path", into).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    ended.awaitTermination()
+    return spark.read.schema(seen.OUTPUT).parquet(into)

@@ -10,7 +10,7 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from paperflow.functions.identity import bare_doi, bare_work_id, normalise_doi, normalise_work_id, preprint_id_from_url, reconstruct, squeeze
@@ -81,6 +81,12 @@ def fetched_works(spark: SparkSession, page: Callable[[int], list[dict]], per_pa
     return wanted_works(work_candidates(records), **asked)
 
 
+def counted(candidates: DataFrame, name: str = "works") -> tuple[DataFrame, Observation]:
+    """The valid candidates, and what has read and left_out once they have been read: counted in the same pass."""
+    seen = Observation(name)
+    return candidates.observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(~F.col("valid")).alias("left_out")).where("valid"), seen
+
+
 def left_out(records: DataFrame) -> DataFrame:
     """(read, left_out) of work records."""
     return work_candidates(records).agg(F.count(F.lit(1)).alias("read"), F.count_if(~F.col("valid")).alias("left_out"))

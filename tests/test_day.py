@@ -118,6 +118,9 @@ def test_asked_for_works(spark, tmp_path):
     assert [r.id for r in feeds.works(spark, path, fields=["f"], kinds=["article"], languages=["en"], with_abstract=True, retracted=False, most=2, until="2026-03-04").collect()] == ["W1", "W2"]
     records = spark.read.schema(feeds.WORKS).option("multiLine", True).json(path).select(F.explode("results").alias("r"))
     assert tuple(feeds.left_out(records).first()) == (7, 1)
+    valid, seen = feeds.counted(feeds.work_candidates(records))
+    assert str(valid._jdf.queryExecution().optimizedPlan()).count("Relation [") == 1
+    assert valid.count() == 6 and seen.get == {"read": 7, "left_out": 1}
 
 
 def test_settings(tmp_path):
