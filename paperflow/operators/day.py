@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from paperflow.config import Config
 from paperflow.functions import identity, scoring
-from paperflow.operators import generation, ledger, merge, render, selection
+from paperflow.operators import generation, gram_index, ledger, merge, render, selection
 from paperflow.sources import feeds, sinks
 from paperflow.tables import durable
 
@@ -64,8 +64,8 @@ def scored(rows: DataFrame, config: Config, today: Column, domains: dict[str, li
     return out.withColumn("evidence", scoring.evidence(score, config.weights, config.gate))
 
 
-def discover(records: DataFrame, history: DataFrame, config: Config, today: dt.date, domains: dict[str, list[str]], lookup: DataFrame | None = None) -> Discovery:
-    """The day's choice among candidates of all sources. `lookup` has key, abstract and tldr."""
+def discover(records: DataFrame, history: DataFrame, config: Config, today: dt.date, domains: dict[str, list[str]], lookup: DataFrame | None = None, index: str | None = None) -> Discovery:
+    """The day's choice among candidates of all sources. `lookup` has key, abstract and tldr; `index` is where the ledger's titles are indexed, if they are."""
     now = F.lit(today.isoformat()).cast("date")
     records = durable(records)
     fetched = {r["source"]: r["n"] for r in records.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -73,7 +73,7 @@ def discover(records: DataFrame, history: DataFrame, config: Config, today: dt.d
     known = identity.candidate_identity(F.col("id"), F.col("source"), F.col("work_id"), F.col("doi"), F.col("title"))
     papers = papers.withColumn("identity", known).select("*", F.col("identity.preprint_id").alias("preprint_id"), F.col("identity.title_key").alias("title_key")).withColumns({"work_id": F.col("identity.work_id"), "doi": F.col("identity.doi")})
     asked = papers.select("id", "work_id", "doi", "preprint_id", F.col("title_key").alias("key"))
-    seen = ledger.seen_or_similar(asked, history.withColumn("key", F.coalesce("title_key", F.lit(""))), now, config.window_days).select("id", "seen_kind")
+    seen = ledger.seen_or_similar(asked, history.withColumn("key", F.coalesce("title_key", F.lit(""))), now, config.window_days, index=index).select("id", "seen_kind")
     aged = papers.join(seen, "id", "left").withColumn("age", scoring.age_in_days(F.col("date"), F.col("indexed_date"), now))
     reason = selection.exclusion_reason(title=F.col("title"), abstract=F.col("abstract"), tldr=F.lit(None).cast("string"), kind=F.col("source_type"), retracted=F.col("is_retracted"), age=F.col("age"), seen=F.col("seen_kind"), freshness_days=config.freshness_days, least_chars=config.least_abstract_chars, defer_abstract=lookup is not None)
     judged = durable(aged.withColumn("reason", reason))
@@ -101,8 +101,10 @@ class Result:
     line: dict[str, Any]
 
 
-def run_day(spark: SparkSession, config: Config, root: str, sources: list[feeds.Source], client: generation.Client | None, *, today: dt.date, domains: dict[str, list[str]], check: Callable[[dict[str, Any]], list[str]] = lambda _: [], lookup: DataFrame | None = None, dry_run: bool = False, force: bool = False, skip_if_published: bool = False, discover_only: bool = False) -> Result:
-    """One day under `root` (archive, ledger, runs). A published day is not published again unless forced; the ledger is written last, a run line always."""
+def run_day(spark: SparkSession, config: Config, root: str, sources: list[feeds.Source], client: generation.Client | None, *, today: dt.date, domains: dict[str, list[str]], check: Callable[[dict[str, Any]], list[str]] = lambda _: [], lookup: DataFrame | None = None, dry_run: bool = False, force: bool = False, skip_if_published: bool = False, discover_only: bool = False, index: str | None = None) -> Result:
+    """One day under `root` (archive, ledger, runs). A published day is not published again unless forced; the ledger is written last, a run line always.
+
+    With `index`, the path of a `gram_index` of the ledger's titles, titles are looked up there, and what is published is added before the ledger tells of it."""
     twin = pathlib.Path(root) / "archive" / f"{today.isoformat()}.json"
     category = config.category(today.isoweekday())
     line: dict[str, Any] = {"run_id": today.isoformat(), "category": category.key, "outcome": "skipped"}
@@ -111,7 +113,7 @@ def run_day(spark: SparkSession, config: Config, root: str, sources: list[feeds.
             return Result("skipped", 0, line)
         raise FileExistsError(f"{today} is published already")
     history = feeds.ledger(spark, f"{root}/ledger")
-    found = discover(feeds.scan_all(spark, category.key, sources), history, config, today, domains, lookup)
+    found = discover(feeds.scan_all(spark, category.key, sources), history, config, today, domains, lookup, index)
     line |= {"fetched": found.fetched, "reasons": {k: v for k, v in found.reasons.items() if v}, "selected": [r["id"] for r in found.selected], "shortfall": found.shortfall}
     if discover_only or client is None:
         return Result("discovered", 0, line | {"outcome": "discovered"})
@@ -120,7 +122,7 @@ def run_day(spark: SparkSession, config: Config, root: str, sources: list[feeds.
     day = generation.produce(client, rows, rest, check, wanted=config.papers_per_day, least=config.least_papers, cap=config.cap, gate=config.gate, max_calls=config.max_calls, regenerations=config.regenerations, shortfall=found.shortfall)
     line |= {"outcome": day.outcome, "dropped": day.dropped, "degradations": generation.by_source(day.degradations), "calls": client.calls()}
     if day.exit_code == 0 and not dry_run:
-        publish(spark, config, root, category.key, category.label, today, day, history)
+        publish(spark, config, root, category.key, category.label, today, day, history, index)
     if not dry_run:
         sinks.append_run(spark.createDataFrame([(json.dumps(line, default=str),)], "line string"), f"{root}/runs")
     return Result(day.outcome, day.exit_code, line)
@@ -142,7 +144,7 @@ def write_page(spark: SparkSession, config: Config, root: str, document: dict[st
     sinks.write_text(f"{root}/archive/{document['date']}.html", html)
 
 
-def publish(spark: SparkSession, config: Config, root: str, key: str, label: str, today: dt.date, day: generation.Day, history: DataFrame) -> None:
+def publish(spark: SparkSession, config: Config, root: str, key: str, label: str, today: dt.date, day: generation.Day, history: DataFrame, index: str | None = None) -> None:
     """Page and twin, then the index, then the ledger."""
     notes = list(dict.fromkeys(render.degradation_text(s, config.language) for s, _ in generation.by_source(day.degradations)))
     entries = [{"id": r["id"], "title": r["title"], "url": r["url"], "authors": r["authors"] or [], "summary": w.summary.get("text", "") if w.summary else "", "score": r["total"], "rank": r["rank"], "evidence": r["evidence"], "findings": w.findings} for r, w in day.entries]
@@ -152,8 +154,10 @@ def publish(spark: SparkSession, config: Config, root: str, key: str, label: str
     reindex(spark, config, root)
     fresh = [(n, r["work_id"], r["doi"], r["preprint_id"], r["title_key"], key) for n, (r, _) in enumerate(day.entries)]
     rows = spark.createDataFrame(fresh, "id int, work_id string, doi string, preprint_id string, title_key string, category string")
-    state = ledger.record_published(history.drop("key"), rows, F.lit(today.isoformat()).cast("date"))
-    sinks.rewrite_ledger(durable(state), f"{root}/ledger")
+    state = durable(ledger.record_published(history.drop("key"), rows, F.lit(today.isoformat()).cast("date"), index))
+    if index is not None:
+        gram_index.append(spark, index, rows, "title_key")
+    sinks.rewrite_ledger(state, f"{root}/ledger")
 
 
 def reindex(spark: SparkSession, config: Config, root: str) -> None:

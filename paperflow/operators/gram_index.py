@@ -2,17 +2,17 @@
 
 Two keys whose trigram sets have a Jaccard similarity of tenths/10 or more share, in any one order of all trigrams, some
 of the first n - ceil(t n) + k (see `similarity`). The order is fixed when the index is made: by how many keys had a
-trigram then, unknown ones first. It has at most 37^3 rows, as keys have a-z and 0-9 alone. Postings (gram, key, size)
-lie in folders by `bucket`, a hash of the gram. A lookup reads the folders of its own grams and no others, and compares
-what it finds there with the sets made from the keys themselves. Adding keys appends files to the folders of their
-grams; `compacted` writes them anew as few files, sorted by gram.
+trigram then, unknown ones first. It has at most 37^3 rows, as keys have a-z and 0-9 alone. Postings (gram, id, size) lie
+in folders by a hash of the gram, the keys themselves in folders by their id, an MD5. A lookup reads the folders of its
+own grams, and of the candidates that these give, and no others; candidates are compared by the sets made from the keys.
+Adding keys appends files to the folders of their grams; `compacted` writes them anew as few files, sorted by gram.
 
 A key that is there already is not added again; empty keys and keys shorter than a trigram have no postings."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperflow.functions.identity import trigrams
@@ -22,7 +22,7 @@ from paperflow.tables import durable
 BUCKETS = 64
 #: Trigrams of 36 characters, and of what may fill a gap.
 MOST_GRAMS = 37**3
-POSTING = "gram string, key string, n int, bucket int"
+POSTING, KEYS = "gram string, id binary, n int, bucket int", "id binary, key string, bucket int"
 
 
 def _order(spark: SparkSession, path: str) -> DataFrame:
@@ -30,64 +30,79 @@ def _order(spark: SparkSession, path: str) -> DataFrame:
     return F.broadcast(rows) if rows.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS else rows
 
 
-def _postings(spark: SparkSession, path: str) -> DataFrame:
+def _stored(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    schema = POSTING if kind == "grams" else KEYS
     try:
-        return spark.read.schema(POSTING).parquet(f"{path}/grams")
+        return spark.read.schema(schema).parquet(f"{path}/{kind}")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
-        return spark.createDataFrame([], POSTING)
+        return spark.createDataFrame([], schema)
 
 
-def _prefixes(keys: DataFrame, key: str, order: DataFrame, tenths: int) -> DataFrame:
-    """(key, n, least, gram, bucket): the first grams of each key, by the index's order."""
-    sets = keys.select(F.col(key).alias("key")).where(F.col("key") != "").distinct().withColumn("g", trigrams(F.col("key"))).where(F.size("g") > 0).withColumn("n", F.size("g"))
-    ranked = sets.select("key", "n", F.explode("g").alias("gram")).join(order, "gram", "left").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("o"))
+def _bucket(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _sets(keys: DataFrame, key: str) -> DataFrame:
+    """(id, key, g, n) of the distinct keys that have trigrams."""
+    every = keys.select(F.col(key).alias("key")).where(F.col("key") != "").distinct()
+    return every.select(F.unhex(F.md5(F.col("key").cast("binary"))).alias("id"), "key", trigrams(F.col("key")).alias("g")).where(F.size("g") > 0).withColumn("n", F.size("g"))
+
+
+def _prefixes(sets: DataFrame, order: DataFrame, tenths: int) -> DataFrame:
+    """(id, n, least, gram, bucket): the first grams of each key, by the index's order."""
+    ranked = sets.select("id", "n", F.explode("g").alias("gram")).join(order, "gram", "left").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("o"))
     need = F.floor((F.col("n") * tenths + 9) / 10)
     least = F.least(F.lit(SHARED), need).cast("int")
     first = F.slice("o", F.lit(1), (F.col("n") - need).cast("int") + least)
-    return ranked.select("key", "n", least.alias("least"), F.explode(first).alias("x")).select("key", "n", "least", F.col("x.gram").alias("gram")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
+    return ranked.select("id", "n", least.alias("least"), F.explode(first).alias("x")).select("id", "n", "least", F.col("x.gram").alias("gram"), _bucket("x.gram"))
 
 
 def create(spark: SparkSession, path: str, keys: DataFrame, key: str = "key", tenths: int = 9) -> None:
     """An index of `keys` for similarities of tenths/10 and more."""
-    every = keys.select(F.col(key).alias("key")).where(F.col("key") != "").distinct()
-    df = every.select(F.explode(trigrams(F.col("key"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    sets = durable(_sets(keys, key))
+    df = sets.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     df.coalesce(1).write.mode("overwrite").parquet(f"{path}/order")
-    _write(_prefixes(every, "key", _order(spark, path), tenths), path, "overwrite")
+    _write(_prefixes(sets, _order(spark, path), tenths), sets, path, "overwrite")
 
 
-def _write(prefixes: DataFrame, path: str, mode: str) -> None:
-    prefixes.select("gram", "key", "n", "bucket").repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode(mode).partitionBy("bucket").parquet(f"{path}/grams")
+def _write(prefixes: DataFrame, sets: DataFrame, path: str, mode: str) -> None:
+    prefixes.select("gram", "id", "n", "bucket").repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode(mode).partitionBy("bucket").parquet(f"{path}/grams")
+    sets.select("id", "key", _bucket("id")).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(f"{path}/keys")
 
 
-def touched(postings: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The postings in the buckets of these prefixes; the numbers of buckets, `BUCKETS` at most, come to the driver so that folders are pruned."""
-    buckets = [r[0] for r in prefixes.select("bucket").distinct().collect()]
-    return postings.where(F.col("bucket").isin(*buckets) if buckets else F.lit(False))
+def touched(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What is stored in the buckets of `wanted`; the numbers of buckets, `BUCKETS` at most, come to the driver so that folders are pruned."""
+    buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]
+    return stored.where(F.col("bucket").isin(*buckets) if buckets else F.lit(False))
 
 
 def append(spark: SparkSession, path: str, keys: DataFrame, key: str = "key", tenths: int = 9) -> None:
-    """Adds the keys that are not there yet. A key is looked for under its first gram, so only those buckets are read."""
-    mine = durable(_prefixes(keys, key, _order(spark, path), tenths))
-    first = mine.groupBy("key").agg(F.min_by("gram", F.struct("bucket", "gram")).alias("gram"), F.min("bucket").alias("bucket"))
-    there = touched(_postings(spark, path), first).join(first, ["bucket", "gram", "key"], "left_semi").select("key").distinct()
-    _write(durable(mine.join(there, "key", "left_anti")), path, "append")
+    """Adds the keys that are not there yet, for which the buckets of their ids are read."""
+    sets = durable(_sets(keys, key))
+    there = touched(_stored(spark, path, "keys"), sets.select(_bucket("id"))).select("id")
+    fresh = durable(sets.join(there, "id", "left_anti"))
+    _write(_prefixes(fresh, _order(spark, path), tenths), fresh, path, "append")
 
 
 def similar(spark: SparkSession, path: str, asked: DataFrame, key: str = "key", tenths: int = 9) -> DataFrame:
     """Pairs (a, b) of an asked key and a different indexed one with a similarity of tenths/10 or more."""
-    mine = durable(_prefixes(asked, key, _order(spark, path), tenths))
-    here = mine.select("bucket", "gram", F.col("key").alias("a"), F.col("n").alias("na"), F.col("least").alias("la"))
-    there = touched(_postings(spark, path), mine).select("bucket", "gram", F.col("key").alias("b"), F.col("n").alias("nb"))
+    sets = durable(_sets(asked, key))
+    mine = durable(_prefixes(sets, _order(spark, path), tenths))
+    here = mine.select("bucket", "gram", F.col("id").alias("a"), F.col("n").alias("na"), F.col("least").alias("la"))
+    there = touched(_stored(spark, path, "grams"), mine).select("bucket", "gram", F.col("id").alias("b"), F.col("n").alias("nb"))
     lb = F.least(F.lit(SHARED), F.floor((F.col("nb") * tenths + 9) / 10))
     fits = here.join(there, ["bucket", "gram"]).where((F.col("a") != F.col("b")) & (F.col("na") * 10 >= F.col("nb") * tenths) & (F.col("nb") * 10 >= F.col("na") * tenths))
-    pairs = fits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("la", lb)).alias("least")).where(F.col("shared") >= F.col("least"))
-    sets = pairs.select("a", "b", trigrams(F.col("a")).alias("ga"), trigrams(F.col("b")).alias("gb")).select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("both"), (F.size("ga") + F.size("gb")).alias("all"))
-    return sets.where(F.col("both") * 10 >= (F.col("all") - F.col("both")) * tenths).select("a", "b")
+    shared = fits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("la", lb)).alias("least")).where(F.col("shared") >= F.col("least"))
+    pairs = durable(shared.select("a", "b", _bucket("b")))
+    found = touched(_stored(spark, path, "keys"), pairs).select(F.col("id").alias("b"), F.col("key").alias("kb"))
+    both = pairs.select("a", "b").join(found, "b").join(sets.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("g").alias("ga")), "a").select("ka", "kb", "ga", trigrams(F.col("kb")).alias("gb"))
+    sized = both.select("ka", "kb", F.size(F.array_intersect("ga", "gb")).alias("both"), (F.size("ga") + F.size("gb")).alias("all"))
+    return sized.where(F.col("both") * 10 >= (F.col("all") - F.col("both")) * tenths).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
 def compacted(spark: SparkSession, path: str, into: str) -> None:
     """The index written anew under another path, one file a bucket, sorted by gram."""
     spark.read.parquet(f"{path}/order").coalesce(1).write.mode("overwrite").parquet(f"{into}/order")
-    _write(_postings(spark, path).dropDuplicates(["bucket", "gram", "key"]), into, "overwrite")
+    _write(_stored(spark, path, "grams").dropDuplicates(["bucket", "gram", "id"]), _stored(spark, path, "keys").dropDuplicates(["id"]), into, "overwrite")

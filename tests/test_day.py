@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paperflow import __main__ as cli
 from paperflow.config import Config, ConfigError, resolved, secrets
-from paperflow.operators import day, ledger, merge
+from paperflow.operators import day, gram_index, ledger, merge
 from paperflow.sources import feeds
 
 TODAY = dt.date(2026, 3, 4)
@@ -82,6 +82,18 @@ def test_run_publishes_once(spark, tmp_path):
     assert spark.read.json(str(root / "runs")).count() == 1
 
 
+def test_days_with_an_index_of_titles(spark, tmp_path):
+    files(tmp_path)
+    config, root, index = Config.read(json.dumps(SETTINGS)), tmp_path / "site", str(tmp_path / "titles")
+    gram_index.create(spark, index, spark.createDataFrame([], "key string"))
+    options = {"domains": {"food": ["bread", "milk"]}, "index": index}
+    first = day.run_day(spark, config, str(root), sources(tmp_path), Writer(), today=TODAY, **options)
+    history = feeds.ledger(spark, str(root / "ledger"))
+    assert first.outcome == "published" and {r.key for r in gram_index._stored(spark, index, "keys").collect()} == {r.title_key for r in history.collect()} - {"", None}
+    later = day.run_day(spark, config, str(root), sources(tmp_path), None, today=TODAY + dt.timedelta(days=1), **options)
+    assert later.line["reasons"]["EXCL_SEEN"] == 3
+
+
 def test_lookup_fills_and_too_few_abort(spark, tmp_path):
     files(tmp_path)
     config = Config.read(json.dumps(SETTINGS | {"least_papers": 3, "cap": 1}))

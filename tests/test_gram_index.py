@@ -33,7 +33,7 @@ def test_lookups_equal_the_full_join(spark, tmp_path):
         gram_index.append(spark, path, frame(there[50 + day * 30 : 100 + day * 30]))
     want = pairs(similarity.similar_keys(frame(asked), others=frame(there)))
     assert want and pairs(gram_index.similar(spark, path, frame(asked))) == want
-    assert gram_index._postings(spark, path).groupBy("bucket", "gram", "key").count().where("count > 1").count() == 0
+    assert gram_index._stored(spark, path, "grams").groupBy("bucket", "gram", "id").count().where("count > 1").count() == 0
     gram_index.compacted(spark, path, path + "2")
     assert pairs(gram_index.similar(spark, path + "2", frame(asked))) == want
     assert pairs(gram_index.similar(spark, path, frame([]))) == []
@@ -46,8 +46,8 @@ def test_only_touched_buckets_are_read(spark, tmp_path):
     path = str(tmp_path / "index")
     gram_index.create(spark, path, spark.createDataFrame([(k,) for k in keys(300, 2)], "key string"))
     asked = spark.createDataFrame([("abcdefgh0123abcd",)], "key string")
-    mine = gram_index._prefixes(asked, "key", gram_index._order(spark, path), 9)
-    touched = gram_index.touched(gram_index._postings(spark, path), mine)
+    mine = gram_index._prefixes(gram_index._sets(asked, "key"), gram_index._order(spark, path), 9)
+    touched = gram_index.touched(gram_index._stored(spark, path, "grams"), mine)
     buckets = {r[0] for r in mine.select("bucket").distinct().collect()}
     plan = touched._jdf.queryExecution().executedPlan().toString()
     assert 0 < len(buckets) <= 8 and re.search(r"PartitionFilters: \[.*bucket", plan)
