@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperflow.functions.text import author_line, escape_html, paragraphs
+from paperflow.functions.urls import http_url
 
 #: Texts of a language; a missing language or text is an error, not a blank.
 STRINGS = {
@@ -38,13 +39,8 @@ def date_text(day: Column, language: str) -> Column:
     return F.concat(F.dayofmonth(day).cast("string"), F.lit(". "), F.element_at(months, F.month(day)), F.lit(" "), F.year(day).cast("string"))
 
 
-def safe_url(url: Column) -> Column:
-    """http and https alone; anything else is null."""
-    return F.when(F.trim(url).rlike(r"(?i)^https?://[^\s/]"), F.replace(F.replace(F.trim(url), F.lit('"'), F.lit("%22")), F.lit(" "), F.lit("%20")))
-
-
 def link(url: Column, label: Column) -> Column:
-    safe = safe_url(url)
+    safe = http_url(url)
     return F.when(safe.isNull(), escape_html(label)).otherwise(F.concat(F.lit('<a href="'), escape_html(safe), F.lit('" rel="noopener">'), escape_html(label), F.lit("</a>")))
 
 

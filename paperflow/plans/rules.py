@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperflow.catalog import register
 from paperflow.functions import claims, identity, prose, scoring, text
+from paperflow.functions.urls import http_url
 from paperflow.operators import claims as adjudication
 from paperflow.operators import findings, generation, ledger, render
 from paperflow.plans.library import BLANK_RE, KEY_SQL, first_line, table
@@ -165,6 +166,21 @@ def safe_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", render.link(url, F.lit("a & b")).alias("html"))
 
 
+@register("normal_urls", r"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^(https?)://', 1) AS s, regexp_extract(url, '^https?://([^/?#]+)', 1) AS h, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p, regexp_extract(url, '^https?://[^/?#]+[^?#]*(.*)$', 1) AS r FROM pages)
+    SELECT page_id, CASE page_id % 6 WHEN 0 THEN s || '://' || h || p || r WHEN 1 THEN s || '://' || h || p || r WHEN 2 THEN s || '://' || h || '/b' || p || r WHEN 3 THEN s || '://' || h || ':8080' || p || '?q=%22%C3%A9%20%22' || r WHEN 4 THEN s || '://' || h || p || r END AS url FROM u""")
+def normal_urls(spark, sf_dir):
+    """Addresses of pages in other spellings: capitals, default ports, segments to resolve, what wants encoding, backslashes, another scheme."""
+    k, u = F.col("page_id") % 6, F.col("url")
+    part = lambda n: F.regexp_extract(u, r"^(https?)://([^/?#]+)([^?#]*)(.*)$", n)
+    scheme, host, path, rest = (part(n) for n in (1, 2, 3, 4))
+    other = F.when(k == 0, F.concat(F.upper(scheme), F.lit("://"), F.upper(host), path, rest))
+    other = other.when(k == 1, F.concat(F.lit(" "), scheme, F.lit("://"), host, F.when(scheme == "http", ":80").otherwise(":0443"), path, rest))
+    other = other.when(k == 2, F.concat(scheme, F.lit("://"), host, F.lit("/a/../b/%2e"), path, rest))
+    other = other.when(k == 3, F.concat(scheme, F.lit("://"), host, F.lit(":8080"), path, F.lit('?q="é "'), rest))
+    other = other.when(k == 4, F.concat(scheme, F.lit(":\\\\"), host, F.translate(path, "/", "\\"), rest)).otherwise(F.concat(F.lit("data:"), u))
+    return table(spark, sf_dir, "pages").select("page_id", http_url(other).alias("url"))
+
+
 @register("redacted_urls", "SELECT page_id, url || '?api_key=***&x=1&token=***' AS url FROM pages")
 def redacted_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.redact(F.concat(F.col("url"), F.lit("?api_key=k"), as_text("page_id"), F.lit("&x=1&token=t"))).alias("url"))
