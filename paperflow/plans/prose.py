@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from paperflow.catalog import register
@@ -127,10 +129,14 @@ def unexplained_terms(spark, sf_dir):
     return style.gloss_findings(led(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.lit(0).alias("block"), "text")).withColumnRenamed("doc", "doc_id")
 
 
-@register("title_echoes")
+HEADED_SQL = f"""h1 AS MATERIALIZED (SELECT doc_id AS id, {prose_sql.mask("coalesce(text, '')", f'https?://{prose.SOLID}+')} AS t, array_to_string(string_split_regex(split_part(coalesce(text, ''), chr(10), 1), '\\s+')[2:9], ' ') AS title FROM documents),
+    x AS MATERIALIZED (SELECT id, lower({prose_sql.mask('t', f'10[.][0-9]{{4,9}}/{prose.SOLID}+')}) AS text, lower(title) AS title FROM h1)"""
+
+
+@register("title_echoes", f"WITH RECURSIVE {HEADED_SQL}, {prose_sql.echoed('x')} SELECT id AS doc_id, a AS start, b AS end FROM echoed")
 def title_echoes(spark, sf_dir):
-    """Where a document repeats its heading: the second to the ninth word of its first line, in capitals."""
-    title = F.upper(F.array_join(F.slice(F.split(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), r"\s+"), 2, 8), " "))
+    """Where a document repeats its heading: the second to the ninth word of its first line, a-z in capitals."""
+    title = F.translate(F.array_join(F.slice(F.split(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), r"\s+"), 2, 8), " "), string.ascii_lowercase, string.ascii_uppercase)
     found = echoes.echoes(table(spark, sf_dir, "documents").select("doc_id", prose.masked(F.col("text")).alias("text"), title.alias("title")), ["doc_id"], "text", "title")
     return found.select("doc_id", F.explode("echoes").alias("e")).select("doc_id", "e.start", "e.end")
 

@@ -152,3 +152,13 @@ def overstated(source: str) -> str:
     oh AS (SELECT g.id, f.ord, f.rule, f.severity, g.a, g.b, row_number() OVER (PARTITION BY g.id, g.a ORDER BY f.severity = 'warn', g.b DESC, f.ord) AS r FROM og g JOIN of_ f USING (form) JOIN {source} s ON s.id = g.id
       WHERE (f.req IS NULL OR regexp_matches(substr({low('s.text')}, g.b::BIGINT + 1, {lexicon.GUARD_REACH}), f.req)) AND (f.rej IS NULL OR NOT regexp_matches(substr({low('s.text')}, g.b::BIGINT + 1, {lexicon.GUARD_REACH}), f.rej))),
     overstated AS (SELECT id, rule, severity, a::INT AS a, b::INT AS b FROM oh WHERE r = 1)"""
+
+
+def echoed(source: str) -> str:
+    """CTEs that end in echoed (id, a, b) of `source` (id, text, title), all in lower case and masked: places of equal eight characters, cut into runs on a diagonal; of those that no later one betters, in turn."""
+    return f"""xt AS MATERIALIZED (SELECT id, unnest(range(length(title) - 7)) AS i, title FROM {source} WHERE length(title) >= 8), xg AS (SELECT id, i, substr(title, i + 1, 8) AS g FROM xt),
+    xp AS (SELECT id, unnest(range(length(text) - 7)) AS p, text FROM {source} WHERE length(title) >= 8 AND length(text) >= 8), xh AS MATERIALIZED (SELECT q.id, q.p, xg.i, q.p - xg.i AS d FROM (SELECT id, p, substr(text, p + 1, 8) AS g FROM xp) q JOIN xg ON xg.id = q.id AND xg.g = q.g WHERE NOT contains(q.g, '{prose.MASK}')),
+    xi AS (SELECT *, p - row_number() OVER (PARTITION BY id, d ORDER BY p) AS island FROM xh), xn AS (SELECT *, max(p) OVER (PARTITION BY id, d, island) - p + 8 AS n FROM xi),
+    xb AS (SELECT *, max((n, -i, -p)) OVER (PARTITION BY id ORDER BY p DESC) AS best FROM xn), xs AS MATERIALIZED (SELECT id, p, p + n AS e, row_number() OVER (PARTITION BY id ORDER BY p) AS k FROM xb WHERE best = (n, -i, -p)),
+    xr(id, k, p, e, free, taken) AS (SELECT id, k, p, e, e, true FROM xs WHERE k = 1 UNION ALL SELECT xs.id, xs.k, xs.p, xs.e, CASE WHEN xs.p >= xr.free THEN xs.e ELSE xr.free END, xs.p >= xr.free FROM xr JOIN xs ON xs.id = xr.id AND xs.k = xr.k + 1),
+    echoed AS (SELECT id, p::INT AS a, e::INT AS b FROM xr WHERE taken)"""
