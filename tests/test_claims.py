@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from paperflow.functions import claims, lexicon
 from paperflow.operators import claims as columns
+from paperflow.operators import style
 
 SOURCE = {
     "title": "Hedges along cycle paths and fine dust",
@@ -84,16 +85,16 @@ def test_grades(spark):
     assert (total.passed, total.false_accepts, total.false_rejects, total.drift) == (2, 1, 1, 3)
 
 
-def test_overstatements():
-    entries = [lexicon.Entry("a", lexicon.stem("průlom"), "warn"), lexicon.Entry("b", lexicon.stem("průlomov"), reject="bolest"), lexicon.Entry("c", lexicon.stem("amazing"), english=True)]
-    assert lexicon.overstatements("Průlomový stroj (amazing).", entries) == [("b", "hard", 0, 9)]
-    assert lexicon.overstatements("Průlomová bolest", entries) == [("a", "warn", 0, 9)]
-    assert lexicon.overstatements(None, entries) == []
+def test_overstatements(spark):
+    entries = [lexicon.Overstatement("a", ("průlom",), "warn"), lexicon.Overstatement("b", ("průlomov",), reject="bolest"), lexicon.Overstatement("c", ("amazing",), english=True)]
+    rows = spark.createDataFrame([("Průlomový stroj (amazing).",), ("Průlomová bolest",), (None,)], "t string")
+    found = {r.t: [tuple(f) for f in r.f] for r in rows.select("t", lexicon.overstatements(F.col("t"), entries).alias("f")).collect()}
+    assert found == {"Průlomový stroj (amazing).": [("b", "hard", 0, 9)], "Průlomová bolest": [("a", "warn", 0, 9)], None: []}
 
 
-def test_glosses():
-    terms = [lexicon.Term("k", lexicon.stem("kohort"), original="cohort"), lexicon.Term("p", lexicon.stem("placeb"))]
-    assert lexicon.unexplained(["Kohorta jedla."], terms) == [("no_gloss:k", "hard", 0, 0, 7)]
-    assert lexicon.unexplained(["Kohorta, tedy všichni narození jednoho roku, jedla."], terms) == [("no_english_original:k", "warn", 0, 0, 7)]
-    assert lexicon.unexplained(["Kohorta (cohort), tedy všichni narození jednoho roku, jedla. Kohorta pila."], terms) == []
-    assert lexicon.unexplained([None, ""], terms) == []
+def test_glosses(spark):
+    glossary = lexicon.Glossary([lexicon.Term("k", original="cohort", forms=("kohort",)), lexicon.Term("p", forms=("placeb",))])
+    texts = ["Kohorta jedla.", "Kohorta, tedy všichni narození jednoho roku, jedla.", "Kohorta (cohort), tedy všichni narození jednoho roku, jedla. Kohorta pila.", None, ""]
+    rows = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)] + [(9, 0, "Nic."), (9, 1, "Placebo."), (9, 2, "Placebo, tedy cukr bez účinné látky.")], "doc int, block int, text string")
+    found = sorted(tuple(r) for r in style.gloss_findings(rows, glossary).collect())
+    assert found == [(0, 0, "no_gloss:k", "hard", 0, 7), (1, 0, "no_english_original:k", "warn", 0, 7), (9, 1, "no_gloss:p", "hard", 0, 7)]
