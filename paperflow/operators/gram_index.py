@@ -1,11 +1,11 @@
-"""A persisted index of title keys by their rarest trigrams, so that a day's titles are held against the ledger without reading it.
+"""A persisted index of title keys by the parts of their trigrams, so that a day's titles are held against the ledger without reading it.
 
-Two keys whose trigram sets have a Jaccard similarity of tenths/10 or more share, in any one order of all trigrams, some
-of the first n - ceil(t n) + k (see `similarity`). The order is fixed when the index is made: by how many keys had a
-trigram then, unknown ones first. It has at most 37^3 rows, as keys have a-z and 0-9 alone. Postings (gram, id, size) lie
-in folders by a hash of the gram, the keys themselves in folders by their id, an MD5. A lookup reads the folders of its
-own grams, and of the candidates that these give, and no others; candidates are compared by the sets made from the keys.
-Adding keys appends files to the folders of their grams; `compacted` writes them anew as few files, sorted by gram.
+Of two keys whose trigram sets have a Jaccard similarity of tenths/10 or more, one of the parts that all trigrams are dealt to
+holds the same trigrams of both (see `similarity`). How they are dealt is fixed when the index is made: by how many keys had a
+trigram then, unknown ones by their hash. The order has at most 37^3 rows, as keys have a-z and 0-9 alone. Postings (gram: a hash of a
+part's trigrams, id, size, sketch) lie in folders by a hash of it, the keys themselves in folders by their id, an MD5. A lookup reads the folders of its
+own parts, and of the candidates that these give, and no others; candidates are compared by the sets made from the keys.
+Adding keys appends files to the folders of their parts; `compacted` writes them anew as few files, sorted by part.
 
 A key that is there already is not added again; empty keys and keys shorter than a trigram have no postings."""
 
@@ -16,18 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperflow.functions.identity import trigrams
-from paperflow.operators.similarity import SHARED
+from paperflow.operators.similarity import SKETCHES, by_rarity, fits, hinted, sided, signatures
 from paperflow.tables import durable
 
 BUCKETS = 64
-#: Trigrams of 36 characters, and of what may fill a gap.
-MOST_GRAMS = 37**3
-POSTING, KEYS = "gram string, id binary, n int, bucket int", "id binary, key string, bucket int"
+POSTING, KEYS = "gram bigint, id binary, n int, " + "".join(f"{c} bigint, " for c in SKETCHES) + "bucket int", "id binary, key string, bucket int"
 
 
 def _order(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema("gram string, df bigint").parquet(f"{path}/order")
-    return F.broadcast(rows) if rows.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS else rows
+    return hinted(spark.read.schema("gram string, df bigint, place bigint").parquet(f"{path}/order"))
 
 
 def _stored(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -51,24 +48,19 @@ def _sets(keys: DataFrame, key: str) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, order: DataFrame, tenths: int) -> DataFrame:
-    """(id, n, least, gram, bucket): the first grams of each key, by the index's order."""
-    ranked = sets.select("id", "n", F.explode("g").alias("gram")).join(order, "gram", "left").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("o"))
-    need = F.floor((F.col("n") * tenths + 9) / 10)
-    least = F.least(F.lit(SHARED), need).cast("int")
-    first = F.slice("o", F.lit(1), (F.col("n") - need).cast("int") + least)
-    return ranked.select("id", "n", least.alias("least"), F.explode(first).alias("x")).select("id", "n", "least", F.col("x.gram").alias("gram"), _bucket("x.gram"))
+    """(id, n, sketch, gram, bucket): the hash of each part of each key, dealt by the index's order."""
+    return signatures(sets, order, tenths).select("id", "n", *SKETCHES, F.col("sig").alias("gram"), _bucket("sig"))
 
 
 def create(spark: SparkSession, path: str, keys: DataFrame, key: str = "key", tenths: int = 9) -> None:
     """An index of `keys` for similarities of tenths/10 and more."""
     sets = durable(_sets(keys, key))
-    df = sets.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    df.coalesce(1).write.mode("overwrite").parquet(f"{path}/order")
+    by_rarity(sets.select(F.explode("g").alias("gram"))).coalesce(1).write.mode("overwrite").parquet(f"{path}/order")
     _write(_prefixes(sets, _order(spark, path), tenths), sets, path, "overwrite")
 
 
 def _write(prefixes: DataFrame, sets: DataFrame, path: str, mode: str) -> None:
-    prefixes.select("gram", "id", "n", "bucket").repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode(mode).partitionBy("bucket").parquet(f"{path}/grams")
+    prefixes.select("gram", "id", "n", *SKETCHES, "bucket").repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode(mode).partitionBy("bucket").parquet(f"{path}/grams")
     sets.select("id", "key", _bucket("id")).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(f"{path}/keys")
 
 
@@ -90,12 +82,9 @@ def similar(spark: SparkSession, path: str, asked: DataFrame, key: str = "key",
     """Pairs (a, b) of an asked key and a different indexed one with a similarity of tenths/10 or more."""
     sets = durable(_sets(asked, key))
     mine = durable(_prefixes(sets, _order(spark, path), tenths))
-    here = mine.select("bucket", "gram", F.col("id").alias("a"), F.col("n").alias("na"), F.col("least").alias("la"))
-    there = touched(_stored(spark, path, "grams"), mine).select("bucket", "gram", F.col("id").alias("b"), F.col("n").alias("nb"))
-    lb = F.least(F.lit(SHARED), F.floor((F.col("nb") * tenths + 9) / 10))
-    fits = here.join(there, ["bucket", "gram"]).where((F.col("a") != F.col("b")) & (F.col("na") * 10 >= F.col("nb") * tenths) & (F.col("nb") * 10 >= F.col("na") * tenths))
-    shared = fits.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("la", lb)).alias("least")).where(F.col("shared") >= F.col("least"))
-    pairs = durable(shared.select("a", "b", _bucket("b")))
+    there = touched(_stored(spark, path, "grams"), mine)
+    alike = sided(mine, "a", "bucket", "gram").join(sided(there, "b", "bucket", "gram"), ["bucket", "gram"]).where((F.col("a") != F.col("b")) & fits(tenths))
+    pairs = durable(alike.select("a", "b").distinct().select("a", "b", _bucket("b")))
     found = touched(_stored(spark, path, "keys"), pairs).select(F.col("id").alias("b"), F.col("key").alias("kb"))
     both = pairs.select("a", "b").join(found, "b").join(sets.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("g").alias("ga")), "a").select("ka", "kb", "ga", trigrams(F.col("kb")).alias("gb"))
     sized = both.select("ka", "kb", F.size(F.array_intersect("ga", "gb")).alias("both"), (F.size("ga") + F.size("gb")).alias("all"))
