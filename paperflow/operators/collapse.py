@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperflow.operators.similarity import similar_keys
-from paperflow.tables import durable
+from paperflow.functions.identity import trigrams
+from paperflow.operators.similarity import similar_sets
+from paperflow.tables import durable, free_name
 
 #: Steps of the walk in one job.
 STEPS = 3
@@ -21,9 +22,11 @@ def collapse(ranked: DataFrame, ident: str, order: str, key: str = "key", tenths
     ranked = durable(ranked)
     place = F.struct(order, ident)
     keyed = ranked.where(F.coalesce(F.col(key), F.lit("")) != "")
-    first = durable(keyed.groupBy(key).agg(F.min(place).alias("place")))
-    pairs = similar_keys(first, key, tenths)
-    here, there = first.select(F.col(key).alias("a"), F.col("place").alias("pa")), first.select(F.col(key).alias("b"), F.col("place").alias("pb"))
+    # numbers stand for keys, which may be long
+    first = durable(keyed.groupBy(F.col(key).alias("k")).agg(F.min(place).alias("place")).withColumn("id", F.monotonically_increasing_id()))
+    sets = first.select("id", "k", F.lit(True).alias("l"), F.lit(True).alias("r"), F.size(trigrams(F.col("k"))).alias("n")).where("n > 0")
+    pairs = similar_sets(sets, tenths).select("a", "b")
+    here, there = first.select(F.col("id").alias("a"), F.col("place").alias("pa")), first.select(F.col("id").alias("b"), F.col("place").alias("pb"))
     a_first = F.col("pa") < F.col("pb")
     edges = durable(pairs.join(here, "a").join(there, "b").select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("late")))
     late = edges.select(F.col("late").alias("k")).distinct()
@@ -35,6 +38,7 @@ def collapse(ranked: DataFrame, ident: str, order: str, key: str = "key", tenths
             told = edges.join(state.withColumnRenamed("k", "early"), "early").groupBy(F.col("late").alias("k")).agg(F.bool_or(F.coalesce("stays", F.lit(False))).alias("beaten"), F.bool_and(F.coalesce(~F.col("stays"), F.lit(False))).alias("free"))
             state = state.join(told, "k", "left").select("k", F.when(F.col("stays").isNotNull(), F.col("stays")).when(F.col("beaten"), False).when(F.col("free"), True).alias("stays"))
         state = durable(state)
-    lost = state.where(~F.col("stays")).select(F.col("k").alias(key), F.lit(True).alias("lost"))
-    out = ranked.join(lost, key, "left").join(first, key, "left")
-    return out.withColumn("kept", F.col("place").isNull() | (F.col("lost").isNull() & (F.col("place") == place))).drop("lost", "place")
+    lost = state.where(~F.col("stays")).select(F.col("k").alias("id"))
+    stay = first.join(lost, "id", "left_anti").select(F.col("k").alias(blank := free_name(ranked.columns, "of")), "place")
+    out = ranked.join(stay, F.col(key) == F.col(blank), "left")
+    return out.withColumn("kept", (F.coalesce(F.col(key), F.lit("")) == "") | F.coalesce(F.col("place") == place, F.lit(False))).drop(blank, "place")
