@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperflow.operators import gram_index
-from paperflow.operators.similarity import similar_keys
+from paperflow.operators.similarity import keys_like, similar_keys
 from paperflow.tables import durable
 
 #: The kinds of match, in the order in which one entry is asked for them.
@@ -40,10 +40,10 @@ def seen_or_similar(candidates: DataFrame, ledger: DataFrame, today: Column, day
     asked = exact.where(F.col("seen_kind").isNull() & (F.col(key) != "")).select(key).distinct()
     there = ledger.where(within_window(F.col("published_on"), today, days) & (F.col(key) != "")).select(key).distinct()
     if index is None:
-        alike = similar_keys(asked, key, others=there)
+        alike = keys_like(asked, there, key)
     else:
-        alike = gram_index.similar(candidates.sparkSession, index, asked, key).join(there.withColumnRenamed(key, "b"), "b", "left_semi")
-    known = alike.select(F.col("a").alias(key)).union(asked.join(there, key, "left_semi")).distinct().withColumn("like", F.lit(True))
+        alike = gram_index.similar(candidates.sparkSession, index, asked, key).join(there.withColumnRenamed(key, "b"), "b", "left_semi").select(F.col("a").alias(key))
+    known = alike.union(asked.join(there, key, "left_semi")).distinct().withColumn("like", F.lit(True))
     return exact.join(known, key, "left").withColumn("seen_kind", F.coalesce("seen_kind", F.when(F.col("like"), "title"))).drop("like")
 
 
