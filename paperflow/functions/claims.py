@@ -73,9 +73,13 @@ def accounted(value: Column, known: Column) -> Column:
     return F.exists(known, same)
 
 
-def coverage(text: Column, spans: Column) -> Column:
-    """Share of the characters, blanks aside, in the union of the spans (array<struct<start, end>>, from 0, end exclusive)."""
-    solid = lambda s: F.length(F.regexp_replace(s, r"\s+", ""))
+def solid(text: Column) -> Column:
+    """How many characters are no blanks."""
+    return F.length(F.regexp_replace(text, r"\s+", ""))
+
+
+def covered(text: Column, spans: Column) -> Column:
+    """How many characters, blanks aside, are in the union of the spans (array<struct<start, end>>, from 0, end exclusive)."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
 
     def step(state: Column, span: Column) -> Column:
@@ -83,8 +87,12 @@ def coverage(text: Column, spans: Column) -> Column:
         more = F.when(span["end"] > begin, solid(F.substring(text, begin + 1, span["end"] - begin))).otherwise(0)
         return F.struct(F.greatest(state["end"], span["end"]).alias("end"), (state["n"] + more).alias("n"))
 
-    covered = F.aggregate(F.array_sort(spans), start, step, lambda s: s["n"])
-    return F.when(solid(text) > 0, covered / solid(text)).otherwise(0.0)
+    return F.aggregate(F.array_sort(spans), start, step, lambda s: s["n"])
+
+
+def coverage(text: Column, spans: Column) -> Column:
+    """Share of the characters, blanks aside, in the union of the spans."""
+    return F.when(solid(text) > 0, covered(text, spans) / solid(text)).otherwise(0.0)
 
 
 def weak(quote: Column) -> Column:
@@ -92,4 +100,4 @@ def weak(quote: Column) -> Column:
     return let(words(quote), lambda w: (F.length(quote) < QUOTE_CHARS) | (F.size(w) < QUOTE_WORDS) | (F.size(F.filter(w, lambda x: ~F.lower(x).isin(*STOP_WORDS))) < QUOTE_CONTENT))
 
 
-__all__ = ["accounted", "coverage", "magnitudes", "numbers", "plain_number", "quote_form", "stems", "weak", "words"]
+__all__ = ["accounted", "coverage", "covered", "magnitudes", "numbers", "plain_number", "quote_form", "solid", "stems", "weak", "words"]
