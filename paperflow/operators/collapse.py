@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperflow.functions.identity import trigrams
-from paperflow.operators.similarity import similar_sets
+from paperflow.operators.similarity import similar_sets, sized
 from paperflow.tables import durable, free_name
 
 #: Steps of the walk in one job.
@@ -24,8 +23,7 @@ def collapse(ranked: DataFrame, ident: str, order: str, key: str = "key", tenths
     keyed = ranked.where(F.coalesce(F.col(key), F.lit("")) != "")
     # numbers stand for keys, which may be long
     first = durable(keyed.groupBy(F.col(key).alias("k")).agg(F.min(place).alias("place")).withColumn("id", F.monotonically_increasing_id()))
-    sets = first.select("id", "k", F.lit(True).alias("l"), F.lit(True).alias("r"), F.size(trigrams(F.col("k"))).alias("n")).where("n > 0")
-    pairs = similar_sets(sets, tenths).select("a", "b")
+    pairs = similar_sets(sized(first.select("id", "k")), tenths).select("a", "b")
     here, there = first.select(F.col("id").alias("a"), F.col("place").alias("pa")), first.select(F.col("id").alias("b"), F.col("place").alias("pb"))
     a_first = F.col("pa") < F.col("pb")
     edges = durable(pairs.join(here, "a").join(there, "b").select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("late")))

@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperflow.functions.identity import trigrams
-from paperflow.tables import durable, let
+from paperflow.functions.identity import every_trigram, trigrams
+from paperflow.tables import durable, free_name, let, spread
 
 #: Trigrams of 36 characters, and of what may fill a gap.
 MOST_GRAMS = 37**3
@@ -35,11 +35,12 @@ def class_ends(tenths: int) -> list[int]:
     return [*ends, max(first, MOST), 2 * MOST]
 
 
-def sketch(grams: Column) -> list[Column]:
-    """s0 to s3: bits that each gram of one of 256 groups turns over."""
+def sketched(sets: DataFrame, grams: Column) -> DataFrame:
+    """`sets` with s0 to s3: bits that each gram of one of 256 groups turns over. All four come from one reading of the grams."""
     word = lambda h, j: F.aggregate(F.filter(h, lambda x: x.bitwiseAND(F.lit(3)) == j), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 2).bitwiseAND(F.lit(63)).cast("int"))))
     words = let(F.transform(grams, lambda g: F.xxhash64(g)), lambda h: F.array(*[word(h, j) for j in range(SKETCH)]))
-    return [words[j].alias(f"s{j}") for j in range(SKETCH)]
+    drawn = sets.withColumn(bits := free_name(sets.columns, "bits"), words)
+    return drawn.select(*sets.columns, *[F.get(bits, F.lit(j)).alias(c) for j, c in enumerate(SKETCHES)])
 
 
 def sided(found: DataFrame, side: str, *columns: str) -> DataFrame:
@@ -72,32 +73,39 @@ def signatures(sets: DataFrame, order: DataFrame, tenths: int) -> DataFrame:
     rows = sized.select("id", "reaches", F.explode("g").alias("gram")).join(order.select("gram", "place"), "gram", "left").select("id", F.coalesce("place", F.xxhash64("gram")).alias("place"), F.xxhash64("gram").alias("x"), F.explode("reaches").alias("reach"))
     held = rows.select("id", "reach", F.pmod("place", parts).alias("part"), "x", F.lit(None).cast("int").alias("n"), *[F.lit(None).cast("long").alias(c) for c in SKETCHES])
     # the empty parts too; these rows tell the size and the sketch
-    drawn = sets.select("id", "n", reaches.alias("reaches"), *sketch(F.col("g"))).select("id", "n", *SKETCHES, F.explode("reaches").alias("reach"))
+    drawn = sketched(sets.select("id", "n", "g", reaches.alias("reaches")), F.col("g")).select("id", "n", *SKETCHES, F.explode("reaches").alias("reach"))
     every = drawn.select("id", "reach", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(0).cast("long").alias("x"), "n", *SKETCHES)
     told = held.unionByName(every).groupBy("id", "reach", "part").agg(F.bit_xor("x").alias("x"), *[F.max(c).alias(c) for c in ("n", *SKETCHES)])
     return told.select("id", "n", *SKETCHES, F.xxhash64("reach", "part", "x").alias("sig"))
 
 
+def sized(keys: DataFrame) -> DataFrame:
+    """`keys`, written down and with a key k each, with the number n of its trigrams; those that have some.
+
+    A table of keys is small and so comes in few partitions, but what is made of each key is not: they are dealt over all cores. n is written down, as it is asked for at each end of a class."""
+    return durable(spread(keys).where(F.length("k") >= 3).withColumn("n", F.size(trigrams(F.col("k")))))
+
+
 def numbered(keys: DataFrame, key: str, others: DataFrame | None) -> DataFrame:
     """(id, k, l, r, n) of the distinct keys that have trigrams, here (l) and there (r), written down."""
     left = keys.select(F.col(key).alias("k"), F.lit(True).alias("l"), F.lit(others is None).alias("r"))
     both_sides = left if others is None else left.union(others.select(F.col(key), F.lit(False), F.lit(True)))
-    each = both_sides.groupBy("k").agg(F.bool_or("l").alias("l"), F.bool_or("r").alias("r")).withColumn("n", F.size(trigrams(F.col("k"))))
-    return durable(each.where("n > 0").withColumn("id", F.monotonically_increasing_id()))
+    return sized(durable(both_sides.groupBy("k").agg(F.bool_or("l").alias("l"), F.bool_or("r").alias("r")).withColumn("id", F.monotonically_increasing_id())))
 
 
 def similar_sets(sets: DataFrame, tenths: int = 9, mirrored: bool = False) -> DataFrame:
-    """Pairs (a, b, ka, kb) of ids and keys of `sets` (id, k, l, r, n) of similar keys, a of l and b of r: a < b, or any order if `mirrored`."""
+    """Pairs (a, b, ka, kb) of ids and keys of `sets` (id, k, n) of similar keys, a < b. If `mirrored`, in any order, a of those with l and b of those with r."""
     grams = sets.select("id", "n", trigrams(F.col("k")).alias("g"))
     order = durable(by_rarity(grams.select(F.explode("g").alias("gram"))))
     found = signatures(grams, hinted(order), tenths)
     found = durable(found.join(sets.select("id", "l", "r"), "id") if mirrored else found.withColumns({"l": F.lit(True), "r": F.lit(True)}))
     either = F.col("a") != F.col("b") if mirrored else F.col("a") < F.col("b")
-    pairs = sided(found.where("l"), "a", "sig").join(sided(found.where("r"), "b", "sig"), "sig").where(either & fits(tenths)).select("a", "b").distinct()
+    pairs = sided(found.where("l"), "a", "sig").join(sided(found.where("r"), "b", "sig"), "sig").where(either & fits(tenths)).select("a", "b", "n_a", "n_b").distinct()
     keyed = lambda side: sets.select(F.col("id").alias(side), F.col("k").alias(f"k{side}"))
-    cut = pairs.join(keyed("a"), "a").join(keyed("b"), "b").select("a", "b", "ka", "kb", trigrams(F.col("ka")).alias("ga"), trigrams(F.col("kb")).alias("gb"))
-    sized = cut.select("a", "b", "ka", "kb", F.size(F.array_intersect("ga", "gb")).alias("both"), (F.size("ga") + F.size("gb")).alias("all"))
-    return sized.where(F.col("both") * 10 >= (F.col("all") - F.col("both")) * tenths).select("a", "b", "ka", "kb")
+    # a condition is pushed to where its columns come from, so it has each key cut once; an intersection has no gram twice
+    both = F.size(F.array_intersect(every_trigram(F.col("ka")), every_trigram(F.col("kb"))))
+    alike = let(both, lambda n: n * 10 >= (F.col("n_a") + F.col("n_b") - n) * tenths)
+    return pairs.join(keyed("a"), "a").join(keyed("b"), "b").where(alike).select("a", "b", "ka", "kb")
 
 
 def similar_keys(keys: DataFrame, key: str = "key", tenths: int = 9, others: DataFrame | None = None) -> DataFrame:
